@@ -7,21 +7,88 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import tokens
+from leafmill.llm import leaks, overlap, pieces, splits, tokens
 from leafmill.sources.tables import table
 
 #: Folder of the public vocabularies.
 TOKENIZERS = os.environ.get("LEAFMILL_TOKENIZERS", "/opt/tokenizers")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Train records and val or test records of the same page."""
+    return overlap.found(table(spark, d, "dataset_manifest"))
+
+
+def p4_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Overlap per split and source."""
+    return overlap.coverage(table(spark, d, "dataset_manifest"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks that had to be cut."""
+    return pieces.found(table(spark, d, "chunks"), table(spark, d, "chunk_limits"))
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of the chunks that had to be cut."""
+    return pieces.pieces(table(spark, d, "chunks"), table(spark, d, "chunk_limits"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources whose group stands in more than one split."""
+    return splits.found(table(spark, d, "dataset_manifest"), table(spark, d, "source_links"))
+
+
+def p6_assigned(spark: SparkSession, d: str) -> DataFrame:
+    """A split for every record that keeps works together."""
+    return splits.assign(table(spark, d, "dataset_manifest"), table(spark, d, "source_links"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_corpus(table(spark, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold 12 or more consecutive words of an evaluation item."""
+    return leaks.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_by_item(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items with the number of documents and the best coverage."""
+    return leaks.by_item(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_ids": p7_ids}
+    return {f.__name__: f for f in (p4_found, p4_coverage, p5_found, p5_pieces, p6_found, p6_assigned, p7_ids, p8_found, p8_by_item)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+SQL = {
+    "p5_found": """
+        SELECT DISTINCT c.chunk_id FROM chunks c
+        JOIN chunk_limits l ON l.kind = coalesce(nullif(lower(trim(c.kind)), ''), 'body')
+        WHERE length(c.text) > l.max_chars AND c.chunk_id IS NOT NULL""",
+    "p6_found": """
+        WITH RECURSIVE records AS (
+            SELECT DISTINCT lower(trim(dataset)) AS d, lower(trim(source_id)) AS s,
+                   CASE lower(trim(split)) WHEN 'validation' THEN 'val' WHEN 'val' THEN 'val' WHEN 'train' THEN 'train' WHEN 'test' THEN 'test' END AS sp
+            FROM dataset_manifest WHERE trim(dataset) <> '' AND trim(source_id) <> ''),
+        e AS (
+            SELECT lower(trim(dataset_a)) || chr(31) || lower(trim(source_a)) AS a, lower(trim(dataset_b)) || chr(31) || lower(trim(source_b)) AS b FROM source_links
+            UNION SELECT lower(trim(dataset_b)) || chr(31) || lower(trim(source_b)), lower(trim(dataset_a)) || chr(31) || lower(trim(source_a)) FROM source_links),
+        reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+        root AS (SELECT a AS node, least(a, min(b)) AS root FROM reach GROUP BY a),
+        member AS (SELECT d, s, sp, coalesce(root, d || chr(31) || s) AS root FROM records LEFT JOIN root ON node = d || chr(31) || s),
+        mixed AS (SELECT root FROM member GROUP BY root HAVING count(DISTINCT sp) > 1)
+        SELECT DISTINCT d AS dataset, s AS source_id FROM member WHERE root IN (SELECT root FROM mixed)""",
+    "p8_found": r"""
+        WITH i AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+        iw AS (SELECT DISTINCT item_id, array_to_string(w[p : p + 11], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS p FROM i)),
+        d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+        dw AS (SELECT doc_id, array_to_string(w[p : p + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS p FROM d))
+        SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (run)""",
+}
