@@ -7,13 +7,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import leaks, overlap, pieces, splits, tokens
+from leafmill.llm import answers, leaks, overlap, pieces, quality, splits, tokens
 from leafmill.sources.tables import table
 
 #: Folder of the public vocabularies.
 TOKENIZERS = os.environ.get("LEAFMILL_TOKENIZERS", "/opt/tokenizers")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defective answers."""
+    return answers.found(table(spark, d, "answer_results"), table(spark, d, "qa_golden"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Train records and val or test records of the same page."""
     return overlap.found(table(spark, d, "dataset_manifest"))
@@ -59,8 +64,18 @@ def p8_by_item(spark: SparkSession, d: str) -> DataFrame:
     return leaks.by_item(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lists, tables and junk among the documents."""
+    return quality.found(table(spark, d, "documents"))
+
+
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Counts, ratios and shape of every document."""
+    return quality.statistics(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_coverage, p5_found, p5_pieces, p6_found, p6_assigned, p7_ids, p8_found, p8_by_item)}
+    return {f.__name__: f for f in (p2_found, p4_found, p4_coverage, p5_found, p5_pieces, p6_found, p6_assigned, p7_ids, p8_found, p8_by_item, p9_found, p9_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
