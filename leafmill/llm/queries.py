@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import answers, leaks, overlap, pieces, quality, splits, tokens
+from leafmill.llm import answers, leaks, overlap, pieces, quality, scans, splits, tokens
 from leafmill.sources.tables import table
 
 #: Folder of the public vocabularies.
@@ -19,6 +19,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return answers.found(table(spark, d, "answer_results"), table(spark, d, "qa_golden"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of noise of the scanned pages."""
+    return scans.found(table(spark, d, "book_pages"))
+
+
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Scanned pages as continuous paragraphs."""
+    return scans.repaired(table(spark, d, "book_pages"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Train records and val or test records of the same page."""
     return overlap.found(table(spark, d, "dataset_manifest"))
@@ -75,7 +85,7 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p4_found, p4_coverage, p5_found, p5_pieces, p6_found, p6_assigned, p7_ids, p8_found, p8_by_item, p9_found, p9_statistics)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_repaired, p4_found, p4_coverage, p5_found, p5_pieces, p6_found, p6_assigned, p7_ids, p8_found, p8_by_item, p9_found, p9_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
