@@ -7,13 +7,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import answers, leaks, overlap, pieces, quality, scans, splits, tokens
+from leafmill.llm import answers, leaks, neighbours, overlap, pieces, quality, scans, splits, tokens
 from leafmill.sources.tables import table
 
 #: Folder of the public vocabularies.
 TOKENIZERS = os.environ.get("LEAFMILL_TOKENIZERS", "/opt/tokenizers")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of most similar vectors."""
+    return neighbours.found(table(spark, d, "book_index"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Defective answers."""
     return answers.found(table(spark, d, "answer_results"), table(spark, d, "qa_golden"))
@@ -85,7 +90,7 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_repaired, p4_found, p4_coverage, p5_found, p5_pieces, p6_found, p6_assigned, p7_ids, p8_found, p8_by_item, p9_found, p9_statistics)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_repaired, p4_found, p4_coverage, p5_found, p5_pieces, p6_found, p6_assigned, p7_ids, p8_found, p8_by_item, p9_found, p9_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
