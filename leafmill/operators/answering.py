@@ -10,6 +10,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.durable import cut
 from leafmill.functions import text as T
 from leafmill.operators import retrieval as R
 
@@ -97,7 +98,7 @@ def citations(ranking: DataFrame) -> DataFrame:
 def answers(chunks: DataFrame, questions: DataFrame, backend: Backend = LEXICAL) -> DataFrame:
     """``question_id, answer, sufficient, confidence, pages`` of every question in one program."""
     docs = R.documents(chunks)
-    ranking = reranked(R.fused(R.scores(docs, questions), docs, questions), docs, questions, backend)
+    ranking, _ = cut(reranked(R.fused(R.scores(docs, questions), docs, questions), docs, questions, backend), "ranking")  # read by four steps
     best = spans(ranking, backend)
     choice = decided(ranking, best, questions)
     pages = citations(ranking).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("place", "page_number"))).alias("l")).select("question_id", F.array_join(F.array_distinct(F.transform("l", lambda x: x["page_number"].cast("string"))), ",").alias("pages"))

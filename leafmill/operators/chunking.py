@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.durable import cut
 from leafmill.functions import text as T
 
 TARGET_WORDS, MAX_WORDS, SECTION_PAGES = 110, 180, 2
@@ -72,7 +73,8 @@ def pack(lines: Column) -> Column:
 
 def chunk_pages(pages: DataFrame, share: float = 0.3) -> DataFrame:
     """``chunk_id, book_id, page_number, section, kind, text, figure_refs``; chunks under three words are dropped and not counted."""
-    lines = sections(kept_lines(pages, share))
+    kept, _ = cut(kept_lines(pages, share), "lines")  # read for headings and for bodies
+    lines = sections(kept)
     body = lines.where("not heading").groupBy("book_id", "page_number", "segment").agg(F.first("section").alias("section"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
     packed = body.select("book_id", "page_number", "segment", "section", F.posexplode(pack(F.transform("l", lambda x: x["line"]))).alias("pos", "text")).where(T.word_count(F.col("text")) >= 3)
     within = F.row_number().over(Window.partitionBy("book_id", "page_number").orderBy("segment", "pos"))
