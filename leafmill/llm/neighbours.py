@@ -198,6 +198,51 @@ def graph(index: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     return edges.select("v", "u", "sim", "rank")
 
 
+def _similar(dim: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (_unpacked(pa.chunked_array([batch.column(i)]), dim) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a * b).sum(axis=1), pa.float32())], ["q", "u", "sim"])
+
+    return run
+
+
+def search(index: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 5, beam: int = 16, entries: int = 16, most_rounds: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", dim: int = 64) -> DataFrame:
+    """``q, u, sim, rank``: the ``k`` most similar indexed vectors of each query vector, other than itself, by greedy search of a graph.
+
+    ``edges`` (v, u) come from :func:`graph` without a limit. A search starts from ``entries`` vectors of the query's nearest
+    pivots and in each round goes to the neighbours of its ``beam`` best vectors that it hasn't left yet, until all of these
+    have been left. Queries are a stated set with ids of their own; unusable ones have no result.
+    """
+    spark = index.sparkSession
+    take = lambda df: df.where(f"{id_col} is not null").select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("e")).where(F.size("e") == dim)
+    _, pivots = _matrix(take(index).orderBy(F.xxhash64("id"), "id").limit(256).toArrow()["e"], dim)
+    empty = spark.createDataFrame([], "q bigint, u bigint, sim float, rank int")
+    if not len(pivots):
+        return empty
+    placed, _ = cut(_assigned(take(index), pivots, dim), "vectors")
+    asked, _ = cut(_assigned(take(queries), pivots, dim).dropDuplicates(["id"]), "queries")
+    hops, _ = cut(edges.select("v", "u").union(edges.select("u", "v")).distinct(), "hops")
+    spread = placed.select("id", F.element_at("near", 1).alias("b"))
+    doors = spread.withColumn("rn", F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("id")))).where(F.col("rn") <= entries).select("b", F.col("id").alias("u"))
+    fresh = asked.select(F.col("id").alias("q"), F.explode("near").alias("b")).join(doors, "b").select("q", "u").distinct()
+    best, path = None, None
+    for _ in range(most_rounds):
+        vectors = fresh.where("q <> u").join(placed.select(F.col("id").alias("u"), F.col("q").alias("y")).dropDuplicates(["u"]), "u").join(asked.select(F.col("id").alias("q"), F.col("q").alias("x")), "q")
+        scored = vectors.select("q", "u", "x", "y").mapInArrow(_similar(dim), "q bigint, u bigint, sim float").withColumn("left", F.lit(False))
+        known = scored if best is None else best.withColumn("left", F.lit(True)).unionByName(scored)
+        order = Window.partitionBy("q").orderBy(F.desc("sim"), "u")
+        state, new_path = cut(known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 4 * beam), "beam")
+        drop(spark, path)
+        path = new_path
+        best = state.select("q", "u", "sim")
+        ahead = state.where((F.col("rank") <= beam) & ~F.col("left")).select("q", F.col("u").alias("v"))
+        fresh = ahead.join(hops, "v").select("q", "u").distinct().join(best.select("q", "u"), ["q", "u"], "left_anti")
+        if ahead.isEmpty():
+            break
+    return state.where(F.col("rank") <= k).select("q", "u", "sim", "rank")
+
+
 def found(index: DataFrame, least: float = 0.90, k: int = 5, dim: int = 64) -> DataFrame:
     """``(vec_a, vec_b)``, vec_a < vec_b: pairs of cosine ``least`` or more of which one is among the ``k`` most similar of the other.
 

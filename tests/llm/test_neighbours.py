@@ -1,7 +1,7 @@
 import numpy as np
 
 from leafmill.llm import neighbours
-from leafmill.llm.neighbours import found, graph
+from leafmill.llm.neighbours import found, graph, search
 
 
 def clustered(n=900, dim=16, seed=2):
@@ -67,3 +67,17 @@ def test_copies_ties_and_nothing(spark):
     assert found(frame(spark, same[:1]), dim=4).count() == 0
     assert found(frame(spark, same).limit(0), dim=4).count() == 0
     assert found(frame(spark, [[0.0] * 4] * 3), dim=4).count() == 0
+
+
+def test_greedy_search(spark):
+    x = clustered(600, 8, 5)
+    df = frame(spark, x)
+    asked = frame(spark, x).where("vec_id % 20 = 0")
+    got = {}
+    for r in search(df, graph(df, dim=8), asked, dim=8).collect():
+        got.setdefault(r.q, set()).add(r.u)
+    y = x / np.linalg.norm(x, axis=1)[:, None]
+    s = y @ y.T
+    np.fill_diagonal(s, -2)
+    assert sum(len(got[i] & set(np.argsort(-s[i])[:5])) for i in range(0, 600, 20)) >= 0.9 * 5 * 30
+    assert search(df.limit(0), graph(df.limit(0), dim=8), asked, dim=8).count() == 0
