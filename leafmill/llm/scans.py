@@ -41,10 +41,13 @@ def scanned(page_type: Column) -> Column:
 
 
 def texts(pages: DataFrame) -> DataFrame:
-    """``page_id, book_id, scan, text`` of every page with a text, once for each text it was ingested with."""
+    """``page_id, book_id, scan, text, tokens, joined`` of every page with a text, once for each text it was ingested with: its
+    words within lines, and of scanned pages the words cut at line ends."""
     text = F.coalesce("raw_text", "text")
     rows = pages.select("page_id", "book_id", F.coalesce(scanned(F.col("page_type")), F.lit(False)).alias("scan"), F.regexp_replace(text, r"\r\n?", "\n").alias("text"))
-    return rows.where("page_id is not null and text is not null and trim(text) <> ''").distinct()
+    once = rows.where("page_id is not null and text is not null and trim(text) <> ''").distinct()
+    pairs = F.when(F.col("scan"), _joined(F.col("text"))).otherwise(F.array().cast("array<struct<left:string,right:string>>"))
+    return once.withColumn("tokens", _tokens(F.col("text"))).withColumn("joined", pairs)
 
 
 def _tokens(text: Column) -> Column:
@@ -76,7 +79,7 @@ def anagram(word: Column) -> Column:
 
 def vocabulary(rows: DataFrame) -> DataFrame:
     """``word, n, clean``: how often a word stands within lines, and how often on pages that were not scanned."""
-    words = rows.select("scan", F.explode(_tokens(F.col("text"))).alias("word"))
+    words = rows.select("scan", F.explode("tokens").alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n"), F.count_if(~F.col("scan")).alias("clean"))
 
 
@@ -99,7 +102,7 @@ def misread(rows: DataFrame, words: DataFrame) -> DataFrame:
 
     A word that also stands on pages that were not scanned is what it looks like, unless characters betray it.
     """
-    cut_words = rows.where("scan").select(F.explode(_joined(F.col("text"))).alias("p")).select(F.concat("p.left", "p.right").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    cut_words = rows.where("scan").select(F.explode("joined").alias("p")).select(F.concat("p.left", "p.right").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     seen = words.select("word", F.col("n").alias("known"), "clean")
     every = words.where("n > clean").select("word", "n").unionByName(cut_words.where(F.length("word") <= 60)).groupBy("word").agg(F.max("n").alias("n"))
     unknown = every.join(seen, "word", "left").where((F.coalesce(F.col("clean"), F.lit(0)) == 0) | F.col("word").rlike(_ODD)).where(F.length("word") >= 3).select("word", "n")
@@ -133,7 +136,7 @@ def heads(edge: DataFrame) -> DataFrame:
 
 def breaks(rows: DataFrame, words: DataFrame) -> DataFrame:
     """``left, right, own`` of every pair of word parts at a line end of scanned pages: ``own`` where the word has a hyphen."""
-    pairs = rows.where("scan").select(F.explode(_joined(F.col("text"))).alias("p")).select("p.left", "p.right").distinct()
+    pairs = rows.where("scan").select(F.explode("joined").alias("p")).select("p.left", "p.right").distinct()
     counts = words.groupBy(fold(F.col("word")).alias("same")).agg(F.sum("n").alias("n"))
     forms = pairs.withColumn("whole", fold(F.concat("left", "right"))).withColumn("kept", fold(F.concat_ws("-", "left", "right")))
     for form in ("whole", "kept"):
@@ -160,9 +163,9 @@ def found(pages: DataFrame) -> DataFrame:
     """
     rows, wrong, cuts, edge, head = _evidence(pages)
     scans = rows.where("scan")
-    own = scans.select("page_id", F.explode(F.array_distinct(F.concat(_tokens(F.col("text")), F.transform(_joined(F.col("text")), lambda p: F.concat(p["left"], p["right"]))))).alias("word"))
+    own = scans.select("page_id", F.explode(F.array_distinct(F.concat("tokens", F.transform("joined", lambda p: F.concat(p["left"], p["right"]))))).alias("word"))
     out = [
-        scans.select("page_id", F.explode(_joined(F.col("text"))).alias("p")).select("page_id", "p.left", "p.right").join(cuts.where("not own"), ["left", "right"], "left_semi").select("page_id", F.lit("hyphen_break").alias("noise")),
+        scans.select("page_id", F.explode("joined").alias("p")).select("page_id", "p.left", "p.right").join(cuts.where("not own"), ["left", "right"], "left_semi").select("page_id", F.lit("hyphen_break").alias("noise")),
         own.join(wrong, "word", "left_semi").select("page_id", F.lit("misread_char").alias("noise")),
         head.where("scan").select("page_id", F.lit("running_header").alias("noise")),
         edge.where("scan and number").select("page_id", F.lit("page_number").alias("noise")),
@@ -208,9 +211,9 @@ def repaired(pages: DataFrame) -> DataFrame:
     """``page_id, repaired``: every distinct text of each scanned page as continuous paragraphs, corrected, without edge lines."""
     rows, wrong, cuts, edge, head = _evidence(pages)
     scans = rows.where("scan").withColumn("row", F.xxhash64("page_id", "text"))
-    tokens = scans.select("row", F.explode(F.array_distinct(F.concat(_tokens(F.col("text")), F.transform(_joined(F.col("text")), lambda p: F.concat(p["left"], p["right"]))))).alias("word"))
+    tokens = scans.select("row", F.explode(F.array_distinct(F.concat("tokens", F.transform("joined", lambda p: F.concat(p["left"], p["right"]))))).alias("word"))
     fixes = tokens.join(wrong.where("printed is not null"), "word").groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("word", "printed"))).alias("fixes"))  # the words of one page
-    pairs = scans.select("row", F.explode(_joined(F.col("text"))).alias("p")).select("row", "p.left", "p.right").join(cuts.where("own"), ["left", "right"]).groupBy("row").agg(F.collect_set(F.struct("left", "right")).alias("own"))
+    pairs = scans.select("row", F.explode("joined").alias("p")).select("row", "p.left", "p.right").join(cuts.where("own"), ["left", "right"]).groupBy("row").agg(F.collect_set(F.struct("left", "right")).alias("own"))
     lines = edge.where("scan and number").select("page_id", "line").union(head.where("scan").select("page_id", "line")).groupBy("page_id").agg(F.collect_set("line").alias("drop"))
     joined = scans.join(fixes, "row", "left").join(pairs, "row", "left").join(lines, "page_id", "left")
 
