@@ -189,12 +189,17 @@ def sanitize_filename(name: Column) -> Column:
     return F.regexp_replace(name, r'[\\/*?:"<>| ]', "_")
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends, no-break spaces included."""
+    return F.regexp_replace(text, "^[\\s\u00a0]+|[\\s\u00a0]+$", "")
+
+
 def without_citations(answer: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(answer, r"(?i)\s*\[(?:page|pages)\s+\d+(?:\s*[-,]\s*\d+)*\]", ""), r"\s{2,}", " "))
+    return strip(F.regexp_replace(F.regexp_replace(answer, r"(?i)\s*\[(?:page|pages)\s+\d+(?:\s*[-,]\s*\d+)*\]", ""), r"\s{2,}", " "))
 
 
 def without_heading_marks(answer: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(answer, r"(?m)^\s*#{1,6}\s*", ""), r"\s+#{1,6}\s+", "\n\n"))
+    return strip(F.regexp_replace(F.regexp_replace(answer, r"(?m)^\s*#{1,6}\s*", ""), r"\s+#{1,6}\s+", "\n\n"))
 
 
 def sigmoid(x: Column) -> Column:

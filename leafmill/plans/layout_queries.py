@@ -334,6 +334,13 @@ def agg_eval_metrics(spark: SparkSession, d: str) -> DataFrame:
     return C.eval_metrics(rows.select("answerable", F.coalesce("sufficient", F.lit(False)).alias("sufficient"), F.coalesce("expected_pages", none).alias("expected"), F.coalesce("cited", none).alias("retrieved"), F.coalesce("cited", none).alias("cited")))
 
 
+SQL["agg_eval_metrics"] = f"""WITH {Q._RERANK}, c AS (SELECT question_id, list(DISTINCT page_number) AS cited FROM pl JOIN docs USING (chunk_id) WHERE place <= 3 GROUP BY 1), g AS (SELECT question_id, arg_max(is_sufficient, answer_id) AS s FROM answer_results GROUP BY 1),
+    r AS (SELECT answerable AS a, coalesce(s, false) AS s, coalesce(expected_pages, []) AS e, coalesce(cited, []) AS c FROM qa_golden JOIN g ON g.question_id = id LEFT JOIN c ON c.question_id = id)
+    SELECT count(*) AS questions, round(count(*) FILTER (a AND list_has_any(e, c)) / greatest(count(*) FILTER (a), 1), 6) AS recall, round(count(*) FILTER (NOT a AND NOT s) / greatest(count(*) FILTER (NOT a), 1), 6) AS unanswerable,
+    round(count(*) FILTER (a AND NOT s) / greatest(count(*) FILTER (a), 1), 6) AS false_refusals, round(count(*) FILTER (s AND len(c) > 0) / greatest(count(*) FILTER (s), 1), 6) AS cited,
+    round(count(*) FILTER (a AND s AND list_has_any(e, c)) / greatest(count(*) FILTER (a AND s), 1), 6) AS citation_precision FROM r"""
+
+
 def join_grid_calibration(spark: SparkSession, d: str) -> DataFrame:
     """The thresholds that tell answerable questions best."""
     ranking, q = Q._ranking(spark, d)
@@ -378,6 +385,11 @@ def registry_list(spark: SparkSession, d: str) -> DataFrame:
     return books.join(pages, books["id"] == pages["book_id"], "left").select("id", "owner_id", "status", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("to_review", F.lit(0)).alias("to_review"), place.alias("place"))
 
 
+SQL["registry_list"] = """WITH b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS rn FROM books) WHERE rn = 1),
+    p AS (SELECT book_id, count(DISTINCT page_id) AS pages, count(*) FILTER (status <> 'ok') AS to_review FROM book_pages GROUP BY 1)
+    SELECT id, owner_id, status, coalesce(pages, 0) AS pages, coalesce(to_review, 0) AS to_review, row_number() OVER (PARTITION BY owner_id ORDER BY created_at DESC, id)::INT AS place FROM b LEFT JOIN p ON book_id = id"""
+
+
 def registry_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Uploads by owner and content: how often each came and which book holds it."""
     return table(spark, d, "books").groupBy("owner_id", "sha256").agg(F.count("*").alias("uploads"), F.min_by("id", F.struct("created_at", "id")).alias("book"))

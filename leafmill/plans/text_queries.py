@@ -209,6 +209,11 @@ def txt_clean_answer(spark: SparkSession, d: str) -> DataFrame:
     return a.select("answer_id", T.without_heading_marks(T.without_citations(F.col("answer"))).alias("clean"))
 
 
+SQL["txt_clean_answer"] = r"""WITH a AS (SELECT DISTINCT answer_id, answer FROM answer_results WHERE answer IS NOT NULL),
+    c AS (SELECT answer_id, regexp_replace(regexp_replace(regexp_replace(answer, '(?i)\s*\[(?:page|pages)\s+\d+(?:\s*[-,]\s*\d+)*\]', '', 'g'), '\s{2,}', ' ', 'g'), '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g') AS t FROM a)
+    SELECT answer_id, regexp_replace(regexp_replace(regexp_replace(t, '(?m)^\s*#{1,6}\s*', '', 'g'), '\s+#{1,6}\s+', chr(10) || chr(10), 'g'), '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g') AS clean FROM c"""
+
+
 def hash_content(spark: SparkSession, d: str) -> DataFrame:
     """Content addresses of the documents."""
     return table(spark, d, "documents").where("text is not null").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
@@ -262,7 +267,7 @@ def win_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return C.page_texts(table(spark, d, "book_pages")).where("text is not null").select("book_id", "page_number", C.paragraphs(F.col("text")).alias("paragraphs"))
 
 
-_DOCS = "docs AS (SELECT chunk_id, max(book_id) AS book_id, max(text) AS text, max(kind) AS kind, max(section) AS section FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL GROUP BY 1)"
+_DOCS = "docs AS (SELECT chunk_id, max(book_id) AS book_id, max(text) AS text, max(kind) AS kind, max(section) AS section, max(page_number) AS page_number FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL GROUP BY 1)"
 _SCORES = f"""{_DOCS}, w AS (SELECT chunk_id, book_id, {_tokens("CASE WHEN section IS NOT NULL THEN section || '. ' || text ELSE text END")} AS words FROM docs),
     tf AS (SELECT book_id, chunk_id, token, count(*) AS tf FROM (SELECT book_id, chunk_id, unnest(words) AS token FROM w) GROUP BY 1, 2, 3),
     df AS (SELECT book_id, token, count(*) AS df FROM tf GROUP BY 1, 2), ln_ AS (SELECT book_id, chunk_id, sum(tf) AS dl, sqrt(sum(tf * tf)) AS norm FROM tf GROUP BY 1, 2),
@@ -316,10 +321,22 @@ def lexical_span(spark: SparkSession, d: str) -> DataFrame:
     return A.spans(_ranking(spark, d)[0])
 
 
+_SPANS = f"""{_RERANK}, se AS (SELECT question_id, place, l[i] AS sentence, i FROM (SELECT question_id, place, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT question_id, place, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS l FROM pl JOIN docs USING (chunk_id) WHERE place <= 3))),
+    ss AS (SELECT question_id, place, i, sentence, round(10 * (len(list_intersect(qs, {_tokens("sentence")})) / len(qs)), 6) AS s FROM se JOIN (SELECT id, list_distinct({_tokens("question")}) AS qs FROM qa_golden) ON id = question_id WHERE len(qs) > 0),
+    sp AS (SELECT question_id, sentence AS span, s - 5 AS margin FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, place, i) AS rn FROM ss WHERE s > 0) WHERE rn = 1)"""
+SQL["lexical_span"] = f"WITH {_SPANS} SELECT * FROM sp"
+
+
 def sufficiency(spark: SparkSession, d: str) -> DataFrame:
     """Whether the book covers each question, and how sure that is."""
     ranking, q = _ranking(spark, d)
-    return A.decided(ranking, A.spans(ranking), q).drop("span")
+    out = A.decided(ranking, A.spans(ranking), q)
+    return out.select("question_id", F.coalesce("top", F.lit(-99.0)).alias("top"), F.coalesce("margin", F.lit(-99.0)).alias("margin"), "sufficient", "confidence")
+
+
+SQL["sufficiency"] = f"""WITH {_SPANS}, t AS (SELECT id AS question_id, score AS top, margin FROM qa_golden LEFT JOIN pl ON pl.question_id = id AND place = 1 LEFT JOIN sp ON sp.question_id = id)
+    SELECT question_id, coalesce(top, -99.0)::DOUBLE AS top, coalesce(margin, -99.0)::DOUBLE AS margin, coalesce(top >= -2.5 AND (coalesce(margin, '-infinity'::DOUBLE) >= 0 OR top >= 3), false) AS sufficient,
+    round(coalesce(1 / (1 + exp(-top / 2)) * CASE WHEN margin IS NULL THEN 0.5 ELSE 1 / (1 + exp(-margin / 2)) END, 0.0), 4) AS confidence FROM t"""
 
 
 def offline_answer(spark: SparkSession, d: str) -> DataFrame:
@@ -332,6 +349,10 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
     return A.citations(_ranking(spark, d)[0])
 
 
+SQL["citations"] = f"""WITH {_RERANK} SELECT question_id, place::INT AS place, chunk_id, page_number, CASE WHEN length(text) <= 280 THEN text ELSE regexp_replace(substr(text, 1, 277), '\\s+\\S*$', '') || '...' END AS snippet
+    FROM pl JOIN docs USING (chunk_id) WHERE place <= 3"""
+
+
 def grounding_verify(spark: SparkSession, d: str) -> DataFrame:
     """The sentences of given answers against retrieved passages."""
     given = table(spark, d, "answer_results").where("answer is not null").groupBy("question_id").agg(F.min_by("answer", "answer_id").alias("answer"))
