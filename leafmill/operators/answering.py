@@ -108,20 +108,23 @@ def answers(chunks: DataFrame, questions: DataFrame, backend: Backend = LEXICAL)
 
 
 def grounded(claims: DataFrame, passages: DataFrame, threshold: float = 0.5, candidates: int = 2, backend: Backend = LEXICAL) -> DataFrame:
-    """``question_id, sentence_no, score, kept``: each sentence against the passages that share most tokens, singly and then joined.
+    """The columns of ``claims`` but the sentence, ``score, kept``: each sentence against the passages that share most tokens, singly and
+    then joined.
 
-    ``claims`` has question_id, sentence_no and sentence, ``passages`` question_id, place and text; very short sentences need their
-    formulas in a passage.
+    ``claims`` has question_id, sentence and what tells its rows apart, such as answer_id and sentence_no; ``passages`` has question_id,
+    place and text. A sentence that several answers to a question say is scored once. Very short sentences need their formulas in a passage.
     """
-    pairs = claims.join(passages.where("place <= 8"), "question_id", "left")
+    pairs = claims.select("question_id", "sentence").distinct().join(passages.where("place <= 8"), "question_id", "left")
     shared = F.size(F.array_intersect(T.tokens(F.col("sentence")), T.tokens(F.col("text"))))
-    order = Window.partitionBy("question_id", "sentence_no").orderBy(F.desc("shared"), "place")
+    order = Window.partitionBy("question_id", "sentence").orderBy(F.desc("shared"), "place")
     best = pairs.withColumn("shared", F.coalesce(shared, F.lit(0))).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= candidates)
     premise = F.array_join(F.slice(T.words(F.coalesce("text", F.lit(""))), 1, 320), " ")
-    listed = best.withColumn("premise", premise).groupBy("question_id", "sentence_no").agg(F.first("sentence").alias("sentence"), F.max(backend.entailment(premise, F.col("sentence"))).alias("single"), F.array_sort(F.collect_list(F.struct("rn", "premise"))).alias("l"))
+    listed = best.withColumn("premise", premise).groupBy("question_id", "sentence").agg(F.max(backend.entailment(premise, F.col("sentence"))).alias("single"), F.array_sort(F.collect_list(F.struct("rn", "premise"))).alias("l"))
     joined = F.array_join(F.transform("l", lambda x: x["premise"]), " ")
     second = F.when((F.col("single") < threshold) & (F.size("l") > 1), backend.entailment(joined, F.col("sentence")))
     parts = F.regexp_extract_all("sentence", F.lit("[A-Za-z0-9]+"), F.lit(0))
     formula = F.size(F.array_except(parts, F.regexp_extract_all(joined, F.lit("[A-Za-z0-9]+"), F.lit(0)))) == 0
     score = F.when(F.size(T.tokens(F.col("sentence"))) < 4, F.when(formula, 1.0).otherwise(0.0)).otherwise(F.greatest("single", F.coalesce(second, F.lit(0.0))))
-    return listed.select("question_id", "sentence_no", F.round(score, 6).alias("score"), (score >= threshold).alias("kept"))
+    scored = listed.select(F.col("question_id").alias("q"), F.col("sentence").alias("s"), F.round(score, 6).alias("score"), (score >= threshold).alias("kept"))
+    same = F.col("question_id").eqNullSafe(F.col("q")) & (F.col("sentence") == F.col("s"))
+    return claims.join(scored, same).drop("q", "s", "sentence")

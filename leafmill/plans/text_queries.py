@@ -354,9 +354,9 @@ SQL["citations"] = f"""WITH {_RERANK} SELECT question_id, place::INT AS place, c
 
 
 def grounding_verify(spark: SparkSession, d: str) -> DataFrame:
-    """The sentences of given answers against retrieved passages."""
-    given = table(spark, d, "answer_results").where("answer is not null").groupBy("question_id").agg(F.min_by("answer", "answer_id").alias("answer"))
-    claims = given.select("question_id", F.posexplode(T.sentences(F.col("answer"))).alias("sentence_no", "sentence"))
+    """The sentences of all given answers against retrieved passages."""
+    given = table(spark, d, "answer_results").where("answer is not null").select("answer_id", "question_id", "answer").distinct()
+    claims = given.select("answer_id", "question_id", F.posexplode(T.sentences(F.col("answer"))).alias("sentence_no", "sentence"))
     return A.grounded(claims, _ranking(spark, d)[0].select("question_id", "place", "text"))
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import answering as A
 from leafmill.operators import retrieval as R
+from leafmill.plans.text_queries import grounding_verify
 
 CHUNKS = [
     ("c1", "b", "Corrosion eats iron when air and moisture reach the surface of the metal.", None, "body", 1),
@@ -64,6 +65,17 @@ def test_exercise_penalty_and_entailment(spark):
     assert [r.kept for r in A.grounded(claims, passages).orderBy("sentence_no").collect()] == [True, False, True, False]
 
 
+def test_every_answer_is_grounded(spark, tmp_path):
+    chunks, q = frames(spark)
+    chunks.write.parquet(f"{tmp_path}/chunks.parquet")
+    q.withColumnsRenamed({"question_id": "id", "book_id": "book"}).write.parquet(f"{tmp_path}/qa_golden.parquet")
+    true, wrong = "Corrosion eats iron in moisture and air.", "Zebras live on the open grass plains."
+    given = [(1, "q1", true), (2, "q1", wrong), (3, "q1", f"{wrong} {true}"), (3, "q1", f"{wrong} {true}"), (4, "q3", true), (5, "q1", None), (6, None, wrong), (7, "q1", true)]
+    spark.createDataFrame(given, "answer_id long, question_id string, answer string").write.parquet(f"{tmp_path}/answer_results.parquet")
+    got = sorted((r.answer_id, r.sentence_no, r.kept) for r in grounding_verify(spark, str(tmp_path)).collect())
+    assert got == [(1, 0, True), (2, 0, False), (3, 0, False), (3, 1, True), (4, 0, False), (6, 0, False), (7, 0, True)]
+
+
 def test_nearest(spark):
     v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "vec_id int, embedding array<float>")
     got = [(r["query"], r.vec_id) for r in R.nearest(v, v.where("vec_id = 2"), 2).orderBy("rank").collect()]
