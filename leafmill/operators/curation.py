@@ -112,6 +112,28 @@ def capped_split(rows: DataFrame, share: float = 0.3, train_cap: int = 30_000, v
     return rows.select("id", "source_id").join(kept.select("source_id", "to"), "source_id").select("id", "source_id", "to")
 
 
+def filled_split(rows: DataFrame, share: float = 0.3, train_cap: int = 30_000, val_cap: int = 10_000) -> DataFrame:
+    """``id, source_id, to``: each source by hash into val or train, both sides filled to their caps while there are records.
+
+    Sources go in order of their hash. From the source that fills one side on, the others go to the other side; of the source
+    that fills a side the first records by id are kept and none goes elsewhere. Only one row for each source is ordered, and of
+    those two sources the rows up to the cap.
+    """
+    cap = F.when(F.col("to") == "val", val_cap).otherwise(train_cap)
+    running = F.sum("n").over(Window.partitionBy("to").orderBy("h", "source_id"))
+    sources = rows.where("source_id is not null").groupBy("source_id").agg(F.count("*").alias("n")).withColumn("h", F.sha1("source_id"))
+    side = sources.withColumn("to", F.when(bucket(F.col("source_id")) < int(share * 100), "val").otherwise("train"))
+    place = F.struct("h", "source_id")
+    full = side.withColumn("upto", running).where(F.col("upto") >= cap).agg(F.min(place).alias("since"), F.min_by("to", place).alias("full"))
+    other = F.when(F.coalesce(place > F.col("since"), F.lit(False)), F.when(F.col("full") == "val", "train").otherwise("val")).otherwise(F.col("to"))
+    room = (cap - F.col("upto") + F.col("n")).alias("room")
+    kept = side.crossJoin(F.broadcast(full)).withColumn("to", other).withColumn("upto", running).select("source_id", "n", "to", room).where("room > 0")  # full is one row
+    own = rows.select("id", "source_id").join(kept, "source_id")
+    order = Window.partitionBy("source_id").orderBy("id")
+    first = own.where("n > room").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max(train_cap, val_cap)).where("rn <= room")
+    return own.where("n <= room").select("id", "source_id", "to").union(first.select("id", "source_id", "to"))
+
+
 def first_picture(annotations: Column) -> Column:
     return F.get(F.filter(annotations, lambda a: F.coalesce(a["category"] == "Picture", F.lit(False))), F.lit(0))["bbox"]
 

@@ -134,6 +134,11 @@ SQL["split_capped"] = f"""WITH {_REC}, s AS (SELECT source_id, count(*) AS n, CA
     k AS (SELECT *, sum(n) OVER (PARTITION BY t ORDER BY sha1(source_id), source_id) AS upto FROM s) SELECT id, t AS "to" FROM rec JOIN k USING (source_id) WHERE upto <= CASE WHEN t = 'val' THEN 200 ELSE 400 END"""
 
 
+def split_filled(spark: SparkSession, d: str) -> DataFrame:
+    """Both sides filled up to the caps of production, overflow to the other side."""
+    return C.filled_split(_records(spark, d)).select("id", "to")
+
+
 def split_leak_fix(spark: SparkSession, d: str) -> DataFrame:
     """Splits after moving validation records of leaking sources to train."""
     return C.repaired_leaks(_records(spark, d)).select("id", "split")
@@ -416,7 +421,7 @@ def page_errors(spark: SparkSession, d: str) -> DataFrame:
 SQL["page_errors"] = "SELECT e.code AS code, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(errors) AS e FROM book_pages) GROUP BY 1"
 
 QUERIES = [
-    flt_bbox_validate, flt_trainable, agg_validation_counts, agg_source_overlap, agg_upper_median, agg_dataset_report, agg_quota, downsample_negatives, split_hash, split_capped, split_leak_fix, top_overfit,
+    flt_bbox_validate, flt_trainable, agg_validation_counts, agg_source_overlap, agg_upper_median, agg_dataset_report, agg_quota, downsample_negatives, split_hash, split_capped, split_filled, split_leak_fix, top_overfit,
     geo_florence_tokens, geo_od_target, geo_box_convert, geo_iou, join_nearest_caption, join_nearby_visuals, join_containment, join_anti_claimed, flt_overlap_suppression, agg_detection_metrics, agg_best_iou,
     figure_normalize, figure_relevance, join_explicit_reference, win_margin, set_interleave, set_unreferenced, join_semi_leaky, agg_eval_metrics, join_grid_calibration, agg_ema, win_running_best, agg_ocr_quality,
     registry_list, registry_upsert, registry_counts, page_errors,

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -77,6 +78,24 @@ def test_curation(spark):
     assert C.report(rows.limit(0)).count() == 1
 
 
+def test_filled_split(spark):
+    rng = random.Random(5)
+    rows = [(f"r{i:04d}", f"s{min(rng.randrange(60), rng.randrange(60))}") for i in range(500)] + [("x", None)] + [(f"t{i}", "hot") for i in range(120)]
+    df = spark.createDataFrame(rows, "id string, source_id string")
+    for train_cap, val_cap in ((1000, 1000), (200, 50), (50, 200), (30, 20), (400, 20), (610, 5)):
+        want, used, caps = {}, {"train": 0, "val": 0}, {"train": train_cap, "val": val_cap}
+        for source in sorted({s for _, s in rows if s}, key=lambda s: hashlib.sha1(s.encode()).hexdigest()):
+            to = "val" if int(hashlib.sha1(source.encode()).hexdigest()[:8], 16) % 100 < 30 else "train"
+            if used[to] >= caps[to]:
+                to = "train" if to == "val" else "val"
+            for i in sorted(i for i, s in rows if s == source)[: caps[to] - used[to]]:
+                want[i] = to
+                used[to] += 1
+        got = [(r.id, r.to) for r in C.filled_split(df, 0.3, train_cap, val_cap).collect()]
+        assert len(got) == len(set(got)) and dict(got) == want
+    assert C.filled_split(df).count() == 620 and C.filled_split(df.limit(0)).count() == 0
+
+
 def test_numbers(spark):
     df = spark.createDataFrame([("a", float(x)) for x in (5, 1, 4, 2)] + [("b", 3.0)], "k string, v double")
     assert {r.k: (r.least, r.middle, r.most) for r in C.upper_median(df, ["k"], "v").collect()} == {"a": (1.0, 4.0, 5.0), "b": (3.0, 3.0, 3.0)}
