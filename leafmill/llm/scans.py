@@ -77,14 +77,21 @@ def anagram(word: Column) -> Column:
     return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda s, c: s + F.when(c == "", F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(c), F.lit(1 << 44))))
 
 
+def _once(rows: DataFrame, column: str) -> DataFrame:
+    """``column, scanned, clean`` once for each text, however many pages have it: whether some are scanned, and some are not."""
+    return rows.groupBy(F.sha2("text", 256).alias("same")).agg(F.first(column).alias(column), F.bool_or("scan").alias("scanned"), F.bool_or(~F.col("scan")).alias("clean"))
+
+
 def vocabulary(rows: DataFrame) -> DataFrame:
-    """``word, n, clean``: how often a word stands within lines, and how often on pages that were not scanned."""
-    words = rows.select("scan", F.explode("tokens").alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n"), F.count_if(~F.col("scan")).alias("clean"))
+    """``word, n, clean, scanned``: how often a word stands within lines of different texts, how often in texts of pages that were
+    not scanned, and of pages that were. Copies of a page don't make its words frequent."""
+    words = _once(rows, "tokens").select("scanned", "clean", F.explode("tokens").alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n"), F.count_if("clean").alias("clean"), F.count_if("scanned").alias("scanned"))
 
 
 def corrections(words: DataFrame, unknown: DataFrame) -> DataFrame:
-    """``word, printed``: the best frequent word of which a rare ``word`` of ``unknown`` (word, n) is a confusable variant."""
+    """``word, printed``: the best frequent word of which a rare ``word`` of ``unknown`` (word, n) is a confusable variant; a word that
+    characters betray need not be rare."""
     frequent = words.where((F.col("n") >= FREQUENT) & ~F.col("word").rlike(_ODD)).select(F.col("word").alias("printed"), F.col("n").alias("often"), anagram(F.col("word")).alias("hash"), fold(F.col("word")).alias("same"))
     rare = unknown.select("word", "n", anagram(F.col("word")).alias("hash"), fold(F.col("word")).alias("same"))
     moves = F.array(*[F.struct(F.lit(a).alias("read"), (anagram(F.lit(b)) - anagram(F.lit(a))).alias("by")) for a, b in CONFUSIONS])
@@ -93,7 +100,7 @@ def corrections(words: DataFrame, unknown: DataFrame) -> DataFrame:
     twice = once.select("word", "n", "same", "hash", F.explode(F.filter(moves, lambda m: F.col("word").contains(m["read"]) & (m["read"] >= F.col("first")))).alias("m"))
     twice = twice.select("word", "n", "same", (F.col("hash") + F.col("m.by")).alias("hash"), F.lit(2).alias("steps"))
     moved = once.select("word", "n", "same", "hash", F.lit(1).alias("steps")).union(twice).distinct()
-    pairs = moved.join(frequent, ["hash", "same"]).where((F.col("often") >= TIMES * F.col("n")) & (F.col("word") != F.col("printed")))
+    pairs = moved.join(frequent, ["hash", "same"]).where(((F.col("often") >= TIMES * F.col("n")) | F.col("word").rlike(_ODD)) & (F.col("word") != F.col("printed")))
     return pairs.groupBy("word").agg(F.min_by("printed", F.struct("steps", -F.col("often"), "printed")).alias("printed"))
 
 
@@ -102,9 +109,9 @@ def misread(rows: DataFrame, words: DataFrame) -> DataFrame:
 
     A word that also stands on pages that were not scanned is what it looks like, unless characters betray it.
     """
-    cut_words = rows.where("scan").select(F.explode("joined").alias("p")).select(F.concat("p.left", "p.right").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    cut_words = _once(rows.where("scan").where(F.size("joined") > 0), "joined").select(F.explode("joined").alias("p")).select(F.concat("p.left", "p.right").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     seen = words.select("word", F.col("n").alias("known"), "clean")
-    every = words.where("n > clean").select("word", "n").unionByName(cut_words.where(F.length("word") <= 60)).groupBy("word").agg(F.max("n").alias("n"))
+    every = words.where("scanned > 0").select("word", "n").unionByName(cut_words.where(F.length("word") <= 60)).groupBy("word").agg(F.max("n").alias("n"))
     unknown = every.join(seen, "word", "left").where((F.coalesce(F.col("clean"), F.lit(0)) == 0) | F.col("word").rlike(_ODD)).where(F.length("word") >= 3).select("word", "n")
     best = corrections(words, unknown)
     return unknown.join(best, "word", "left").where(F.col("printed").isNotNull() | F.col("word").rlike(_ODD)).select("word", "printed")

@@ -56,3 +56,16 @@ def test_repaired(spark):
     plain = BODY.replace("\n", " ")
     assert all(got[k] == plain for k in ("s1", "s2", "s4", "s5", "s6")), got
     assert got["s3"] == "3.6 More On Melting With Tin " + plain and "d1" not in got
+
+
+def test_copies_of_a_page(spark):
+    rows = [(f"c{i}", "b0", i, "digital", f"{BODY} Number {i}.", None, None) for i in range(12)]
+    wrong, cut = BODY.replace("between", "bctween"), BODY.replace("becomes", "be-\ncorncs")
+    rows += [(f"s{i}", f"b{i}", i, "scanned", wrong, None, None) for i in range(10)] + [(f"t{i}", f"b{i}", i, "scanned", cut, None, None) for i in range(10)]
+    both = "It m|neral"
+    rows += [("d1", "b0", 20, "digital", both, None, None), ("u1", "b1", 21, "scanned", both, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.page_id, r.noise) for r in found(df).collect() if r.noise == "misread_char"}
+    assert got == {(f"{k}{i}", "misread_char") for k in "st" for i in range(10)} | {("u1", "misread_char")}
+    plain = {r.page_id: r.repaired for r in repaired(df).collect()}
+    assert all(plain[f"{k}{i}"] == BODY.replace("\n", " ") for k in "st" for i in range(10))
