@@ -112,19 +112,22 @@ def grounded(claims: DataFrame, passages: DataFrame, threshold: float = 0.5, can
     then joined.
 
     ``claims`` has question_id, sentence and what tells its rows apart, such as answer_id and sentence_no; ``passages`` has question_id,
-    place and text. A sentence that several answers to a question say is scored once. Very short sentences need their formulas in a passage.
+    place and text. A sentence that several answers to a question say is scored once. Very short
+    sentences need every part of their formula somewhere in the whole texts of the first eight places.
     """
     pairs = claims.select("question_id", "sentence").distinct().join(passages.where("place <= 8"), "question_id", "left")
     shared = F.size(F.array_intersect(T.tokens(F.col("sentence")), T.tokens(F.col("text"))))
     order = Window.partitionBy("question_id", "sentence").orderBy(F.desc("shared"), "place")
-    best = pairs.withColumn("shared", F.coalesce(shared, F.lit(0))).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= candidates)
+    ranked = pairs.withColumn("shared", F.coalesce(shared, F.lit(0))).withColumn("rn", F.row_number().over(order))
+    near, short = F.col("rn") <= candidates, F.size(T.tokens(F.col("sentence"))) < 4
+    parts = lambda name: F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0))
     premise = F.array_join(F.slice(T.words(F.coalesce("text", F.lit(""))), 1, 320), " ")
-    listed = best.withColumn("premise", premise).groupBy("question_id", "sentence").agg(F.max(backend.entailment(premise, F.col("sentence"))).alias("single"), F.array_sort(F.collect_list(F.struct("rn", "premise"))).alias("l"))
+    said = ranked.withColumn("premise", F.when(near & ~short, premise)).withColumn("seen", F.when(short, F.array_intersect(parts("sentence"), parts("text"))))
+    listed = said.groupBy("question_id", "sentence").agg(F.max(F.when(near & ~short, backend.entailment(F.col("premise"), F.col("sentence")))).alias("single"), F.array_sort(F.collect_list(F.when(near & ~short, F.struct("rn", "premise")))).alias("l"), F.flatten(F.collect_list("seen")).alias("seen"))
     joined = F.array_join(F.transform("l", lambda x: x["premise"]), " ")
     second = F.when((F.col("single") < threshold) & (F.size("l") > 1), backend.entailment(joined, F.col("sentence")))
-    parts = F.regexp_extract_all("sentence", F.lit("[A-Za-z0-9]+"), F.lit(0))
-    formula = F.size(F.array_except(parts, F.regexp_extract_all(joined, F.lit("[A-Za-z0-9]+"), F.lit(0)))) == 0
-    score = F.when(F.size(T.tokens(F.col("sentence"))) < 4, F.when(formula, 1.0).otherwise(0.0)).otherwise(F.greatest("single", F.coalesce(second, F.lit(0.0))))
+    formula = (F.size(parts("sentence")) > 0) & (F.size(F.array_except(parts("sentence"), F.col("seen"))) == 0)
+    score = F.when(short, F.when(formula, 1.0).otherwise(0.0)).otherwise(F.greatest("single", F.coalesce(second, F.lit(0.0))))
     scored = listed.select(F.col("question_id").alias("q"), F.col("sentence").alias("s"), F.round(score, 6).alias("score"), (score >= threshold).alias("kept"))
     same = F.col("question_id").eqNullSafe(F.col("q")) & (F.col("sentence") == F.col("s"))
     return claims.join(scored, same).drop("q", "s", "sentence")

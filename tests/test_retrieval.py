@@ -65,6 +65,14 @@ def test_exercise_penalty_and_entailment(spark):
     assert [r.kept for r in A.grounded(claims, passages).orderBy("sentence_no").collect()] == [True, False, True, False]
 
 
+def test_formulas_in_all_passages(spark):
+    claims = spark.createDataFrame([("q", 0, "2MgO"), ("q", 1, "3KCl"), ("q", 2, "जब नमक"), ("q", 3, "H2O 9Zn"), ("none", 0, "2MgO")], "question_id string, sentence_no int, sentence string")
+    texts = ["word " * 400 + "2MgO", "a", "b", "H2O c", "9Zn", "e", "f", "3 KCl", "3KCl"]
+    passages = spark.createDataFrame([("q", i, t) for i, t in enumerate(texts, 1)], "question_id string, place int, text string")
+    got = {(r.question_id, r.sentence_no): r.kept for r in A.grounded(claims, passages).collect()}
+    assert got == {("q", 0): True, ("q", 1): False, ("q", 2): False, ("q", 3): True, ("none", 0): False}
+
+
 def test_every_answer_is_grounded(spark, tmp_path):
     chunks, q = frames(spark)
     chunks.write.parquet(f"{tmp_path}/chunks.parquet")
