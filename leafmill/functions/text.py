@@ -72,14 +72,17 @@ def terms(text: Column) -> Column:
 
 
 def collapse_phrases(text: Column) -> Column:
-    """A phrase of 3 to 60 characters said several times in a row is said once."""
-    return F.regexp_replace(text, r"(?i)\b(.{3,60}?)(?:\s+\1\b)+", "$1")
+    """A phrase of 3 to 60 characters said several times in a row is said once.
+
+    The possessive ``++`` matches the same, as nothing follows it, and takes no stack for each time, so lines may be of any length.
+    """
+    return F.regexp_replace(text, r"(?i)\b(.{3,60}?)(?:\s+\1\b)++", "$1")
 
 
 def clean_line(line: Column) -> Column:
     """Without symbol-font bullet, with repeated phrases and white space collapsed."""
     bare = F.regexp_replace(F.trim(line), r"^(?:[nqlv•▪●■◆➢✓]\s+)(?=[A-Z(])", "")
-    return squeeze(F.when(F.length(bare) <= 2000, collapse_phrases(bare)).otherwise(bare))
+    return squeeze(collapse_phrases(bare))
 
 
 def is_heading(line: Column) -> Column:

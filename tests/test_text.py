@@ -22,6 +22,12 @@ def test_lines_and_headings(spark):
     assert values(spark, ["Q U E S T I O N S ?", "A B", "A BC D E"], T.is_spaced_letters) == [True, False, False]
 
 
+def test_long_lines(spark):
+    rest = " ".join(f"w{i}" for i in range(60_000))
+    got = values(spark, [f"the wet soil the wet soil the wet soil dries {rest}", "the wet soil " * 200_000, rest, "a" * 300_000, "ab" + " " * 50_000 + "cd"], T.clean_line)
+    assert got == [f"the wet soil dries {rest}", "the wet soil", rest, "a" * 300_000, "ab cd"]
+
+
 def test_sentences(spark):
     got = values(spark, ["It melts. Why? (a) Heat it. (b) Cool it.", "1. What is it? 2. Name one.", "No end", ""], T.sentences)
     assert got == [["It melts.", "Why?", "(a) Heat it.", "(b) Cool it."], ["1. What is it?", "2. Name one."], ["No end"], []]
