@@ -1,5 +1,6 @@
 import random
 
+from leafmill.llm import overlap
 from leafmill.llm.overlap import _match_boxes, _prefix, coverage, found, shared_spans
 
 SCHEMA = "id string, dataset string, split string, source_id string, doc_category string, image_filename string, image_path string, width int, height int, annotations array<struct<category:string,bbox:array<double>>>, side string"
@@ -48,6 +49,16 @@ def test_spans_against_brute_force(spark):
     assert got == want
 
 
+def test_borders_of_partitions(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "SUFFIXES", 5)
+    test_spans_against_brute_force(spark)
+    test_same_file(spark)
+    test_layouts_against_brute_force(spark)
+    rows = [("t", "d", "train", "s", "one/folder/page_000001.png", None)] + [(f"v{i:02}", "d", "val", "s", f"one/folder/page_000001 ({i}).png", None) for i in range(40)]
+    rows += [(f"w{i:02}", "d", "val", "s", f"one/folder/page_00000{i}.png", None) for i in range(10, 40)]
+    assert sorted(tuple(r) for r in found(frame(spark, rows)).collect()) == [("t", f"v{i:02}") for i in range(40)]
+
+
 def test_coverage_and_empty(spark):
     rows = [("t", "d", "train", "s", "x/y/page_0000000000000001.png", None), ("v", "d", "val", "s2", "x/y/page_0000000000000001.png", None), ("u", "d", "val", "s3", "q", None)]
     got = {(r.split, r.source_id): (r.records, r.overlapping, r.covered) for r in coverage(frame(spark, rows)).collect()}
