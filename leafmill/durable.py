@@ -23,9 +23,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[key]
 
 
+def _file(spark: SparkSession, path: str):
+    """The Hadoop path and its file system; Spark has no public API that deletes files."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def work_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends, unless it is dropped before."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    where, fs = _file(spark, path)
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
 def cut(df: DataFrame, tag: str = "step") -> tuple[DataFrame, str]:
-    """Write ``df`` as a table in the shared folder and read it again. The path goes to :func:`drop` when it is over."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    """Write ``df`` as a table in the shared folder and read it again. The path goes to :func:`drop` when it is over; what a
+    result still reads stays until the driver ends."""
+    path = work_path(df.sparkSession, tag)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
@@ -33,13 +49,6 @@ def cut(df: DataFrame, tag: str = "step") -> tuple[DataFrame, str]:
 def drop(spark: SparkSession, path: str | None) -> None:
     """Delete a table made by :func:`cut`."""
     if path:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark clear away the shuffle files of steps that are over; without it they stay until the driver's next GC."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        where, fs = _file(spark, path)
+        fs.delete(where, True)
+        fs.cancelDeleteOnExit(where)

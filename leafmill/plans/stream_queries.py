@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.durable import shared_dir
+from leafmill.durable import work_path
 from leafmill.streaming import ingest
 
 SQL: dict[str, str] = {}
@@ -14,7 +12,7 @@ SQL: dict[str, str] = {}
 
 def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     """Ingested pages by day, worked off as a stream."""
-    work = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    work = work_path(spark, "stream")
     ingest.run_available(ingest.daily_counts(ingest.page_stream(spark, f"{d}/book_pages.parquet")), f"{work}/out", f"{work}/checkpoint", "complete")
     return spark.read.parquet(f"{work}/out")
 
@@ -24,7 +22,7 @@ SQL["stream_daily_counts"] = "SELECT ingested_at::DATE::VARCHAR AS day, count(*)
 
 def stream_pages_once(spark: SparkSession, d: str) -> DataFrame:
     """Pages delivered again are taken once."""
-    work = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    work = work_path(spark, "stream")
     ingest.run_available(ingest.latest_pages(ingest.page_stream(spark, f"{d}/book_pages.parquet")).select("page_id", "book_id"), f"{work}/out", f"{work}/checkpoint")
     return spark.read.parquet(f"{work}/out").groupBy("book_id").count().withColumnRenamed("count", "pages")
 
