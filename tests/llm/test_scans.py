@@ -1,8 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from leafmill.llm.scans import CONFUSIONS, corrections, fold, found, repaired
+from leafmill.llm.scans import CONFUSIONS, _folded, _repair, corrections, fold, found, line_breaks, repaired
 
 SCHEMA = "page_id string, book_id string, page_number int, page_type string, raw_text string, text string, noise string"
 BODY = "The mineral forms between soft rubber and sea water. The heat-resistant friction becomes dense under the lamp, and the curved mirror keeps its shape.\nA second paragraph follows the first one."
@@ -69,3 +70,40 @@ def test_copies_of_a_page(spark):
     assert got == {(f"{k}{i}", "misread_char") for k in "st" for i in range(10)} | {("u1", "misread_char")}
     plain = {r.page_id: r.repaired for r in repaired(df).collect()}
     assert all(plain[f"{k}{i}"] == BODY.replace("\n", " ") for k in "st" for i in range(10))
+
+
+def test_no_limits_of_length_or_script(spark):
+    long = "Donaudampfschifffahrtselektrizitaetenhauptbetriebswerkbauunterbeamtengesellschaft".lower()
+    title = " ".join(["Earth And Water Reader For Upper Classes"] * 4)
+    hindi = [("h%d" % i, "b7", i, "scanned", f"पृथ्वी और जल\nयह पाठ {w} के बारे में है।\nयहाँ और भी लिखा है।", None, None) for i, w in enumerate(("नमक", "राख", "काँच"))]
+    rows = [(f"c{i}", "b0", i, "digital", f"The {long} number {w} is near.", None, None) for i, w in enumerate(("one", "two", "three", "four", "five"))]
+    rows += [("s1", "b1", 1, "scanned", f"{title}\nThe {long.replace('h', 'b', 1)} is near.\nIt is here.", None, None), ("s2", "b1", 2, "scanned", f"{title}\nNothing is here.\nIt is so.", None, None), *hindi]
+    got = {(r.page_id, r.noise) for r in found(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {("s1", "misread_char"), ("s1", "running_header"), ("s2", "running_header")} | {(f"h{i}", "running_header") for i in range(3)}
+
+
+def test_a_misread_word_may_stand_on_a_digital_page(spark):
+    rows = [(f"c{i}", "b0", i, "digital", f"The mineral becomes dense in case {w}.", None, None) for i, w in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    rows += [("typo", "b0", 99, "digital", "The minerai becomes dense in this case.", None, None)]
+    rows += [(f"s{i}", "b1", i, "scanned", f"The bccomes case {w}.", None, None) for i, w in enumerate(("one", "two"))]
+    more = [(f"d{i}", "b2", i, "digital", f"It becomes so {w} and bccomes.", None, None) for i, w in enumerate("wxyz")]
+    got = {r.page_id for r in found(spark.createDataFrame(rows + more, SCHEMA)).collect() if r.noise == "misread_char"}
+    assert got == set()  # as often on digital pages as on scanned ones
+    many = [(f"m{i}", "b3", i, "scanned", f"Here bccomes is said {i}a{i}.", None, None) for i in range(60)]
+    frequent = [(f"f{i}", "b4", i, "digital", f"It becomes {i}z so.", None, None) for i in range(400)]
+    got = {r.page_id for r in found(spark.createDataFrame(rows + more + many + frequent, SCHEMA)).collect() if r.noise == "misread_char"}
+    assert {f"m{i}" for i in range(60)} <= got
+
+
+@pytest.mark.parametrize("text", ["a-\nb-\nc", "one- \n\n two", "-\nx", "x-\n5", "a" * 200_000 + "-\n" + "b" * 10, "", "\n", "12-\n13"])
+def test_line_breaks(text):
+    found_here = line_breaks(text)
+    assert all(text[b:e].startswith(left) and text[b:e].endswith(right) for b, e, left, right in found_here)
+    whole = _repair(text, set(), {}, set())
+    assert not line_breaks(whole) and "".join(whole.split()).replace("-", "") == "".join(text.split()).replace("-", "")
+
+
+def test_both_folds_agree(spark):
+    words = ["Mineral", "ﬁeld", "w8", "burner", "ı|l", "ÄÖ", "जल"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", fold(F.col("w")).alias("f")).collect()
+    assert all(r.f == _folded(r.w) for r in got)
