@@ -35,14 +35,15 @@ _COPY = r"(?:[ _.\-]*\(\d+\)|[ _.\-]+\(?(?:copy|kopie|copie|copia|duplicate)\)?(
 
 def canonical_path(path: Column) -> Column:
     """The path as a list of names in lower case, without dots, copy marks and image type; null where nothing is left."""
-    decoded = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    decoded = F.when(path.contains("%"), F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)).otherwise(path)
     plain = F.lower(F.trim(F.replace(decoded, F.lit("\\"), F.lit("/"))))
     plain = F.regexp_replace(plain, r"^(?:file:/{2,3}|[a-z]:/)", "")
 
     def step(done: Column, name: Column) -> Column:
-        return F.when(name.isin("", "."), done).when(name == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, name))
+        return F.when(name == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, name))
 
-    names = F.aggregate(F.split(plain, "/"), F.array().cast("array<string>"), step)
+    names = F.filter(F.split(plain, "/"), lambda name: ~name.isin("", "."))
+    names = F.when(F.array_contains(names, ".."), F.aggregate(names, F.array().cast("array<string>"), step)).otherwise(names)
     stem = F.try_element_at(names, F.lit(-1))
     for _ in range(2):
         stem = F.regexp_replace(F.regexp_replace(F.regexp_replace(stem, _IMAGE, ""), _COPY, ""), r"^copy[ _]of[ _]", "")
@@ -75,7 +76,7 @@ def _each(marks: Column, options: Column) -> Column:
 
 
 def texts(rows: DataFrame) -> DataFrame:
-    """``id, side, kind, text, need, boxes``, once each; the first ``need`` characters of a text are what tells a page.
+    """``id, side, kind, text, need, boxes``; the first ``need`` characters of a text are what tells a page.
 
     Nearly equal layouts have means that differ by the tolerance at most, so a layout of the evaluation side is written once for each
     cell that its partner's means can lie in.
@@ -91,7 +92,7 @@ def texts(rows: DataFrame) -> DataFrame:
         marks = _each(marks, options)
     cells = rows.where("boxes is not null").withColumn("means", F.transform(sums, lambda x: x / n))
     layout = cells.select("id", "side", F.lit("layout").alias("kind"), F.explode(marks).alias("t"), F.lit("").alias("rest"), "boxes")
-    return path.unionByName(layout).select("id", "side", "kind", F.concat(F.rpad("t", need, _END), "rest").alias("text"), need.alias("need"), "boxes").distinct()
+    return path.unionByName(layout).select("id", "side", "kind", F.concat(F.rpad("t", need, _END), "rest").alias("text"), need.alias("need"), "boxes")
 
 
 def _prefix(a: str, b: str) -> int:
@@ -177,7 +178,7 @@ def suffix_array(all_texts: DataFrame) -> tuple[DataFrame, list[str]]:
     all_texts = _with_need(all_texts)
     has = lambda side: F.max(F.col("side") == side)
     distinct = all_texts.groupBy("text").agg(has("train").alias("train"), has("eval").alias("eval"), F.max("need").alias("need"))
-    array = distinct.select("train", "eval", "need", "text", F.explode(_starts()).alias("at")).select("train", "eval", F.when(F.col("at") == 0, F.col("need")).otherwise(0).alias("need"), F.expr("substring(text, at + 1)").alias("suffix"))
+    array = distinct.select("train", "eval", "need", "text", F.explode(_starts()).alias("at")).select("train", "eval", F.when(F.col("at") == 0, F.col("need")).otherwise(0).alias("need"), F.expr(_SUFFIX))
     merged, merged_path = cut(array.groupBy("suffix").agg(F.max("need").alias("need"), F.max("train").alias("train"), F.max("eval").alias("eval")), "suffixes")
     parts = max(1, math.ceil(merged.count() / SUFFIXES))
     if parts > MOST_PARTITIONS:
@@ -207,18 +208,22 @@ def suffix_array(all_texts: DataFrame) -> tuple[DataFrame, list[str]]:
     return looked.where("edge is null").mapInArrow(over_borders, "suffix string, shared int, run string"), [merged_path, looked_path]
 
 
+# How a name was written belongs to the whole text only, so the folders of many files are one suffix.
+_SUFFIX = "if(at = 0, text, substring(text, at + 1, need - at)) as suffix"
+
+
 def _starts() -> Column:
-    """Where the names of ``text`` start whose suffix is long enough."""
-    names = F.split("text", r"\|")
+    """Where the names of ``text`` start of which enough is left."""
+    names = F.split(F.substring(F.col("text"), F.lit(1), F.col("need")), r"\|")
     places = F.transform(names, lambda w, i: F.when(i == 0, 0).otherwise(F.length(F.array_join(F.slice(names, 1, i), "|")) + 1))
-    return F.filter(places, lambda p: F.length("text") - p >= MIN_SPAN)
+    return F.filter(places, lambda p: F.col("need") - p >= MIN_SPAN)
 
 
 def shared_spans(all_texts: DataFrame, array: DataFrame | None = None) -> DataFrame:
     """``text, need, at, shared, run``: spans of each distinct text, from its words' starts on, that a text of the other side has too."""
     array = suffix_array(all_texts)[0] if array is None else array
     distinct = _with_need(all_texts).groupBy("text").agg(F.max("need").alias("need"))
-    placed = distinct.select("text", "need", F.explode(_starts()).alias("at")).withColumn("suffix", F.expr("substring(text, at + 1)"))
+    placed = distinct.select("text", "need", F.explode(_starts()).alias("at")).select("*", F.expr(_SUFFIX))
     return placed.join(array, "suffix").select("text", "need", "at", "shared", "run")
 
 
@@ -260,14 +265,15 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array([_match_boxes(x, y) for x, y in zip(a, b, strict=True)], pa.bool_())).select([0, 1])
 
 
-def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
-    """The texts of the records, their coverage, and the tables that hold both."""
-    every, path = cut(texts(rows), "texts")  # read by several steps
+def _candidates(rows: DataFrame, all_texts: bool) -> tuple[DataFrame, DataFrame]:
+    """The texts of the records and their coverage, of all texts or of those that are in a run."""
+    every, _ = cut(texts(rows), "texts")  # read by several steps
     array, paths = suffix_array(every)
-    share, share_path = cut(covered(shared_spans(every, array)), "coverage")
-    for p in paths:
-        drop(rows.sparkSession, p)
-    return every, share, [path, share_path]
+    looked = every if all_texts else every.join(array.where("run is not null").select(F.col("suffix").alias("text")), "text", "left_semi")
+    share, _ = cut(covered(shared_spans(looked, array)), "coverage")
+    for path in paths:
+        drop(rows.sparkSession, path)
+    return every, share
 
 
 def _pairs(every: DataFrame, share: DataFrame) -> DataFrame:
@@ -285,7 +291,7 @@ def found(manifest: DataFrame) -> DataFrame:
     Null ids and splits take no part; a null path, null or too few boxes, or null dataset or source only rule out their own
     way; repeated rows give a pair once.
     """
-    every, share, _ = _candidates(records(manifest))
+    every, share = _candidates(records(manifest), all_texts=False)
     return _pairs(every, share)
 
 
@@ -296,7 +302,7 @@ def coverage(manifest: DataFrame) -> DataFrame:
     spans shared with the other side.
     """
     rows = records(manifest)
-    every, share, _ = _candidates(rows)
+    every, share = _candidates(rows, all_texts=True)
     by_id = every.select("id", "text").join(share, "text").groupBy("id").agg(F.max("share").alias("share"))
     pairs = _pairs(every, share)
     hit = pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct().withColumn("hit", F.lit(1))
