@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from leafmill.durable import cut, drop
 
-#: Vectors for each pivot and the most pivots (their vectors are all that the driver holds), blocks of a vector, largest block.
-PER_PIVOT, MOST_PIVOTS, NEAREST, BLOCK = 300, 4096, 3, 4000
+#: Vectors for each pivot, pivots at the top and the most pivots in all (their vectors are all that the driver holds and sends out,
+#: 67 MB at 64 numbers each), blocks of a vector, largest block.
+PER_PIVOT, TOP_PIVOTS, MOST_PIVOTS, NEAREST, BLOCK = 300, 2048, 1 << 18, 3, 4000
 #: Edges kept for a vector, and neighbours joined at a vector in a round.
 DEGREE, JOINED = 10, 30
 _SCALE, _NEAR = 32767.0, 5e-5
@@ -50,28 +51,69 @@ def _unpacked(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.frombuffer(data, np.int16).reshape(-1, dim).astype(np.float32) / np.float32(_SCALE)
 
 
+class Pivots:
+    """Pivots in one level, or in two where they are many: a vector is compared with those that lie nearest to its nearest top pivots."""
+
+    def __init__(self, vectors: np.ndarray) -> None:
+        self.count = len(vectors)
+        flat = len(vectors) <= 2 * TOP_PIVOTS
+        self.top = vectors if flat else vectors[:TOP_PIVOTS]
+        self.groups: list[tuple[np.ndarray, np.ndarray]] | None = None
+        if not flat:
+            own = np.concatenate([(vectors[a : a + 4096] @ self.top.T).argmax(axis=1) for a in range(0, len(vectors), 4096)])
+            self.groups = [(rows, vectors[rows]) for rows in (np.flatnonzero(own == t) for t in range(len(self.top)))]
+
+    @staticmethod
+    def _best(s: np.ndarray, m: int) -> np.ndarray:
+        near, at = np.empty((len(s), m), np.int32), np.arange(len(s))
+        for j in range(m):
+            near[:, j] = s.argmax(axis=1)
+            s[at, near[:, j]] = -2
+        return near
+
+    def nearest(self, x: np.ndarray, m: int) -> np.ndarray:
+        """The ``m`` nearest pivots of each vector, nearest first."""
+        if self.groups is None:
+            return self._best(x @ self.top.T, m)
+        tops = self._best(x @ self.top.T, min(4, len(self.top)))
+        ids = np.full((len(x), tops.shape[1] * m), -1, np.int32)
+        sims = np.full(ids.shape, -2, np.float32)
+        for t in np.unique(tops):
+            rows, column = np.nonzero(tops == t)
+            own, vectors = self.groups[t]
+            k = min(m, len(own))
+            s = x[rows] @ vectors.T
+            best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            at = column[:, None] * m + np.arange(k)
+            ids[rows[:, None], at] = own[best]
+            sims[rows[:, None], at] = np.take_along_axis(s, best, axis=1)
+        return np.take_along_axis(ids, np.argsort(-sims, axis=1, kind="stable")[:, :m], axis=1)
+
+
 def _assigned(vectors: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
     """``id, near, q``: the nearest pivots of each usable vector, and the vector in fixed point."""
-    held = vectors.sparkSession.sparkContext.broadcast(pivots)
+    held = vectors.sparkSession.sparkContext.broadcast(Pivots(pivots))
     m = min(NEAREST, len(pivots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, x = _matrix(batch.column(1), dim)
-            near = np.empty((len(x), m), np.int32)
-            for a in range(0, len(x), 4096):
-                s = x[a : a + 4096] @ held.value.T
-                at = np.arange(len(s))
-                for j in range(m):
-                    best = s.argmax(axis=1)
-                    near[a : a + 4096, j] = best
-                    s[at, best] = -2
+            near = np.concatenate([held.value.nearest(x[a : a + 4096], m) for a in range(0, len(x), 4096)]) if len(x) else np.empty((0, m), np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * m), pa.array(near.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), lists, _packed(x) if len(x) else pa.array([], pa.binary())], ["id", "near", "q"])
 
     return vectors.mapInArrow(run, "id bigint, near array<int>, q binary")
 
 
+def _sampled(vectors: DataFrame, wanted: int, total: int, dim: int) -> np.ndarray:
+    """About ``wanted`` different vectors (columns id, e), chosen by the hashes of their ids; all of few."""
+    share = min(1.0, (1.1 * wanted + 50) / max(1, total))
+    chosen = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("id", "e").toArrow()
+    _, found_here = _matrix(chosen["e"], dim)
+    pivots = np.unique(found_here, axis=0)
+    return pivots[np.random.default_rng(0).permutation(len(pivots))[:wanted]]
+
+
 def _edges(v: np.ndarray, u: np.ndarray, sim: np.ndarray) -> pa.Table:
     return pa.table({"v": pa.array(v, pa.int64()), "u": pa.array(u, pa.int64()), "sim": pa.array(sim, pa.float32())})
 
@@ -142,13 +184,13 @@ def _best(edges: DataFrame, degree: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= degree)
 
 
-def graph(index: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", dim: int = 64, least: float = -1.0, rounds: int = 6, settled: float = 0.001, degree: int = DEGREE) -> DataFrame:
+def graph(index: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", dim: int = 64, least: float = -1.0, rounds: int = 6, settled: float = 0.001, degree: int = DEGREE, joined: int = JOINED) -> DataFrame:
     """``v, u, sim, rank``: up to ``degree`` most similar other vectors of every vector, of those with cosine ``least`` or more.
 
     Null vectors, vectors with null or non-finite parts, of another length than ``dim`` or all zero take no part; a repeated id
     counts once (its rows are the same vector); null ids are left out. Exact copies are neighbours like any others; of more
-    equally similar ones those with the smaller ids are kept. Pivots are a sample fixed by the ids' hashes, at most ``MOST_PIVOTS``; every vector is
-    indexed. A block beyond ``BLOCK`` vectors is split by hash and its parts find each other through the joins of neighbours. The
+    equally similar ones those with the smaller ids are kept. Pivots are a sample fixed by the ids' hashes, at most ``MOST_PIVOTS``, which
+    keeps blocks small up to 78 million vectors; every vector is indexed. A block beyond ``BLOCK`` vectors is split by hash and its parts find each other through the joins of neighbours. The
     rounds end when fewer than ``settled`` of all edges are new.
     """
     spark = index.sparkSession
@@ -158,34 +200,33 @@ def graph(index: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     if not total:
         return empty
     wanted = min(MOST_PIVOTS, max(1, math.ceil(total / PER_PIVOT)))
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(2 * wanted).toArrow()
-    _, pivots = _matrix(sample["e"], dim)
+    pivots = _sampled(vectors, wanted, total, dim)
     if not len(pivots):
         return empty
-    pivots = np.unique(pivots, axis=0)[: 2 * wanted]
-    pivots = pivots[np.random.default_rng(0).permutation(len(pivots))[:wanted]]
     placed, placed_path = cut(_assigned(vectors, pivots, dim), "vectors")
-    sizes = {r[0]: r[1] for r in placed.select(F.explode("near").alias("b")).groupBy("b").count().collect()}  # one row for each pivot
-    parts = F.array(*[F.lit(max(1, math.ceil(sizes.get(b, 0) / BLOCK))) for b in range(len(pivots))])
+    sizes = placed.select(F.explode("near").alias("near")).groupBy("near").count()
+    split = sizes.where(F.col("count") > BLOCK).select("near", F.ceil(F.col("count") / BLOCK).alias("parts"))
 
-    def block(pivot: Column, vector: Column) -> Column:
-        return pivot.cast("bigint") * (1 << 20) + F.pmod(F.xxhash64(vector, pivot), F.get(parts, pivot))  # other companions for each pivot
+    def blocks(rows: DataFrame) -> DataFrame:
+        """``rows`` (id, near and others) with their block b; the parts of a large block have other companions for each pivot."""
+        part = F.pmod(F.xxhash64("id", "near"), F.coalesce("parts", F.lit(1)))
+        return rows.join(split, "near", "left").select((F.col("near").cast("bigint") * (1 << 20) + part).alias("b"), *[c for c in rows.columns if c != "near"])
 
     schema = "v bigint, u bigint, sim float"
-    apart = placed.select("id", "q", F.explode("near").alias("b")).select(block(F.col("b"), F.col("id")).alias("b"), "id", "q")
+    apart = blocks(placed.select("id", "q", F.explode("near").alias("near")))
     first = apart.groupBy("b").applyInArrow(_within(dim, degree, least), schema)
     edges, path = cut(_best(first.withColumn("new", F.lit(True)), degree), "graph")
-    home = placed.select("id", block(F.element_at("near", 1), F.col("id")).alias("b")).dropDuplicates(["id"])
+    home, home_path = cut(blocks(placed.select("id", F.element_at("near", 1).alias("near")).dropDuplicates(["id"])), "home")
     for _ in range(rounds):
         both = edges.select(F.col("v").alias("hub"), F.col("u").alias("w"), "new", "sim").union(edges.select("u", "v", "new", "sim"))
         members = both.groupBy("hub", "w").agg(F.max("new").alias("new"), F.max("sim").alias("sim"))
         order = Window.partitionBy("hub").orderBy(F.desc("sim"), F.xxhash64("w"))
-        members = members.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= JOINED).select("hub", "w", "new")
+        members = members.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= joined).select("hub", "w", "new")
         members, members_path = cut(members.join(home.withColumnRenamed("id", "hub"), "hub").select("b", "hub", "w", "new"), "members")
         needed = members.select("b", F.col("w").alias("id")).distinct().join(placed.select("id", "q"), "id").select((F.col("b") + 0).alias("b"), "id", "q")
-        joined = members.groupBy("b").cogroup(needed.groupBy("b")).applyInArrow(_local_join(dim, least), schema)
+        pairs = members.groupBy("b").cogroup(needed.groupBy("b")).applyInArrow(_local_join(dim, least), schema)
         old = edges.select("v", "u", "sim", F.lit(False).alias("new"))
-        better, new_path = cut(_best(old.union(joined.withColumn("new", F.lit(True))), degree), "graph")
+        better, new_path = cut(_best(old.union(pairs.withColumn("new", F.lit(True))), degree), "graph")
         drop(spark, path)
         drop(spark, members_path)
         edges, path = better, new_path
@@ -193,6 +234,7 @@ def graph(index: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
         if counts[1] <= settled * counts[0]:
             break
     drop(spark, placed_path)
+    drop(spark, home_path)
     return edges.select("v", "u", "sim", "rank")
 
 
@@ -208,19 +250,20 @@ def _similar(dim: int):
 def search(index: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 5, beam: int = 16, entries: int = 16, most_rounds: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", dim: int = 64) -> DataFrame:
     """``q, u, sim, rank``: the ``k`` most similar indexed vectors of each query vector, other than itself, by greedy search of a graph.
 
-    ``edges`` (v, u) come from :func:`graph` without a limit. A search starts from ``entries`` vectors of the query's nearest
+    ``edges`` (v, u, sim) come from :func:`graph` without a limit. A search starts from ``entries`` vectors of the query's nearest
     pivots and in each round goes to the neighbours of its ``beam`` best vectors that it hasn't left yet, until all of these
     have been left. Queries are a stated set with ids of their own; unusable ones have no result.
     """
     spark = index.sparkSession
     take = lambda df: df.where(f"{id_col} is not null").select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("e")).where(F.size("e") == dim)
-    _, pivots = _matrix(take(index).orderBy(F.xxhash64("id"), "id").limit(256).toArrow()["e"], dim)
+    pivots = _sampled(take(index), 256, take(index).count(), dim)
     empty = spark.createDataFrame([], "q bigint, u bigint, sim float, rank int")
     if not len(pivots):
         return empty
-    placed, _ = cut(_assigned(take(index), pivots, dim), "vectors")
-    asked, _ = cut(_assigned(take(queries), pivots, dim).dropDuplicates(["id"]), "queries")
-    hops, _ = cut(edges.select("v", "u").union(edges.select("u", "v")).distinct(), "hops")
+    placed, placed_path = cut(_assigned(take(index), pivots, dim), "vectors")
+    asked, asked_path = cut(_assigned(take(queries), pivots, dim).dropDuplicates(["id"]), "queries")
+    back = edges.select(F.col("u").alias("v"), F.col("v").alias("u"), "sim").withColumn("rn", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "u"))).where(F.col("rn") <= JOINED)
+    hops, hops_path = cut(edges.select("v", "u").union(back.select("v", "u")).distinct(), "hops")
     spread = placed.select("id", F.element_at("near", 1).alias("b"))
     doors = spread.withColumn("rn", F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("id")))).where(F.col("rn") <= entries).select("b", F.col("id").alias("u"))
     fresh = asked.select(F.col("id").alias("q"), F.explode("near").alias("b")).join(doors, "b").select("q", "u").distinct()
@@ -238,16 +281,18 @@ def search(index: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 5, b
         fresh = ahead.join(hops, "v").select("q", "u").distinct().join(best.select("q", "u"), ["q", "u"], "left_anti")
         if ahead.isEmpty():
             break
+    for over in (placed_path, asked_path, hops_path):
+        drop(spark, over)
     return state.where(F.col("rank") <= k).select("q", "u", "sim", "rank")
 
 
 def found(index: DataFrame, least: float = 0.90, k: int = 5, dim: int = 64) -> DataFrame:
     """``(vec_a, vec_b)``, vec_a < vec_b: pairs of cosine ``least`` or more of which one is among the ``k`` most similar of the other.
 
-    Only edges up to 0.15 below the limit are followed. Pairs within the error of the fixed point numbers are decided with the
-    stored vectors.
+    The graph has no limit of similarity, so descent leads to the pairs from any first graph; it has fewer edges than one for search.
+    Pairs within the error of the fixed point numbers are decided with the stored vectors.
     """
-    edges = graph(index, dim=dim, least=least - 0.15).where((F.col("rank") <= k) & (F.col("sim") >= least - _NEAR))
+    edges = graph(index, dim=dim, degree=k + 3, joined=20).where((F.col("rank") <= k) & (F.col("sim") >= least - _NEAR))
     pairs = edges.groupBy(F.least("v", "u").alias("vec_a"), F.greatest("v", "u").alias("vec_b")).agg(F.max("sim").alias("sim"))
     sure = pairs.where(F.col("sim") >= least + _NEAR).select("vec_a", "vec_b")
     vectors = index.where(F.size("embedding") == dim).select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
@@ -257,3 +302,14 @@ def found(index: DataFrame, least: float = 0.90, k: int = 5, dim: int = 64) -> D
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
     checked = near.where(dot("a", "b") / F.sqrt(dot("a", "a") * dot("b", "b")) >= least).select("vec_a", "vec_b").distinct()
     return sure.union(checked)
+
+
+def searched(index: DataFrame, k: int = 5, dim: int = 64) -> DataFrame:
+    """``vec_id, neighbour, score, rank``: the ``k`` most similar other vectors of each vector whose id is divisible by 50.
+
+    The graph has no limit of similarity. Scores are cosines of the fixed point numbers, exact to about 1e-5; unusable vectors have no
+    result, fewer than ``k`` other vectors give fewer rows.
+    """
+    edges = graph(index, dim=dim)
+    out = search(index, edges, index.where("vec_id % 50 = 0"), k, dim=dim)
+    return out.select(F.col("q").alias("vec_id"), F.col("u").alias("neighbour"), F.col("sim").alias("score"), "rank")

@@ -19,6 +19,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.found(table(spark, d, "book_index"))
 
 
+def p1_search(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar vectors of every vector whose id is divisible by 50, by greedy search of the unlimited graph."""
+    return neighbours.searched(table(spark, d, "book_index"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Defective answers."""
     return answers.found(table(spark, d, "answer_results"), table(spark, d, "qa_golden"))
@@ -90,7 +95,7 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_repaired, p4_found, p4_coverage, p5_found, p5_pieces, p6_found, p6_assigned, p7_ids, p8_found, p8_by_item, p9_found, p9_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_search, p2_found, p3_found, p3_repaired, p4_found, p4_coverage, p5_found, p5_pieces, p6_found, p6_assigned, p7_ids, p8_found, p8_by_item, p9_found, p9_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:

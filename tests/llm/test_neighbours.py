@@ -1,7 +1,7 @@
 import numpy as np
 
 from leafmill.llm import neighbours
-from leafmill.llm.neighbours import found, graph, search
+from leafmill.llm.neighbours import Pivots, found, graph, search, searched
 
 
 def clustered(n=900, dim=16, seed=2):
@@ -81,3 +81,38 @@ def test_greedy_search(spark):
     np.fill_diagonal(s, -2)
     assert sum(len(got[i] & set(np.argsort(-s[i])[:5])) for i in range(0, 600, 20)) >= 0.9 * 5 * 30
     assert search(df.limit(0), graph(df.limit(0), dim=8), asked, dim=8).count() == 0
+
+
+def test_two_levels_of_pivots(spark, monkeypatch):
+    x = clustered(2000, 16, 7)
+    unit = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    flat = Pivots(unit[:600]).nearest(unit, 3)
+    monkeypatch.setattr(neighbours, "TOP_PIVOTS", 20)
+    two = Pivots(unit[:600])
+    assert two.groups is not None and sum(len(rows) for rows, _ in two.groups) == 600
+    near = two.nearest(unit, 3)
+    assert (near >= 0).all() and (near[:, 0] == flat[:, 0]).mean() > 0.9
+    monkeypatch.setattr(neighbours, "PER_PIVOT", 12)
+    want = brute(x, 0.9, 5)
+    rows = {tuple(r) for r in found(frame(spark, x), dim=16).collect()}
+    assert len(want & rows) >= 0.97 * len(want)
+
+
+def test_searched(spark):
+    x = clustered(600, 8, 5)
+    rows = searched(frame(spark, x, [(650, "n", None, 1), (700, "z", [0.0] * 8, 1)]), dim=8).collect()
+    y = x / np.linalg.norm(x, axis=1)[:, None]
+    s = y @ y.T
+    np.fill_diagonal(s, -2)
+    assert {r.vec_id for r in rows} == set(range(0, 600, 50)) and all(r.vec_id != r.neighbour for r in rows)
+    assert all(abs(r.score - s[r.vec_id, r.neighbour]) < 1e-3 for r in rows)
+    assert sum(r.neighbour in set(np.argsort(-s[r.vec_id])[:5]) for r in rows) >= 0.9 * 60
+
+
+def test_descent_leads_from_poor_blocks_to_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 40)
+    monkeypatch.setattr(neighbours, "PER_PIVOT", 450)
+    x = clustered()
+    want = brute(x, 0.9, 5)
+    rows = {tuple(r) for r in found(frame(spark, x), dim=16).collect()}
+    assert len(want & rows) >= 0.95 * len(want)
