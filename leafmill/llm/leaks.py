@@ -13,13 +13,14 @@ import re
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Items held by one automaton; more items are worked off in blocks of this many.
-ITEMS_IN_BLOCK = 20_000
+#: Characters of the items held by one automaton; more are worked off in blocks of as many, a longer item is a block of its own.
+BLOCK_CHARS = 4 << 20
 _WORDS = re.compile(r"[^\W_]+").findall
 
 
@@ -59,16 +60,28 @@ class Matcher:
         if self.block < 1:
             raise ValueError("too many errors for windows of this size")
         self.items = {}
-        where: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        # Equal windows are one, so items that share a passage are looked at once: an item's words, the place in it, and all (item, place).
+        self.windows: list[tuple[list[str], int, list[tuple[int, int]]]] = []
+        known: dict[bytes, int] = {}
+        where: dict[str, dict[tuple[int, int], None]] = defaultdict(dict)
         for item_id, text in items:
             words = words_of(text).split()
             if len(words) >= min_words:
                 self.items[item_id] = words
+                own = []
+                for s in range(len(words) - min_words + 1):
+                    at = known.setdefault(blake2b(" ".join(words[s : s + min_words]).encode(), digest_size=16).digest(), len(self.windows))
+                    if at == len(self.windows):
+                        self.windows.append((words, s, []))
+                    self.windows[at][2].append((item_id, s))
+                    own.append(at)
                 for p in range(0, len(words) - self.block + 1, self.block):
-                    where[f" {' '.join(words[p : p + self.block])} "].append((item_id, p))
+                    behind = where[f" {' '.join(words[p : p + self.block])} "]
+                    for s in range(max(0, p + self.block - min_words), min(p, len(words) - min_words) + 1):
+                        behind[own[s], p - s] = None
         self.automaton = ahocorasick.Automaton()
         for piece, places in where.items():
-            self.automaton.add_word(piece, (len(piece), places))
+            self.automaton.add_word(piece, (len(piece), list(places)))
         if where:
             self.automaton.make_automaton()
 
@@ -87,16 +100,24 @@ class Matcher:
             at += len(word) + 1
         width, errors = self.min_words, self.errors
         held: dict[int, set[int]] = defaultdict(set)
+        done: set[int] = set()
         for end, (length, places) in hits:
             d = bisect_right(starts, end - length + 2) - 1
-            for item_id, p in places:
-                item = self.items[item_id]
-                for s in range(max(0, p + self.block - width), min(p, len(item) - width) + 1):
-                    if s in held[item_id]:
-                        continue
-                    near = words[max(0, d - (p - s) - errors) : d + width - (p - s) + errors]
-                    if min(myers(item[s : s + width], near), default=width) <= errors:
-                        held[item_id].add(s)
+            near: dict[int, tuple[list[str], set[str]]] = {}
+            for at, before in places:
+                if at in done:
+                    continue
+                if before not in near:
+                    part = words[max(0, d - before - errors) : d + width - before + errors]
+                    near[before] = part, set(part)
+                part, said = near[before]
+                own, s, places_of = self.windows[at]
+                window = own[s : s + width]
+                # Each kind of word that isn't there costs an edit.
+                if len(set(window) - said) <= errors and (window == part if not errors else min(myers(window, part), default=width) <= errors):
+                    done.add(at)
+                    for item_id, place in places_of:
+                        held[item_id].add(place)
         out = []
         for item_id, windows in held.items():
             if windows:
@@ -106,13 +127,15 @@ class Matcher:
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of a bounded number, each with its longest text bounded by what the driver may fetch."""
+    """The items in blocks of a bounded number of characters."""
     block: list[tuple[int, str]] = []
+    chars = 0
     for row in items.where("item_id is not null and item_text is not null").select("item_id", "item_text").distinct().toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == ITEMS_IN_BLOCK:
+        if block and chars + len(row[1]) > BLOCK_CHARS:
             yield block
-            block = []
+            block, chars = [], 0
+        block.append((row[0], row[1]))
+        chars += len(row[1])
     if block:
         yield block
 
@@ -157,3 +180,8 @@ def by_item(documents: DataFrame, items: DataFrame) -> DataFrame:
         F.count_if(F.col("matched_words") == F.col("item_words")).alias("whole"),
         F.round(F.max(F.col("matched_words") / F.col("item_words")), 6).alias("best_share"),
     )
+
+
+def near(documents: DataFrame, items: DataFrame, errors: int = 2) -> DataFrame:
+    """The columns of :func:`leaks` for passages of 12 words with up to ``errors`` words changed, left out or put in."""
+    return leaks(documents, items, errors=errors)

@@ -84,6 +84,11 @@ def p8_by_item(spark: SparkSession, d: str) -> DataFrame:
     return leaks.by_item(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold 12 words of an evaluation item with up to two of them edited."""
+    return leaks.near(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Lists, tables and junk among the documents."""
     return quality.found(table(spark, d, "documents"))
@@ -95,7 +100,7 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_search, p2_found, p3_found, p3_repaired, p4_found, p4_coverage, p5_found, p5_pieces, p6_found, p6_assigned, p7_ids, p8_found, p8_by_item, p9_found, p9_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_search, p2_found, p3_found, p3_repaired, p4_found, p4_coverage, p5_found, p5_pieces, p6_found, p6_assigned, p7_ids, p8_found, p8_by_item, p8_near, p9_found, p9_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:

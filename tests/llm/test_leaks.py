@@ -3,7 +3,8 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from leafmill.llm.leaks import Matcher, by_item, found, leaks, myers
+from leafmill.llm import leaks as L
+from leafmill.llm.leaks import Matcher, by_item, found, leaks, myers, near
 
 WORDS = [f"w{i}" for i in range(40)]
 
@@ -55,3 +56,36 @@ def test_rows(spark):
     assert {(r.doc_id, r.matched_words, r.item_words) for r in leaks(d, i).collect()} == {(1, 12, 13), (3, 13, 13), (6, 13, 13)}
     assert [tuple(r) for r in by_item(d, i).collect()] == [(1, 3, 2, 1.0)]
     assert found(d.limit(0), i).count() == 0 and found(d, i.limit(0)).count() == 0
+
+
+def test_items_with_one_opening_and_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    opening = [f"o{i}" for i in range(30)]
+    texts = {i: " ".join(opening + [f"{rng.choice(WORDS)}{i}" for _ in range(15)]) for i in range(200)}
+    docs = [(1, " ".join(opening)), (2, "a b " + texts[7]), (3, " ".join(texts[9].split()[25:]))]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(texts.items()), "item_id long, item_text string")
+    want = {(k, n) for k in (1, 2) for n in texts} | {(3, 9)}
+    assert {tuple(r) for r in found(d, i).collect()} == want
+    monkeypatch.setattr(L, "BLOCK_CHARS", 5000)
+    assert {tuple(r) for r in found(d, i).collect()} == want
+
+
+def test_planted_edits(spark):
+    """All passages of 12 words with two words changed, left out or put in are found, and none with eight changed."""
+    rng = random.Random(10)
+    items = {i: [f"{rng.choice(WORDS)}x{rng.randrange(60)}" for _ in range(40)] for i in range(30)}
+    docs, want = [], set()
+    for n in range(120):
+        i = rng.randrange(30)
+        p = rng.randrange(28)
+        passage = items[i][p : p + 12]
+        edits = rng.sample(range(12), 8 if n % 4 == 0 else 2)
+        kind = "change" if n % 4 == 0 else ("change", "leave", "put")[n % 3]
+        for e in sorted(edits, reverse=True):
+            passage[e : e + 1] = {"change": ["new"], "leave": [], "put": [passage[e], "new"]}[kind]
+        docs.append((n, " ".join([f"f{rng.randrange(500)}" for _ in range(20)] + passage + [f"f{rng.randrange(500)}" for _ in range(20)])))
+        if n % 4:
+            want.add((n, i))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, item_text string")
+    assert {(r.doc_id, r.item_id) for r in near(d, i).collect()} == want
