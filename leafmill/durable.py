@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,10 +41,15 @@ def work_path(spark: SparkSession, tag: str) -> str:
 
 def cut(df: DataFrame, tag: str = "step") -> tuple[DataFrame, str]:
     """Write ``df`` as a table in the shared folder and read it again. The path goes to :func:`drop` when it is over; what a
-    result still reads stays until the driver ends."""
-    path = work_path(df.sparkSession, tag)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    result still reads stays until the driver ends. The shuffle files of the write go when it ends, not at some later collection."""
+    spark = df.sparkSession
+    path, before = work_path(spark, tag), spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop(spark: SparkSession, path: str | None) -> None:
