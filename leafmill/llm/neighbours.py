@@ -292,7 +292,7 @@ def found(index: DataFrame, least: float = 0.90, k: int = 5, dim: int = 64) -> D
     The graph has no limit of similarity, so descent leads to the pairs from any first graph; it has fewer edges than one for search.
     Pairs within the error of the fixed point numbers are decided with the stored vectors.
     """
-    edges = graph(index, dim=dim, degree=k + 3, joined=20).where((F.col("rank") <= k) & (F.col("sim") >= least - _NEAR))
+    edges = graph(index, dim=dim, degree=k + 1, joined=16, rounds=8, settled=0.01).where((F.col("rank") <= k) & (F.col("sim") >= least - _NEAR))
     pairs = edges.groupBy(F.least("v", "u").alias("vec_a"), F.greatest("v", "u").alias("vec_b")).agg(F.max("sim").alias("sim"))
     sure = pairs.where(F.col("sim") >= least + _NEAR).select("vec_a", "vec_b")
     vectors = index.where(F.size("embedding") == dim).select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("e"))

@@ -101,17 +101,18 @@ def oversized(chunks: DataFrame, limits: DataFrame, most_kinds: int = 1000) -> D
 
 
 def offsets(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` of each oversized row and ``cuts``, its pieces as (start, end, level)."""
+    """``keys`` of each oversized row and ``cuts``, its pieces as (start, end, level). A text among the keys goes to Python and back once."""
+    sent = [c for c in keys if c != "text"] + ["text", "max_chars", "overlap_chars"]
     schema = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in keys) + ", cuts array<struct<start:int,end:int,level:string>>"
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("level", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, limit, overlap = (batch.column(len(keys) + i).to_pylist() for i in range(3))
+            text, limit, overlap = (batch.column(i).to_pylist() for i in range(len(sent) - 3, len(sent)))
             cuts = [[dict(zip(("start", "end", "level"), piece, strict=True)) for piece in cut_text(*row)] for row in zip(text, limit, overlap, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), pa.array(cuts, kind)], [*keys, "cuts"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(sent.index(c)) for c in keys), pa.array(cuts, kind)], [*keys, "cuts"])
 
-    return rows.select(*keys, "text", "max_chars", "overlap_chars").mapInArrow(run, schema)
+    return rows.select(*sent).mapInArrow(run, schema)
 
 
 def found(chunks: DataFrame, limits: DataFrame) -> DataFrame:

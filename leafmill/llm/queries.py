@@ -69,6 +69,11 @@ def p6_assigned(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign(table(spark, d, "dataset_manifest"), table(spark, d, "source_links"))
 
 
+def p6_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of the splits in each dataset, as given and as assigned."""
+    return splits.balance(table(spark, d, "dataset_manifest"), table(spark, d, "source_links"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_corpus(table(spark, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
@@ -100,7 +105,7 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_search, p2_found, p3_found, p3_repaired, p4_found, p4_coverage, p5_found, p5_pieces, p6_found, p6_assigned, p7_ids, p8_found, p8_by_item, p8_near, p9_found, p9_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_search, p2_found, p3_found, p3_repaired, p4_found, p4_coverage, p5_found, p5_pieces, p6_found, p6_assigned, p6_balance, p7_ids, p8_found, p8_by_item, p8_near, p9_found, p9_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -131,4 +136,11 @@ SQL = {
         d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
         dw AS (SELECT doc_id, array_to_string(w[p : p + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS p FROM d))
         SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (run)""",
+    "p8_by_item": r"""
+        WITH i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_text IS NOT NULL AND item_id IS NOT NULL),
+        iw AS (SELECT item_id, len(w) AS words, p, array_to_string(w[p : p + 11], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS p FROM i)),
+        d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+        dw AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS p FROM d)),
+        m AS (SELECT doc_id, item_id, words, len(list_distinct(flatten(list(range(p, p + 12))))) AS matched FROM dw JOIN iw USING (run) GROUP BY 1, 2, 3)
+        SELECT item_id, count(*) AS documents, count(*) FILTER (matched = words) AS whole, round(max(matched / words), 6) AS best_share FROM m GROUP BY 1""",
 }

@@ -42,7 +42,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         known, new_path = cut(step, "components")
         drop(spark, path)
         path, before, state = new_path, state, sign(known)
-        if state == before:
+        if state == before:  # the last table is read by the result
             return known.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root"))
     raise RuntimeError(f"components not stable after {most_rounds} rounds")
 
@@ -82,3 +82,24 @@ def assign(manifest: DataFrame, links: DataFrame, proportions: dict[str, float]
     rows = grouped(manifest.select("id", "dataset", "source_id"), links)
     key = F.coalesce("root", F.concat(F.lit(_MARK), F.coalesce("id", F.lit(""))))
     return rows.select("id", F.lower(F.trim("dataset")).alias("dataset"), F.lower(F.trim("source_id")).alias("source_id"), assigned(key, proportions or PROPORTIONS, seed).alias("assigned"))
+
+
+def balance(manifest: DataFrame, links: DataFrame, proportions: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
+    """``dataset, split, records, share, wanted, given, given_share, largest`` of every dataset and wanted split.
+
+    ``given`` counts the records with that split in the manifest, ``share`` is what the assignment gives and ``largest`` the share of the
+    dataset's largest group of linked sources, below which the shares can't be brought nearer. Null datasets count as one.
+    """
+    wanted = proportions or PROPORTIONS
+    grouped_rows = grouped(manifest.select("id", "dataset", "source_id", "split"), links)
+    key = F.coalesce("root", F.concat(F.lit(_MARK), F.coalesce("id", F.lit(""))))
+    rows = grouped_rows.select(F.lower(F.trim("dataset")).alias("dataset"), "root", split_of(F.col("split")).alias("given"), assigned(key, wanted, seed).alias("to"))
+    counts = rows.groupBy("dataset", "root", "given", "to").agg(F.count("*").alias("n"))
+    counts, _ = cut(counts, "balance")
+    largest = counts.where("root is not null").groupBy("dataset", "root").agg(F.sum("n").alias("n")).groupBy("dataset").agg(F.max("n").alias("largest"))
+    sums = [F.sum(F.when(F.col(c) == s, F.col("n")).otherwise(0)).alias(f"{c}_{s}") for c in ("to", "given") for s in wanted]
+    per = counts.groupBy("dataset").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("given").isNotNull(), F.col("n")).otherwise(0)).alias("all_given"), *sums)
+    flat = F.explode(F.array(*[F.struct(F.lit(s).alias("split"), F.col(f"to_{s}").alias("records"), F.lit(float(w)).alias("wanted"), F.col(f"given_{s}").alias("given")) for s, w in sorted(wanted.items())])).alias("r")
+    known = per.join(largest, per["dataset"].eqNullSafe(largest["dataset"]), "left").select(per["dataset"], "all", "all_given", F.coalesce("largest", F.lit(0)).alias("largest"), flat)
+    share = lambda a, b: F.round(F.col(a) / F.greatest(F.col(b), F.lit(1)), 6)
+    return known.select("dataset", "r.split", "r.records", share("r.records", "all").alias("share"), F.round("r.wanted", 6).alias("wanted"), "r.given", share("r.given", "all_given").alias("given_share"), share("largest", "all").alias("largest"))

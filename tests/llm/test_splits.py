@@ -1,6 +1,6 @@
 import random
 
-from leafmill.llm.splits import assign, components, found
+from leafmill.llm.splits import assign, balance, components, found
 
 
 def test_components_against_union_find(spark):
@@ -39,3 +39,18 @@ def test_proportions(spark):
     share = {r.assigned: r["count"] / 6000 for r in assign(m, links).groupBy("assigned").count().collect()}
     assert abs(share["train"] - 0.8) < 0.03 and abs(share["val"] - 0.1) < 0.02
     assert assign(m, links).groupBy("source_id").agg({"assigned": "approx_count_distinct"}).where("`approx_count_distinct(assigned)` > 1").count() == 0
+
+
+def test_balance(spark):
+    rows = [(str(i), "D", "train" if i % 4 else "val", f"s{i % 10}") for i in range(100)] + [(f"n{i}", None, None, None) for i in range(5)] + [(f"b{i}", "d ", "test", "big") for i in range(60)]
+    m = spark.createDataFrame(rows, "id string, dataset string, split string, source_id string")
+    links = spark.createDataFrame([("d", "s1", "d", "s2")], "dataset_a string, source_a string, dataset_b string, source_b string")
+    got = {(r.dataset, r.split): r for r in balance(m, links).collect()}
+    to = {r.id: r.assigned for r in assign(m, links).collect()}
+    for name in ("train", "val", "test"):
+        own = [i for i, d, _, _ in rows if (d or "").strip().lower() == "d" and to[i] == name]
+        r = got["d", name]
+        assert (r.records, r.share, r.largest) == (len(own), round(len(own) / 160, 6), 0.375)
+        assert r.given == {"train": 75, "val": 25, "test": 60}[name] and got[None, name].given == 0
+    assert sum(r.records for (d, _), r in got.items() if d is None) == 5
+    assert balance(m.limit(0), links).count() == 0
