@@ -143,8 +143,9 @@ def _within(dim: int, degree: int, least: float):
     return run
 
 
-def _local_join(dim: int, least: float):
-    """Neighbours of each hub of a block against each other; only pairs with a new edge are looked at."""
+def _local_join(dim: int):
+    """Neighbours of each hub of a block against each other; only pairs with a new edge are looked at, and only what is better than
+    the ``bar`` of its vector comes out."""
 
     def run(members: pa.Table, vectors: pa.Table) -> pa.Table:
         if not members.num_rows or not vectors.num_rows:
@@ -152,6 +153,7 @@ def _local_join(dim: int, least: float):
         order = np.argsort(np.asarray(vectors["id"]), kind="stable")
         ids = np.asarray(vectors["id"])[order]
         x = _unpacked(vectors["q"], dim)[order]
+        bar = np.asarray(vectors["bar"])[order]
         hub, w, new = (np.asarray(members[c]) for c in ("hub", "w", "new"))
         order = np.argsort(hub, kind="stable")
         hub, at, new = hub[order], np.searchsorted(ids, w[order]), new[order].astype(bool)
@@ -162,17 +164,16 @@ def _local_join(dim: int, least: float):
                 continue
             own = at[a:z]
             s = x[own] @ x[own].T
-            i, j = np.nonzero(np.triu((s >= least) & (new[a:z, None] | new[None, a:z]), 1))
+            i, j = np.nonzero(np.triu((s >= np.minimum(bar[own, None], bar[None, own])) & (new[a:z, None] | new[None, a:z]), 1))
             pairs.append(np.minimum(own[i], own[j]) * len(ids) + np.maximum(own[i], own[j]))
             sims.append(s[i, j])
         if not pairs:
             return _edges([], [], [])
         pair, first = np.unique(np.concatenate(pairs), return_index=True)
         sim = np.concatenate(sims)[first]
-        a, b = ids[pair // len(ids)], ids[pair % len(ids)]
-        keep = a != b
-        a, b, sim = a[keep], b[keep], sim[keep]
-        return _edges(np.r_[a, b], np.r_[b, a], np.r_[sim, sim])
+        a, b = pair // len(ids), pair % len(ids)
+        to_a, to_b = (a != b) & (sim >= bar[a]), (a != b) & (sim >= bar[b])
+        return _edges(np.r_[ids[a[to_a]], ids[b[to_b]]], np.r_[ids[b[to_a]], ids[a[to_b]]], np.r_[sim[to_a], sim[to_b]])
 
     return run
 
@@ -221,10 +222,12 @@ def graph(index: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
         both = edges.select(F.col("v").alias("hub"), F.col("u").alias("w"), "new", "sim").union(edges.select("u", "v", "new", "sim"))
         members = both.groupBy("hub", "w").agg(F.max("new").alias("new"), F.max("sim").alias("sim"))
         order = Window.partitionBy("hub").orderBy(F.desc("sim"), F.xxhash64("w"))
-        members = members.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= joined).select("hub", "w", "new")
+        members = members.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= joined)
+        members = members.withColumn("any", F.max("new").over(Window.partitionBy("hub"))).where("any").select("hub", "w", "new")
+        bars = edges.groupBy(F.col("v").alias("id")).agg(F.when(F.count("*") >= degree, F.min("sim")).alias("bar"))
         members, members_path = cut(members.join(home.withColumnRenamed("id", "hub"), "hub").select("b", "hub", "w", "new"), "members")
-        needed = members.select("b", F.col("w").alias("id")).distinct().join(placed.select("id", "q"), "id").select((F.col("b") + 0).alias("b"), "id", "q")
-        pairs = members.groupBy("b").cogroup(needed.groupBy("b")).applyInArrow(_local_join(dim, least), schema)
+        needed = members.select("b", F.col("w").alias("id")).distinct().join(placed.select("id", "q"), "id").join(bars, "id", "left").select((F.col("b") + 0).alias("b"), "id", "q", F.coalesce("bar", F.lit(least)).cast("float").alias("bar"))
+        pairs = members.groupBy("b").cogroup(needed.groupBy("b")).applyInArrow(_local_join(dim), schema)
         old = edges.select("v", "u", "sim", F.lit(False).alias("new"))
         better, new_path = cut(_best(old.union(pairs.withColumn("new", F.lit(True))), degree), "graph")
         drop(spark, path)
