@@ -33,6 +33,13 @@ FIGURE_NUMBER = r"(?i)\b(?:Fig(?:ure)?\.?|Table)\s*(\d+(?:\.\d+)?)"
 REFERENCE_KINDS = (r"Figure\s+", r"Fig\.?\s*", r"Table\s+", r"Activity\s+")
 _REFERENCE = r"(\d+(?:\.\d+)?(?:\.[a-zA-Z])?)"
 _CAPTION = r"(?is)^\s*(fig(?:ure)?s?\.?|table)\s*(\d{1,2}(?:\s?\.\s?\d{1,2}){0,2})(?:\s*\(([a-z])\))?(?![\d.]*\d)\s*[:.\-–—]?\s*(.*)$"
+# Wordings of comparisons (fixed values).
+COMPARISONS = (
+    r"(?i)^(?:what\s+(?:is|are)\s+)?(?:the\s+)?(?:main\s+|key\s+)?(?:differences?|distinctions?|contrast)\s+between\s+(.+?)\s+and\s+(.+)$",
+    r"(?i)^how\s+(?:is|are|do|does)\s+(.+?)\s+(?:different\s+from|differ\s+from|compared?\s+(?:to|with))\s+(.+)$",
+    r"(?i)^(?:compare|contrast|distinguish)(?:\s+between)?\s+(.+?)\s+(?:and|with|from)\s+(.+)$",
+    r"(?i)^(.+?)\s+(?:vs\.?|versus)\s+(.+)$",
+)
 _LONE_BULLET = r"(?m)^(?:[nqlvu•▪●■◆➢✓]\s+)+(?=[A-Za-z(])"
 _NO_CAPTION = r"(?i)^\s*(?:shows?|illustrates?|depicts?|gives?|is|are|was|and|in|of|to)\b"
 _SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-Z(\"'“])"
@@ -156,13 +163,7 @@ def parse_caption(text: Column) -> Column:
 def split_comparison(question: Column) -> Column:
     """The two things that a question compares; null where it compares none. A head noun that only the second has is given to both."""
     plain = F.regexp_replace(F.trim(question), r"[\s?.!]+$", "")
-    patterns = (
-        r"(?i)^(?:what\s+(?:is|are)\s+)?(?:the\s+)?(?:main\s+|key\s+)?(?:differences?|distinctions?|contrast)\s+between\s+(.+?)\s+and\s+(.+)$",
-        r"(?i)^how\s+(?:is|are|do|does)\s+(.+?)\s+(?:different\s+from|differ\s+from|compared?\s+(?:to|with))\s+(.+)$",
-        r"(?i)^(?:compare|contrast|distinguish)(?:\s+between)?\s+(.+?)\s+(?:and|with|from)\s+(.+)$",
-        r"(?i)^(.+?)\s+(?:vs\.?|versus)\s+(.+)$",
-    )
-    found = F.coalesce(*[F.when(plain.rlike(p), F.array(*[F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.regexp_extract(plain, p, i)), r"[\s?.!]+$", ""), r"(?i)^(?:a|an|the)\s+", "")) for i in (1, 2)])) for p in patterns])
+    found = F.coalesce(*[F.when(plain.rlike(p), F.array(*[F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.regexp_extract(plain, p, i)), r"[\s?.!]+$", ""), r"(?i)^(?:a|an|the)\s+", "")) for i in (1, 2)])) for p in COMPARISONS])
     a, b = found[0], found[1]
     wa, wb = words(a), words(b)
     shared = (F.size(wb) >= 2) & (F.size(wa) < F.size(wb)) & (F.lower(F.element_at(wa, -1)) != F.lower(F.element_at(wb, -1)))

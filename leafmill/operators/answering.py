@@ -5,22 +5,30 @@ The lexical backend is built-in expressions; a model backend only has to give th
 
 from __future__ import annotations
 
-from typing import Protocol
+from collections.abc import Callable
+from typing import NamedTuple, Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.durable import cut
 from leafmill.functions import text as T
+from leafmill.functions.records import lexical_embedding
 from leafmill.operators import retrieval as R
 
 RERANK_FLOOR, STRONG, MARGIN, SENTENCE_FLOOR, EXERCISE_PENALTY = -2.5, 3.0, 0.0, -3.0, 3.0
 NULL_SCORE, COVERAGE, CONTEXTS, CITED, SENTENCES = 5.0, 0.8, 3, 3, 3
+#: Places of a ranking that a comparison takes, passages a generator sees, passages shown as evidence, and characters of a last resort.
+PER_LIST, SEEN, EVIDENCE, LAST_RESORT = 4, 8, 5, 300
 NOT_COVERED = "The book does not cover this question."
+NOT_STATED = "The book does not state an answer to this question."
+NO_QUESTION = "Please ask a question."
 
 
 class Backend(Protocol):
-    """What scores texts; each method maps columns to a column."""
+    """What scores texts; each method maps columns to a column. ``embed`` gives vectors for retrieval."""
+
+    def embed(self, text: Column) -> Column: ...
 
     def rerank(self, question: Column, text: Column) -> Column: ...
 
@@ -29,9 +37,20 @@ class Backend(Protocol):
     def entailment(self, premise: Column, sentence: Column) -> Column: ...
 
 
+class Provider(NamedTuple):
+    """An answer generator. ``generate`` maps question and evidence (an array of page, section and text) to a struct of text, in_scope and
+    model, null where it gives none in time; it should be an Arrow UDF that ends its own calls."""
+
+    name: str
+    generate: Callable[[Column, Column], Column]
+
+
 class LexicalBackend:
     """Shared tokens only."""
 
+    def embed(self, text: Column) -> Column:
+        return lexical_embedding(T.tokens(text))
+
     def _share(self, question: Column, text: Column) -> Column:
         q = F.array_distinct(T.tokens(question))
         return F.when(F.size(q) > 0, F.size(F.array_intersect(q, T.tokens(text))) / F.size(q))
@@ -50,12 +69,19 @@ class LexicalBackend:
 LEXICAL = LexicalBackend()
 
 
-def reranked(candidates: DataFrame, docs: DataFrame, questions: DataFrame, backend: Backend = LEXICAL) -> DataFrame:
-    """``question_id, question, chunk_id, text, page_number, score, place``: candidates by score, exercises put back; place from 1."""
-    rows = candidates.select("question_id", "chunk_id", F.col("rank").alias("fused")).join(docs.select("chunk_id", "text", "kind", "section", "page_number"), "chunk_id").join(questions.select("question_id", "question"), "question_id")
-    score = backend.rerank(F.col("question"), F.col("text")) - F.when(F.lower("kind") == "exercise", EXERCISE_PENALTY).otherwise(0.0)
+def reranked(candidates: DataFrame, index: R.Index, questions: DataFrame, backend: Backend = LEXICAL) -> DataFrame:
+    """``question_id, question, chunk_id, text, section, page_number, figure_refs, score, place``: candidates by score, exercises put back;
+    place from 1."""
+    docs = index.docs.select("chunk_id", "text", "said", "kind", "section", "page_number", "figure_refs")
+    rows = candidates.select("question_id", "chunk_id", F.col("rank").alias("fused")).join(docs, "chunk_id").join(questions.select("question_id", "question"), "question_id")
+    score = backend.rerank(F.col("question"), F.col("said")) - F.when(F.lower("kind") == "exercise", EXERCISE_PENALTY).otherwise(0.0)
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "fused")
-    return rows.withColumn("score", score).withColumn("place", F.row_number().over(order))
+    return rows.withColumn("score", score).drop("said").withColumn("place", F.row_number().over(order))
+
+
+def ranking(index: R.Index, questions: DataFrame, backend: Backend = LEXICAL) -> DataFrame:
+    """The reranked chunks of every question, as a table."""
+    return cut(reranked(R.fused(R.scores(index, questions), index, questions), index, questions, backend), "ranking")[0]
 
 
 def spans(ranking: DataFrame, backend: Backend = LEXICAL) -> DataFrame:
@@ -75,36 +101,138 @@ def decided(ranking: DataFrame, best: DataFrame, questions: DataFrame) -> DataFr
     return rows.select("question_id", "top", "margin", "span", F.coalesce(enough, F.lit(False)).alias("sufficient"), F.round(F.coalesce(sure, F.lit(0.0)), 4).alias("confidence"))
 
 
-def composed(ranking: DataFrame, best: DataFrame, backend: Backend = LEXICAL) -> DataFrame:
-    """``question_id, answer``: up to three sentences of the first contexts, in reading order; the span's sentence always among them."""
-    said = ranking.where(F.col("place") <= CONTEXTS).select("question_id", "question", "place", "page_number", F.posexplode(T.sentences(F.col("text"))).alias("pos", "raw"))
+def composed(ranked: DataFrame, best: DataFrame, backend: Backend = LEXICAL) -> DataFrame:
+    """``question_id, answer, used``: up to three sentences of the first contexts, in reading order, the span's sentence always among them,
+    and the places they come from."""
+    said = ranked.where(F.col("place") <= CONTEXTS).select("question_id", "question", "place", "page_number", F.posexplode(T.sentences(F.col("text"))).alias("pos", "raw"))
     fit = said.withColumn("sentence", T.clean_sentence(F.col("raw"))).where(T.is_answer_sentence(F.col("sentence"), F.col("question")))
-    key = F.array_join(F.array_sort(F.array_distinct(T.tokens(F.col("sentence")))), " ")
+    key = F.array_join(T.tokens(F.col("sentence")), " ")
     once = fit.withColumn("rn", F.row_number().over(Window.partitionBy("question_id", key).orderBy("place", "pos"))).where("rn = 1").drop("rn")
-    marked = once.join(best.select("question_id", "span"), "question_id", "left").withColumn("s", backend.rerank(F.col("question"), F.col("sentence"))).withColumn("own", F.coalesce(F.col("span").contains(F.col("sentence")) | F.col("sentence").contains(F.col("span")), F.lit(False)))
-    limit = F.greatest(F.lit(SENTENCE_FLOOR), F.max("s").over(Window.partitionBy("question_id")) - 3)
-    kept = marked.withColumn("limit", limit).where("own or s >= limit")
-    order = Window.partitionBy("question_id").orderBy(F.desc("own"), F.desc("s"), "place", "pos")
-    first = kept.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= SENTENCES)
+    holds = F.coalesce((F.col("span") != "") & F.col("sentence").contains(F.col("span")), F.lit(False))
+    marked = once.join(best.select("question_id", "span"), "question_id", "left").withColumn("s", backend.rerank(F.col("question"), F.col("sentence"))).withColumn("holds", holds)
+    order = [F.desc("s"), "place", "pos"]
+    each = Window.partitionBy("question_id")
+    # Of several sentences that hold the span the best one counts; it comes in where the best three don't have it.
+    own = F.col("holds") & (F.row_number().over(Window.partitionBy("question_id", "holds").orderBy(*order)) == 1)
+    limit = F.greatest(F.lit(SENTENCE_FLOOR), F.max("s").over(each) - 3)
+    kept = marked.withColumn("limit", limit).withColumn("own", own).where("own or s >= limit")
+    first = kept.withColumn("rn", F.row_number().over(each.orderBy(F.desc("own"), *order))).where(F.col("rn") <= SENTENCES)
     listed = first.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "place", "pos", "sentence"))).alias("l"))
-    return listed.select("question_id", F.array_join(F.transform("l", lambda x: x["sentence"]), " ").alias("answer"))
+    return listed.select("question_id", F.array_join(F.transform("l", lambda x: x["sentence"]), " ").alias("answer"), F.array_distinct(F.transform("l", lambda x: x["place"])).alias("used"))
+
 
+def citations(ranked: DataFrame, known_figures: DataFrame | None = None) -> DataFrame:
+    """``question_id, place, chunk_id, page_number, section, snippet, figures`` of the first chunks.
+
+    ``figures`` are the figures that a chunk names; where ``known_figures`` (book_id, page_number, figures) has some for its page, only those.
+    """
+    first = ranked.where(F.col("place") <= CITED)
+    return cited(first, known_figures).select("question_id", "place", "chunk_id", "page_number", "section", "snippet", "figures")
+
+
+def cited(rows: DataFrame, known_figures: DataFrame | None = None) -> DataFrame:
+    """The rows with ``snippet`` and ``figures``."""
+    rows = rows.withColumn("snippet", T.snippet(F.col("text"))).withColumn("figures", F.coalesce("figure_refs", F.array().cast("array<string>")))
+    if known_figures is None:
+        return rows
+    known = known_figures.select("book_id", "page_number", F.col("figures").alias("known"))
+    held = rows.join(known, ["book_id", "page_number"], "left")
+    return held.withColumn("figures", F.when(F.coalesce(F.size("known"), F.lit(0)) <= 0, F.col("figures")).otherwise(F.filter("figures", lambda f: F.array_contains("known", f)))).drop("known")
 
-def citations(ranking: DataFrame) -> DataFrame:
-    """``question_id, place, chunk_id, page_number, snippet`` of the first chunks."""
-    return ranking.where(F.col("place") <= CITED).select("question_id", "place", "chunk_id", "page_number", T.snippet(F.col("text")).alias("snippet"))
 
+def asked(questions: DataFrame) -> DataFrame:
+    """``ask_id, question_id, book_id, part, concept, question``: each question that says something, and of a comparison both parts,
+    each with a question of its own; part 0 is the whole."""
+    plain = F.trim("question")
+    pair = T.split_comparison(plain)
+    parts = F.when(pair.isNotNull(), F.array(*[F.struct(F.lit(i + 1).alias("part"), pair[i].alias("concept"), F.format_string("What is %s?", pair[i]).alias("ask")) for i in (0, 1)])).otherwise(F.array().cast("array<struct<part:int,concept:string,ask:string>>"))
+    whole = F.array(F.struct(F.lit(0).alias("part"), F.lit(None).cast("string").alias("concept"), plain.alias("ask")))
+    rows = questions.where(F.length(plain) > 0).select("question_id", "book_id", F.explode(F.concat(whole, parts)).alias("a"))
+    return rows.select(F.concat_ws("#", "question_id", F.col("a.part").cast("string")).alias("ask_id"), "question_id", "book_id", "a.part", "a.concept", F.col("a.ask").alias("question"))
 
-def answers(chunks: DataFrame, questions: DataFrame, backend: Backend = LEXICAL) -> DataFrame:
-    """``question_id, answer, sufficient, confidence, pages`` of every question in one program."""
-    docs = R.documents(chunks)
-    ranking, _ = cut(reranked(R.fused(R.scores(docs, questions), docs, questions), docs, questions, backend), "ranking")  # read by four steps
-    best = spans(ranking, backend)
-    choice = decided(ranking, best, questions)
-    pages = citations(ranking).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("place", "page_number"))).alias("l")).select("question_id", F.array_join(F.array_distinct(F.transform("l", lambda x: x["page_number"].cast("string"))), ",").alias("pages"))
-    out = choice.join(composed(ranking, best, backend), "question_id", "left").join(pages, "question_id", "left")
-    text = F.when(F.col("sufficient"), F.coalesce("answer", "span")).otherwise(NOT_COVERED)
-    return out.select("question_id", text.alias("answer"), "sufficient", "confidence", F.when(F.col("sufficient"), F.col("pages")).alias("pages"))
+
+def decisions(chunks: DataFrame, questions: DataFrame, backend: Backend = LEXICAL, provider: Provider | None = None, known_figures: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The answers of all questions in one program, and what they cite.
+
+    Answers: ``question_id, answer, extractive, sufficient, confidence, mode, reason, parts``; ``reason`` says why there is none. Cited: ``question_id,
+    ord, chunk_id, page_number, section, snippet, figures``.
+
+    A comparison is answered for each concept: both must be covered, its top score and margin are the lower ones, both answers stand one
+    after the other, and one more passage is cited. What a provider generates replaces the answer as far as passages support its
+    sentences; where it gives none, the composed answer stays. A blank question gets no answer.
+    """
+    index = R.build(chunks)
+    asks, _ = cut(asked(questions), "asks")
+    own = asks.select(F.col("ask_id").alias("question_id"), "book_id", "question")
+    ranks = ranking(index, own, backend)
+    head = asks.select("ask_id", F.col("question_id").alias("id"), "book_id", "part", "concept")
+    placed = ranks.withColumnRenamed("question_id", "ask_id").join(head, "ask_id")
+    n_parts = asks.groupBy(F.col("question_id").alias("id")).agg(F.max("part").alias("parts"))
+    best, _ = cut(spans(ranks, backend), "spans")
+    each = decided(ranks, best, own).withColumnRenamed("question_id", "ask_id").join(head, "ask_id").join(n_parts, "id").where("(parts = 0) = (part = 0)")
+    low = F.lit(float("-inf"))
+    joint = each.groupBy("id").agg(F.min(F.coalesce("top", low)).alias("top"), F.min(F.coalesce("margin", low)).alias("margin"), F.bool_and("sufficient").alias("sufficient"), F.max("parts").alias("parts"), F.first("span").alias("span"), F.first("book_id").alias("book_id"))
+    sure = T.sigmoid(F.col("top") / 2) * F.when(F.col("margin") == low, 0.5).otherwise(T.sigmoid(F.col("margin") / 2))
+    joint = joint.withColumn("confidence", F.round(F.when(F.col("top") == low, 0.0).otherwise(sure), 4))
+
+    # Rankings of a comparison one place of each at a time; a simple question's ranking as it is.
+    positions = placed.join(n_parts, "id")
+    mixed = positions.where((F.col("parts") > 0) & (F.col("place") <= PER_LIST)).groupBy("id", "chunk_id").agg(F.min(F.struct("place", F.when(F.col("part") == 0, 9).otherwise(F.col("part")).alias("list"))).alias("at"))
+    mixed = mixed.select("id", "chunk_id", F.row_number().over(Window.partitionBy("id").orderBy("at.place", "at.list")).alias("ord"))
+    merged = mixed.union(positions.where("parts = 0").select("id", "chunk_id", F.col("place").alias("ord")))
+
+    made = composed(ranks, best, backend).withColumnRenamed("question_id", "ask_id")
+    per_part = each.select("ask_id", "id", "part", "concept", "parts", "span").join(made, "ask_id", "left").withColumn("text", F.coalesce(F.nullif("answer", F.lit("")), "span", F.lit("")))
+    titled = F.concat(F.upper(F.substring("concept", 1, 1)), F.expr("substring(concept, 2)"), F.lit(": "), F.col("text"))
+    blocks = per_part.groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("part", F.when(F.col("parts") > 0, titled).otherwise(F.col("text")).alias("t"))))).alias("l"))
+    offline = blocks.select("id", F.array_join(F.transform("l", lambda x: x["t"]), "\n\n").alias("composed"))
+    places = per_part.select("ask_id", "id", "part", F.posexplode(F.coalesce("used", F.array(F.lit(1)))).alias("pos", "place"))
+    used = places.join(ranks.select(F.col("question_id").alias("ask_id"), "place", "chunk_id"), ["ask_id", "place"]).groupBy("id", "chunk_id").agg(F.min(F.struct("part", "pos")).alias("at"))
+    used = used.select("id", "chunk_id", F.row_number().over(Window.partitionBy("id").orderBy("at.part", "at.pos")).alias("ord"))
+
+    top = merged.where("ord = 1").join(index.docs.select("chunk_id", "text"), "chunk_id").select("id", F.substring("text", 1, LAST_RESORT).alias("beginning"))
+    rows = questions.select(F.col("question_id").alias("id"), F.trim("question").alias("q")).join(joint, "id", "left").join(offline, "id", "left").join(top, "id", "left")
+    extractive = F.when((F.col("parts") == 0) & (F.col("margin") >= MARGIN), F.col("span"))
+    rows = rows.withColumn("extractive", F.when(F.col("sufficient"), extractive)).withColumn("own", F.coalesce(F.nullif("composed", F.lit("")), "extractive", "beginning"))
+    if provider is None:
+        rows = rows.select("*", F.lit(None).cast("string").alias("said"), F.lit(None).cast("boolean").alias("in_scope"), F.lit(None).cast("string").alias("supported"))
+    else:
+        rows, used = _generated(rows, merged, index, used, provider, backend)
+    blank = F.coalesce(F.length("q"), F.lit(0)) == 0
+    enough = F.coalesce("sufficient", F.lit(False))
+    gave = F.col("said").isNotNull() & enough
+    reason = F.when(blank, "no_question").when(F.coalesce((F.col("top") == low) & (F.col("parts") == 0), F.lit(True)), "no_candidates").when(~enough, "below_threshold").when(gave & ~F.col("in_scope"), "self_check").when(gave & (F.col("supported") == ""), "not_supported")
+    rows = rows.withColumn("reason", reason)
+    text = F.when(blank, NO_QUESTION).when(F.col("reason") == "not_supported", NOT_STATED).when(F.col("reason").isNotNull(), NOT_COVERED).when(gave, F.col("supported")).otherwise(F.col("own"))
+    name = F.lit(provider.name if provider else "offline")
+    out = rows.select(F.col("id").alias("question_id"), text.alias("answer"), F.when(F.col("reason").isNull(), F.col("extractive")).alias("extractive"), F.col("reason").isNull().alias("sufficient"), F.when(blank, 0.0).otherwise(F.coalesce("confidence", F.lit(0.0))).alias("confidence"), F.when(gave, name).otherwise("offline").alias("mode"), "reason", F.coalesce("parts", F.lit(0)).alias("parts"))
+    out, _ = cut(out, "decisions")
+    limit = F.lit(CITED) + F.when(F.col("parts") > 0, 1).otherwise(0)
+    kept = used.join(out.where("sufficient").select(F.col("question_id").alias("id"), "parts"), "id").where(F.col("ord") <= limit)
+    full = kept.join(index.docs.select("chunk_id", "book_id", "text", "page_number", "section", "figure_refs"), "chunk_id")
+    return out, cited(full, known_figures).select(F.col("id").alias("question_id"), "ord", "chunk_id", "page_number", "section", "snippet", "figures")
+
+
+def _generated(rows: DataFrame, merged: DataFrame, index: R.Index, used: DataFrame, provider: Provider, backend: Backend) -> tuple[DataFrame, DataFrame]:
+    """The rows with what a provider said, whether in scope, and the sentences that passages support; and the passages then cited."""
+    seen, _ = cut(merged.where(F.col("ord") <= SEEN).join(index.docs.select("chunk_id", "page_number", "section", "text"), "chunk_id"), "evidence")
+    listed = seen.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "page_number", "section", "text"))), lambda x: F.struct(x["page_number"].alias("page_number"), x["section"].alias("section"), x["text"].alias("text"))).alias("evidence"))  # at most eight
+    called, _ = cut(rows.join(listed, "id", "left").withColumn("g", F.when(F.col("sufficient"), provider.generate(F.col("q"), F.col("evidence")))).drop("evidence"), "generated")
+    sentences = called.where("g.in_scope").select(F.col("id").alias("question_id"), F.posexplode(T.sentences(T.squeeze(F.col("g.text")))).alias("sentence_no", "sentence"))
+    passages = seen.select(F.col("id").alias("question_id"), F.col("ord").alias("place"), "text")
+    claims, _ = cut(sentences, "claims")
+    told = grounded(claims, passages, backend=backend).where("kept").join(claims, ["question_id", "sentence_no"])
+    kept = told.groupBy(F.col("question_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("sentence_no", "sentence"))).alias("l")).select("id", F.array_join(F.transform("l", lambda x: x["sentence"]), " ").alias("kept_text"))
+    out = called.join(kept, "id", "left").select("*", F.col("g.text").alias("said"), F.col("g.in_scope").alias("in_scope"), F.coalesce("kept_text", F.lit("")).alias("supported")).drop("g", "kept_text")
+    instead = out.where("said is not null").select("id")
+    return out, used.join(instead, "id", "left_anti").union(seen.select("id", "chunk_id", "ord").join(instead, "id", "left_semi"))
+
+
+def answers(chunks: DataFrame, questions: DataFrame, backend: Backend = LEXICAL, provider: Provider | None = None) -> DataFrame:
+    """``question_id, answer, sufficient, confidence, pages``: :func:`decisions` with the cited pages, each once in order."""
+    out, cites = decisions(chunks, questions, backend, provider)
+    pages = cites.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("ord", "page_number"))).alias("l")).select("question_id", F.array_join(F.array_distinct(F.transform("l", lambda x: x["page_number"].cast("string"))), ",").alias("pages"))
+    return out.join(pages, "question_id", "left").select("question_id", "answer", "sufficient", "confidence", "pages")
 
 
 def grounded(claims: DataFrame, passages: DataFrame, threshold: float = 0.5, candidates: int = 2, backend: Backend = LEXICAL) -> DataFrame:

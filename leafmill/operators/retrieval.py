@@ -2,42 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafmill.durable import cut
 from leafmill.functions import text as T
 
 K1, B, POOL, TOP, RRF, BOOST = 1.5, 0.75, 50, 20, 60, 0.5
 
 
 def documents(chunks: DataFrame) -> DataFrame:
-    """``book_id, chunk_id, text, kind, section, page_number, words``: chunks with a text, once, with their tokens."""
-    once = chunks.where("chunk_id is not null and text is not null").groupBy("chunk_id").agg(*[F.max(c).alias(c) for c in ("book_id", "text", "kind", "section", "page_number")])
+    """``book_id, chunk_id, text, kind, section, page_number, figure_refs, said, words``: chunks with a text, once; what is said with
+    the section, and its tokens."""
+    named = chunks if "figure_refs" in chunks.columns else chunks.withColumn("figure_refs", T.figure_refs(F.col("text")))
+    once = named.where("chunk_id is not null and text is not null").groupBy("chunk_id").agg(*[F.max(c).alias(c) for c in ("book_id", "text", "kind", "section", "page_number", "figure_refs")])
     said = F.when(F.col("section").isNotNull(), F.concat(F.col("section"), F.lit(". "), F.col("text"))).otherwise(F.col("text"))
-    return once.withColumn("words", T.tokens(said))
+    return once.withColumn("said", said).withColumn("words", T.tokens(F.col("said")))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """``book_id, chunk_id, token, tf``."""
-    return docs.select("book_id", "chunk_id", F.explode("words").alias("token")).groupBy("book_id", "chunk_id", "token").agg(F.count("*").alias("tf"))
+class Index(NamedTuple):
+    """What answers questions about books: the documents, and for each token of a book the chunks that have it with their parts of
+    both scores. Both are tables; statistics are those of the book."""
 
+    docs: DataFrame
+    postings: DataFrame
 
-def scores(docs: DataFrame, questions: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """``question_id, chunk_id, bm25, cosine`` of every chunk that shares a token with a question about its book.
 
-    ``questions`` has question_id, book_id and question; tokens said twice in a question count twice. Statistics are per book.
-    """
-    tf = postings(docs)
+def build(chunks: DataFrame, k1: float = K1, b: float = B) -> Index:
+    """Tokenise every chunk once and write the index: ``book_id, token, chunk_id, bm25, cosine`` with all that doesn't depend on questions."""
+    docs, _ = cut(documents(chunks).withColumn("equation", F.col("text").rlike(T.EQUATION)), "documents")
+    said = docs.select("book_id", "chunk_id", F.size("words").alias("dl"), "words").repartition("chunk_id").select("book_id", "chunk_id", "dl", F.explode("words").alias("token"))
+    tf = said.groupBy("chunk_id", "book_id", "dl", "token").agg(F.count("*").alias("tf"))  # as chunks lie, so are their tokens counted
     df = tf.groupBy("book_id", "token").agg(F.count("*").alias("df"))
-    lengths = tf.groupBy("book_id", "chunk_id").agg(F.sum("tf").alias("dl"), F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
+    tf = tf.withColumn("norm", F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy("chunk_id"))))
     books = docs.groupBy("book_id").agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))
-    asked = questions.select("question_id", "book_id", F.explode(T.tokens(F.col("question"))).alias("token")).groupBy("question_id", "book_id", "token").agg(F.count("*").alias("qtf"))
-    qnorm = asked.groupBy("question_id").agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qnorm"))
-    hits = asked.join(df, ["book_id", "token"]).join(books, "book_id").join(tf, ["book_id", "token"]).join(lengths, ["book_id", "chunk_id"])
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    summed = hits.groupBy("question_id", "chunk_id").agg(F.sum(F.col("qtf") * idf * part).alias("bm25"), F.sum(F.col("qtf") * F.col("tf")).alias("dot"), F.first("norm").alias("norm"))
-    return summed.join(qnorm, "question_id").select("question_id", "chunk_id", F.round("bm25", 8).alias("bm25"), F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 8).alias("cosine"))
+    postings = tf.join(df, ["book_id", "token"]).join(books, "book_id")
+    postings, _ = cut(postings.select("book_id", "token", "chunk_id", (idf * part).alias("bm25"), (F.col("tf") / F.col("norm")).alias("cosine")), "postings")
+    return Index(docs.drop("words"), postings)
+
+
+def save(index: Index, path: str) -> None:
+    """Keep an index; it holds as long as :func:`fingerprint` of its books does."""
+    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    index.postings.write.mode("overwrite").parquet(f"{path}/postings")
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"))
+
+
+def scores(index: Index, questions: DataFrame) -> DataFrame:
+    """``question_id, chunk_id, bm25, cosine`` of every chunk that shares a token with a question about its book.
+
+    ``questions`` has question_id, book_id and question; tokens said twice in a question count twice.
+    """
+    asked = questions.select("question_id", "book_id", F.explode(T.tokens(F.col("question"))).alias("token")).groupBy("question_id", "book_id", "token").agg(F.count("*").alias("qtf"))
+    length = F.sqrt(F.sum(F.col("qtf") * F.col("qtf")).over(Window.partitionBy("question_id")))
+    hits = asked.withColumn("share", F.col("qtf") / length).join(index.postings, ["book_id", "token"])
+    summed = hits.groupBy("question_id", "chunk_id").agg(F.sum(F.col("qtf") * F.col("bm25")).alias("bm25"), F.sum(F.col("share") * F.col("cosine")).alias("cosine"))
+    return summed.select("question_id", "chunk_id", F.round("bm25", 8).alias("bm25"), F.round("cosine", 8).alias("cosine"))
 
 
 def ranked(scored: DataFrame, score: str, k: int) -> DataFrame:
@@ -46,30 +77,88 @@ def ranked(scored: DataFrame, score: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
-def fused(scored: DataFrame, docs: DataFrame, questions: DataFrame, pool: int = POOL, top: int = TOP) -> DataFrame:
-    """``question_id, chunk_id, rrf, rank``: both rankings fused by reciprocal ranks; an equation counts for a question that wants one."""
-    lists = [ranked(scored.where(F.col(s) > 0), s, pool).select("question_id", "chunk_id", (1 / (RRF + F.col("rank") + 1)).alias("r")) for s in ("bm25", "cosine")]
-    summed = lists[0].unionByName(lists[1]).groupBy("question_id", "chunk_id").agg(F.sum("r").alias("rrf"))
-    wishes = questions.select("question_id", F.col("question").rlike(T.EQUATION_WISH).alias("wish"))
-    flags = docs.select("chunk_id", F.col("text").rlike(T.EQUATION).alias("equation"))
-    boosted = summed.join(wishes, "question_id").join(flags, "chunk_id").select("question_id", "chunk_id", F.round(F.col("rrf") + F.when(F.col("wish") & F.col("equation"), BOOST / RRF).otherwise(0.0), 8).alias("rrf"))
-    return ranked(boosted, "rrf", top)
-
+def fused(scored: DataFrame, index: Index, questions: DataFrame, pool: int = POOL, top: int = TOP) -> DataFrame:
+    """``question_id, chunk_id, rrf, rank``: both rankings fused by reciprocal ranks; an equation counts for a question that wants one.
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    Both ranks come from one shuffle by question.
+    """
+    share, near = F.lit(0.0), F.lit(False)
+    both = scored
+    for score in ("bm25", "cosine"):
+        order = Window.partitionBy("question_id").orderBy(F.desc(score), "chunk_id")
+        both = both.withColumn(f"{score}_rank", F.row_number().over(order))
+        counts = (F.col(f"{score}_rank") <= pool) & (F.col(score) > 0)
+        share, near = share + F.when(counts, 1 / (RRF + F.col(f"{score}_rank"))).otherwise(0.0), near | counts
+    summed = both.where(near).select("question_id", "chunk_id", share.alias("rrf"))
+    wishes = questions.select("question_id", F.col("question").rlike(T.EQUATION_WISH).alias("wish"))
+    boosted = summed.join(wishes, "question_id").join(index.docs.select("chunk_id", "equation"), "chunk_id")
+    return ranked(boosted.select("question_id", "chunk_id", F.round(F.col("rrf") + F.when(F.col("wish") & F.col("equation"), BOOST / RRF).otherwise(0.0), 8).alias("rrf")), "rrf", top)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, most_queries: int = 10_000) -> DataFrame:
-    """``query, vec_id, score, rank``: exact nearest vectors by dot product of a stated set of queries, whose number is checked."""
-    if queries.limit(most_queries + 1).count() > most_queries:
+    """``query, vec_id, score, rank``: exact nearest vectors by dot product of a stated set of queries, whose number is checked.
+
+    Each batch of vectors meets all queries in one matrix product and passes on the ``k`` best for each query.
+    """
+    asked = queries.limit(most_queries + 1).select("vec_id", "embedding").toArrow()
+    if asked.num_rows > most_queries:
         raise ValueError("too many queries for an exact search; search in blocks")
-    pairs = vectors.crossJoin(F.broadcast(queries.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")))).where("vec_id <> query")
-    scored = pairs.select("query", "vec_id", F.round(dot(F.col("embedding"), F.col("q")), 5).alias("score"))
+    ids = np.asarray(asked["vec_id"])
+    held = vectors.sparkSession.sparkContext.broadcast((ids, np.array(asked["embedding"].to_pylist(), np.float64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q = held.value
+        for batch in batches:
+            if not batch.num_rows or not len(own):
+                continue
+            at = np.asarray(batch.column(0))
+            s = np.round(np.array(batch.column(1).to_pylist(), np.float64) @ q.T, 5)
+            s[at[:, None] == own[None, :]] = -np.inf
+            order = np.argsort(at, kind="stable")
+            best = order[np.argsort(-s[order], axis=0, kind="stable")[:k]]
+            sims = np.take_along_axis(s, best, axis=0)
+            n, query = np.nonzero(sims > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(own[query]), pa.array(at[best[n, query]]), pa.array(sims[n, query])], ["query", "vec_id", "score"])
+
+    kind = dict(vectors.dtypes)["vec_id"]
+    scored = vectors.where("vec_id is not null and embedding is not null").select("vec_id", "embedding").mapInArrow(run, f"query {kind}, vec_id {kind}, score double")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
 
 
+def folded(rows: DataFrame, key: str, order: list[str], piece: str, schema: str, begin, add, close) -> DataFrame:
+    """What a fold over each key's pieces in order gives: rows are sorted within partitions of whole keys and stream through, so no
+    key's pieces are ever held together. ``close`` gives the columns of ``schema`` from key and state."""
+    names = [part.split(" ")[0] for part in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, state, out = None, None, []
+        for batch in batches:
+            for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if state is None or own != known:
+                    if state is not None:
+                        out.append(close(known, state))
+                    known, state = own, begin()
+                state = add(state, text)
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=_arrow(schema))
+                out = []
+        if state is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, close(known, state), strict=True))], schema=_arrow(schema))
+
+    placed = rows.repartition(key).sortWithinPartitions(key, *order).select(key, piece)
+    return placed.mapInArrow(run, schema)
+
+
+def _arrow(schema: str) -> pa.Schema:
+    return pa.schema([(part.split(" ")[0], {"string": pa.string(), "bigint": pa.int64()}[part.split(" ")[1]]) for part in schema.split(", ")])
+
+
 def fingerprint(docs: DataFrame, backend: str = "lexical") -> DataFrame:
-    """``book_id, fingerprint``: a hash over the hashes of the book's index texts in order of chunk_id."""
-    hashes = docs.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", F.sha2("text", 256).alias("h")))).alias("l"))
-    return hashes.select("book_id", F.substring(F.sha2(F.concat(F.lit(backend), F.array_join(F.transform("l", lambda x: x["h"]), "")), 256), 1, 24).alias("fingerprint"))
+    """``book_id, fingerprint``: a hash of the backend's name and the book's index texts in the order of their pages."""
+    place = F.regexp_extract("chunk_id", r"c(\d+)$", 1).cast("int")
+
+    def add(state, text: str):
+        state.update(text.encode("utf-8", "ignore"))
+        return state
+
+    return folded(docs.withColumn("place", place), "book_id", ["page_number", "place", "chunk_id"], "said", "book_id string, fingerprint string", lambda: hashlib.sha256(backend.encode()), add, lambda key, state: (key, state.hexdigest()[:24]))

@@ -286,7 +286,7 @@ def join_explicit_reference(spark: SparkSession, d: str) -> DataFrame:
 
 def win_margin(spark: SparkSession, d: str) -> DataFrame:
     """How far the best chunk of a question stands before the next one."""
-    scored = R.scores(Q._docs(spark, d), Q._questions(spark, d))
+    scored = R.scores(Q._index(spark, d), Q._questions(spark, d))
     order = Window.partitionBy("question_id").orderBy(F.desc("bm25"), "chunk_id")
     rows = scored.withColumn("next", F.lead("bm25").over(order)).withColumn("rn", F.row_number().over(order)).where("rn = 1")
     return rows.select("question_id", "chunk_id", F.round(F.when(F.col("next").isNull(), 100.0).otherwise(F.col("bm25") - F.col("next")), 6).alias("margin"))
@@ -298,7 +298,7 @@ SQL["win_margin"] = f"""WITH {Q._SCORES}, m AS (SELECT *, lead(bm25) OVER (PARTI
 
 def set_interleave(spark: SparkSession, d: str) -> DataFrame:
     """Both rankings of a question merged by position."""
-    scored = R.scores(Q._docs(spark, d), Q._questions(spark, d))
+    scored = R.scores(Q._index(spark, d), Q._questions(spark, d))
     lists = [R.ranked(scored.where(F.col(s) > 0), s, 4).select(F.col("question_id").alias("query"), F.col("chunk_id").alias("item"), F.col("rank").alias("position"), F.lit(i).alias("list")) for i, s in enumerate(("bm25", "cosine"))]
     return C.interleaved(lists[0].union(lists[1]))
 

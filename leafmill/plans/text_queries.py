@@ -25,6 +25,10 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "qa_golden").select(F.col("id").alias("question_id"), F.col("book").alias("book_id"), "question")
 
 
+def _index(spark: SparkSession, d: str) -> R.Index:
+    return R.build(table(spark, d, "chunks"))
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return R.documents(table(spark, d, "chunks"))
 
@@ -145,20 +149,38 @@ def txt_caption_parse(spark: SparkSession, d: str) -> DataFrame:
     return lines.select(T.parse_caption(F.col("line")).alias("c")).where("c is not null").groupBy("c.kind", "c.label").agg(F.count("*").alias("lines"), F.min("c.text").alias("text"))
 
 
+def _comparisons(spark: SparkSession, d: str) -> DataFrame:
+    """The golden questions that compare two things, in the four wordings that the operator knows: ``question_id, form, book_id, question``."""
+    q = table(spark, d, "qa_golden").withColumn("a", F.regexp_extract("question", _COMPARES, 1)).withColumn("b", F.regexp_extract("question", _COMPARES, 2)).where("a <> ''")
+    forms = F.array(*[F.format_string(form, "a", "b") for form in _WORDINGS])
+    return q.select("id", F.col("book").alias("book_id"), F.posexplode(forms).alias("form", "question"))
+
+
+_COMPARES = r"difference between (\S.*) and (\S.*?)\.?$"
+_WORDINGS = ("What is the difference between %s and %s?", "How is %s different from %s?", "Compare %s and %s.", "%s vs. %s")
+_ASKED = f"""c0 AS (SELECT id, book, regexp_extract(question, '{_COMPARES}', ['a', 'b']) AS m FROM qa_golden),
+    c1 AS (SELECT id, book AS book_id, unnest(range(4)) AS form, unnest([{", ".join(f"printf('{w}', m.a, m.b)" for w in _WORDINGS)}]) AS question FROM c0 WHERE m.a <> '')"""
+_SPLITS = r"""sp0 AS (SELECT *, regexp_replace(trim(question), '[\s?.!]+$', '') AS t FROM {source}),
+    sp1 AS (SELECT *, CASE WHEN regexp_matches(t, {p0}) THEN regexp_extract(t, {p0}, ['a', 'b']) WHEN regexp_matches(t, {p1}) THEN regexp_extract(t, {p1}, ['a', 'b']) WHEN regexp_matches(t, {p2}) THEN regexp_extract(t, {p2}, ['a', 'b']) WHEN regexp_matches(t, {p3}) THEN regexp_extract(t, {p3}, ['a', 'b']) END AS m FROM sp0),
+    sp2 AS (SELECT * EXCLUDE (m), trim(regexp_replace(regexp_replace(trim(m.a), '[\s?.!]+$', ''), '(?i)^(?:a|an|the)\s+', '')) AS a, trim(regexp_replace(regexp_replace(trim(m.b), '[\s?.!]+$', ''), '(?i)^(?:a|an|the)\s+', '')) AS b FROM sp1 WHERE m IS NOT NULL),
+    sp3 AS (SELECT *, regexp_extract_all(a, '\S+') AS wa, regexp_extract_all(b, '\S+') AS wb FROM sp2 WHERE a <> '' AND b <> '' AND lower(a) <> lower(b)),
+    sp AS (SELECT * EXCLUDE (a, wa, wb, t), CASE WHEN len(wb) >= 2 AND len(wa) < len(wb) AND lower(wa[-1]) <> lower(wb[-1]) THEN a || ' ' || wb[-1] ELSE a END AS a FROM sp3)"""
+
+
+def _splits(source: str) -> str:
+    return _SPLITS.format(source=source, **{f"p{i}": f"'{p}'" for i, p in enumerate(T.COMPARISONS)})
+
+
 def txt_comparison_split(spark: SparkSession, d: str) -> DataFrame:
-    """What the questions compare."""
-    asked = F.regexp_replace("question", r"^Explain ", "")
-    pair = table(spark, d, "qa_golden").select("id", T.split_comparison(asked).alias("p")).where("p is not null")
-    return pair.select("id", F.col("p")[0].alias("a"), F.col("p")[1].alias("b"), F.format_string("What is %s?", F.col("p")[0]).alias("first_question"))
+    """What the questions compare, in four wordings, and the golden questions as they stand."""
+    plain = table(spark, d, "qa_golden").select("id", F.lit(-1).alias("form"), "question")
+    both = _comparisons(spark, d).select("id", "form", "question").union(plain)
+    pair = both.select("id", "form", T.split_comparison(F.col("question")).alias("p")).where("p is not null")
+    return pair.select("id", "form", F.col("p")[0].alias("a"), F.col("p")[1].alias("b"), F.format_string("What is %s?", F.col("p")[0]).alias("first_question"))
 
 
-SQL["txt_comparison_split"] = r"""WITH q AS (SELECT id, regexp_replace(regexp_replace(trim(question), '[\s?.!]+$', ''), '^Explain ', '') AS t FROM qa_golden),
-    p AS (SELECT id, regexp_extract(t, '(?i)^(?:what\s+(?:is|are)\s+)?(?:the\s+)?(?:main\s+|key\s+)?(?:differences?|distinctions?|contrast)\s+between\s+(.+?)\s+and\s+(.+)$', ['a', 'b']) AS m FROM q
-          WHERE regexp_matches(t, '(?i)^(?:what\s+(?:is|are)\s+)?(?:the\s+)?(?:main\s+|key\s+)?(?:differences?|distinctions?|contrast)\s+between\s+(.+?)\s+and\s+(.+)$')),
-    c AS (SELECT id, trim(regexp_replace(m.a, '(?i)^(?:a|an|the)\s+', '')) AS a, trim(regexp_replace(m.b, '(?i)^(?:a|an|the)\s+', '')) AS b FROM p),
-    w AS (SELECT *, regexp_extract_all(a, '\S+') AS wa, regexp_extract_all(b, '\S+') AS wb FROM c WHERE a <> '' AND b <> '' AND lower(a) <> lower(b)),
-    h AS (SELECT id, CASE WHEN len(wb) >= 2 AND len(wa) < len(wb) AND lower(wa[-1]) <> lower(wb[-1]) THEN a || ' ' || wb[-1] ELSE a END AS a, b FROM w)
-    SELECT id, a, b, 'What is ' || a || '?' AS first_question FROM h"""
+SQL["txt_comparison_split"] = f"""WITH {_ASKED}, every AS (SELECT id, form, question FROM c1 UNION ALL SELECT id, -1, question FROM qa_golden), {_splits("every")}
+    SELECT id, form::INT AS form, a, b, 'What is ' || a || '?' AS first_question FROM sp"""
 
 
 def txt_snippet(spark: SparkSession, d: str) -> DataFrame:
@@ -268,24 +290,27 @@ def win_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 _DOCS = "docs AS (SELECT chunk_id, max(book_id) AS book_id, max(text) AS text, max(kind) AS kind, max(section) AS section, max(page_number) AS page_number FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL GROUP BY 1)"
-_SCORES = f"""{_DOCS}, w AS (SELECT chunk_id, book_id, {_tokens("CASE WHEN section IS NOT NULL THEN section || '. ' || text ELSE text END")} AS words FROM docs),
+_ASKS = "asks AS (SELECT id AS question_id, book AS book_id, question FROM qa_golden)"
+_SCORES_OF = f"""{_DOCS}, w AS (SELECT chunk_id, book_id, {_tokens("CASE WHEN section IS NOT NULL THEN section || '. ' || text ELSE text END")} AS words FROM docs),
     tf AS (SELECT book_id, chunk_id, token, count(*) AS tf FROM (SELECT book_id, chunk_id, unnest(words) AS token FROM w) GROUP BY 1, 2, 3),
     df AS (SELECT book_id, token, count(*) AS df FROM tf GROUP BY 1, 2), ln_ AS (SELECT book_id, chunk_id, sum(tf) AS dl, sqrt(sum(tf * tf)) AS norm FROM tf GROUP BY 1, 2),
     bk AS (SELECT book_id, count(*) AS n, avg(len(words)) AS avgdl FROM w GROUP BY 1),
-    qt AS (SELECT id AS question_id, book AS book_id, token, count(*) AS qtf FROM (SELECT id, book, unnest({_tokens("question")}) AS token FROM qa_golden) GROUP BY 1, 2, 3),
+    qt AS (SELECT question_id, book_id, token, count(*) AS qtf FROM (SELECT question_id, book_id, unnest({_tokens("question")}) AS token FROM asks) GROUP BY 1, 2, 3),
     qn AS (SELECT question_id, sqrt(sum(qtf * qtf)) AS qnorm FROM qt GROUP BY 1),
     sc AS (SELECT qt.question_id, tf.chunk_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)))), 8) AS bm25, round(sum(qtf * tf) / (any_value(norm) * any_value(qnorm)), 8) AS cosine
         FROM qt JOIN df USING (book_id, token) JOIN bk USING (book_id) JOIN tf USING (book_id, token) JOIN ln_ USING (book_id, chunk_id) JOIN qn USING (question_id) GROUP BY 1, 2),
     rb AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY bm25 DESC, chunk_id) - 1 AS rank FROM sc WHERE bm25 > 0), rc AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY cosine DESC, chunk_id) - 1 AS rank FROM sc WHERE cosine > 0)"""
-_FUSED = f"""{_SCORES}, un AS (SELECT question_id, chunk_id, sum(r) AS rrf FROM (SELECT question_id, chunk_id, 1 / (60 + rank + 1) AS r FROM rb WHERE rank < 50 UNION ALL SELECT question_id, chunk_id, 1 / (60 + rank + 1) FROM rc WHERE rank < 50) GROUP BY 1, 2),
+_FUSED_OF = f"""un AS (SELECT question_id, chunk_id, sum(r) AS rrf FROM (SELECT question_id, chunk_id, 1 / (60 + rank + 1) AS r FROM rb WHERE rank < 50 UNION ALL SELECT question_id, chunk_id, 1 / (60 + rank + 1) FROM rc WHERE rank < 50) GROUP BY 1, 2),
     bo AS (SELECT question_id, un.chunk_id, round(rrf + CASE WHEN regexp_matches(question, '(?i)\\b(equation|reaction|formula|react|reacts|balanced|chemical change)\\b') AND regexp_matches(text, '(→|->|⟶|\\+\\s*[A-Z][a-z]?\\d*\\s*(?:\\(|→)|=)') THEN 0.5 / 60 ELSE 0 END, 8) AS rrf
-        FROM un JOIN docs USING (chunk_id) JOIN qa_golden ON id = question_id),
+        FROM un JOIN docs USING (chunk_id) JOIN asks USING (question_id)),
     fu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rrf DESC, chunk_id) - 1 AS rank FROM bo) WHERE rank < 20)"""
+_SCORES = f"{_ASKS}, {_SCORES_OF}"
+_FUSED = f"{_SCORES}, {_FUSED_OF}"
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """The ten best chunks of each question by BM25."""
-    return R.ranked(R.scores(_docs(spark, d), _questions(spark, d)).where("bm25 > 0"), "bm25", 10).select("question_id", "chunk_id", "rank")
+    return R.ranked(R.scores(_index(spark, d), _questions(spark, d)).where("bm25 > 0"), "bm25", 10).select("question_id", "chunk_id", "rank")
 
 
 SQL["bm25_topk"] = f"WITH {_SCORES} SELECT question_id, chunk_id, rank::INT AS rank FROM rb WHERE rank < 10"
@@ -293,16 +318,16 @@ SQL["bm25_topk"] = f"WITH {_SCORES} SELECT question_id, chunk_id, rank::INT AS r
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     """The twenty best chunks of each question by both rankings."""
-    docs, q = _docs(spark, d), _questions(spark, d)
-    return R.fused(R.scores(docs, q), docs, q).select("question_id", "chunk_id", "rrf", "rank")
+    index, q = _index(spark, d), _questions(spark, d)
+    return R.fused(R.scores(index, q), index, q).select("question_id", "chunk_id", "rrf", "rank")
 
 
 SQL["rrf_fusion"] = f"WITH {_FUSED} SELECT question_id, chunk_id, rrf, rank::INT AS rank FROM fu"
 
 
 def _ranking(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs, q = _docs(spark, d), _questions(spark, d)
-    return A.reranked(R.fused(R.scores(docs, q), docs, q), docs, q), q
+    q = _questions(spark, d)
+    return A.ranking(_index(spark, d), q), q
 
 
 def lexical_rerank(spark: SparkSession, d: str) -> DataFrame:
@@ -310,9 +335,10 @@ def lexical_rerank(spark: SparkSession, d: str) -> DataFrame:
     return _ranking(spark, d)[0].select("question_id", "chunk_id", "score", "place")
 
 
-_RERANK = f"""{_FUSED}, rr AS (SELECT fu.question_id, fu.chunk_id, fu.rank, round(CASE WHEN len(qs) > 0 THEN -10 + 18 * (len(list_intersect(qs, ts)) / len(qs)) ELSE -10 END, 6) - CASE WHEN lower(kind) = 'exercise' THEN 3.0 ELSE 0 END AS score
-        FROM fu JOIN (SELECT id, list_distinct({_tokens("question")}) AS qs FROM qa_golden) ON id = question_id JOIN (SELECT chunk_id, kind, {_tokens("text")} AS ts FROM docs) USING (chunk_id)),
+_RERANK_OF = f"""rr AS (SELECT fu.question_id, fu.chunk_id, fu.rank, round(CASE WHEN len(qs) > 0 THEN -10 + 18 * (len(list_intersect(qs, ts)) / len(qs)) ELSE -10 END, 6) - CASE WHEN lower(kind) = 'exercise' THEN 3.0 ELSE 0 END AS score
+        FROM fu JOIN (SELECT question_id, list_distinct({_tokens("question")}) AS qs FROM asks) USING (question_id) JOIN (SELECT chunk_id, kind, {_tokens("CASE WHEN section IS NOT NULL THEN section || '. ' || text ELSE text END")} AS ts FROM docs) USING (chunk_id)),
     pl AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rank) AS place FROM rr)"""
+_RERANK = f"{_FUSED}, {_RERANK_OF}"
 SQL["lexical_rerank"] = f"WITH {_RERANK} SELECT question_id, chunk_id, score, place::INT AS place FROM pl"
 
 
@@ -321,9 +347,10 @@ def lexical_span(spark: SparkSession, d: str) -> DataFrame:
     return A.spans(_ranking(spark, d)[0])
 
 
-_SPANS = f"""{_RERANK}, se AS (SELECT question_id, place, l[i] AS sentence, i FROM (SELECT question_id, place, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT question_id, place, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS l FROM pl JOIN docs USING (chunk_id) WHERE place <= 3))),
-    ss AS (SELECT question_id, place, i, sentence, round(10 * (len(list_intersect(qs, {_tokens("sentence")})) / len(qs)), 6) AS s FROM se JOIN (SELECT id, list_distinct({_tokens("question")}) AS qs FROM qa_golden) ON id = question_id WHERE len(qs) > 0),
+_SPANS_OF = f"""se AS (SELECT question_id, place, l[i] AS sentence, i FROM (SELECT question_id, place, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT question_id, place, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS l FROM pl JOIN docs USING (chunk_id) WHERE place <= 3))),
+    ss AS (SELECT question_id, place, i, sentence, round(10 * (len(list_intersect(qs, {_tokens("sentence")})) / len(qs)), 6) AS s FROM se JOIN (SELECT question_id, list_distinct({_tokens("question")}) AS qs FROM asks) USING (question_id) WHERE len(qs) > 0),
     sp AS (SELECT question_id, sentence AS span, s - 5 AS margin FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, place, i) AS rn FROM ss WHERE s > 0) WHERE rn = 1)"""
+_SPANS = f"{_RERANK}, {_SPANS_OF}"
 SQL["lexical_span"] = f"WITH {_SPANS} SELECT * FROM sp"
 
 
@@ -344,9 +371,60 @@ def offline_answer(spark: SparkSession, d: str) -> DataFrame:
     return A.answers(table(spark, d, "chunks"), _questions(spark, d))
 
 
+def comparison_answer(spark: SparkSession, d: str) -> DataFrame:
+    """Answers to the questions that compare two things, asked in the operator's third wording."""
+    asked = _comparisons(spark, d).where("form = 2").select(F.col("id").alias("question_id"), "book_id", "question")
+    out, cites = A.decisions(table(spark, d, "chunks"), asked)
+    listed = cites.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "chunk_id"))), lambda x: x["chunk_id"]), ",").alias("cited"))
+    return out.join(listed, "question_id", "left").select("question_id", "answer", "extractive", "sufficient", "confidence", "mode", "reason", "parts", "cited")
+
+
+_WORDS = lambda x: f"list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '')"
+_ENUMERATOR = r"(?:\d{1,2}\.|\([a-z]\)|\([ivx]+\))"
+_PIECES = rf"list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(text, '\s+({_ENUMERATOR}\s)', chr(10) || '\1', 'g'), '([.!?])\s+([A-Z(\"''“])', '\1' || chr(1) || '\2', 'g'), '\n+|\x01'), lambda x: trim(x)), lambda x: x <> '')"
+_CLEAN = r"regexp_replace(trim(regexp_replace(regexp_replace(trim(raw), '^(?:[nqlv•▪●■]\s+)+', ''), '\s+', ' ', 'g')), '^[ \-–]+|[ \-–]+$', '', 'g')"
+_ANSWERS_OF = rf"""cx AS (SELECT pl.question_id, place, page_number, {_PIECES} AS l FROM pl JOIN docs USING (chunk_id) WHERE place <= 3),
+    cf AS (SELECT question_id, place, page_number, list_reduce(list_transform(l, lambda x: {{'done': []::VARCHAR[], 'open': '', 'x': x}}), lambda s, e: CASE WHEN regexp_full_match(e.x, '{_ENUMERATOR}') THEN {{'done': s.done, 'open': trim(s.open || ' ' || e.x), 'x': ''}}
+        ELSE {{'done': list_append(s.done, trim(s.open || ' ' || e.x)), 'open': '', 'x': ''}} END, {{'done': []::VARCHAR[], 'open': '', 'x': ''}}) AS f FROM cx),
+    cs AS (SELECT question_id, place, page_number, unnest(CASE WHEN f.open = '' THEN f.done ELSE list_append(f.done, f.open) END) AS raw, generate_subscripts(CASE WHEN f.open = '' THEN f.done ELSE list_append(f.done, f.open) END, 1) AS pos FROM cf),
+    cl AS (SELECT question_id, place, page_number, pos, {_CLEAN} AS sentence, question FROM cs JOIN asks USING (question_id)),
+    ct AS (SELECT *, list_distinct({_tokens("sentence")}) AS st, list_distinct({_tokens("question")}) AS qs, array_to_string({_tokens("sentence")}, ' ') AS k FROM cl),
+    ci AS (SELECT * FROM ct WHERE len({_WORDS("sentence")}) >= 6 AND length(sentence) <= 450 AND NOT suffix(sentence, '?') AND NOT regexp_matches(sentence, '{T.IMPERATIVE}') AND NOT regexp_matches(sentence, '{T.EXERCISE}')
+        AND NOT (length(sentence) <= 90 AND NOT regexp_matches(sentence, '[.?,;]$') AND (regexp_matches(sentence, '{T.NUMBERED_HEADING}') OR regexp_matches(sentence, '{T.CAPS_HEADING.replace("'", "''")}')))
+        AND NOT (len(st) > 0 AND len(qs) > 0 AND (len(list_intersect(st, qs)) = len(st) OR len(list_intersect(st, qs)) / greatest(len(list_distinct(list_concat(st, qs))), 1) >= 0.6 OR suffix(regexp_replace(lower(sentence), '[ ?.]+$', ''), regexp_replace(lower(question), '[ ?.]+$', ''))))),
+    co AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, k ORDER BY place, pos) AS rn FROM ci) WHERE rn = 1),
+    cm AS (SELECT co.*, coalesce(span <> '' AND contains(sentence, span), false) AS holds, round(CASE WHEN len(qs) > 0 THEN -10 + 18 * (len(list_intersect(qs, st)) / len(qs)) ELSE -10 END, 6) AS s FROM co LEFT JOIN sp_ USING (question_id)),
+    cw AS (SELECT *, holds AND row_number() OVER (PARTITION BY question_id, holds ORDER BY s DESC, place, pos) = 1 AS own, greatest(-3.0, max(s) OVER (PARTITION BY question_id) - 3) AS lim FROM cm),
+    cr AS (SELECT * FROM (SELECT * EXCLUDE (rn), row_number() OVER (PARTITION BY question_id ORDER BY own DESC, s DESC, place, pos) AS rn FROM cw WHERE own OR s >= lim) WHERE rn <= 3),
+    made AS (SELECT question_id, string_agg(sentence, ' ' ORDER BY page_number, place, pos) AS answer, list(place ORDER BY page_number, place, pos) AS used FROM cr GROUP BY 1),
+    de AS (SELECT question_id, score AS top, margin, span, coalesce(score >= -2.5 AND (coalesce(margin, '-infinity'::DOUBLE) >= 0 OR score >= 3), false) AS enough FROM asks LEFT JOIN (SELECT question_id, score FROM pl WHERE place = 1) USING (question_id) LEFT JOIN sp_ USING (question_id))"""
+_SPANS_NAMED = _SPANS_OF.replace("sp AS (", "sp_ AS (")
+SQL["offline_answer"] = f"""WITH {_RERANK}, {_SPANS_NAMED}, {_ANSWERS_OF},
+    us AS (SELECT question_id, unnest(coalesce(used, [1])) AS place, generate_subscripts(coalesce(used, [1]), 1) AS i FROM de LEFT JOIN made USING (question_id) WHERE enough),
+    uf AS (SELECT question_id, page_number, min(i) AS i FROM us JOIN pl USING (question_id, place) JOIN docs USING (chunk_id) GROUP BY 1, 2), pg AS (SELECT question_id, string_agg(page_number::VARCHAR, ',' ORDER BY i) AS pages FROM uf GROUP BY 1),
+    be AS (SELECT question_id, substr(text, 1, 300) AS b FROM pl JOIN docs USING (chunk_id) WHERE place = 1)
+    SELECT question_id, CASE WHEN enough THEN coalesce(nullif(coalesce(nullif(answer, ''), span, ''), ''), CASE WHEN margin >= 0 THEN span END, b) ELSE '{A.NOT_COVERED}' END AS answer, enough AS sufficient,
+    round(coalesce(1 / (1 + exp(-top / 2)) * CASE WHEN margin IS NULL THEN 0.5 ELSE 1 / (1 + exp(-margin / 2)) END, 0.0), 4) AS confidence, pages FROM de LEFT JOIN made USING (question_id) LEFT JOIN pg USING (question_id) LEFT JOIN be USING (question_id)"""
+SQL["comparison_answer"] = f"""WITH {_ASKED}, c2 AS (SELECT id, book_id, question FROM c1 WHERE form = 2), {_splits("c2")},
+    parted AS (SELECT id, book_id, 0 AS part, NULL AS concept, question FROM c2 UNION ALL SELECT id, book_id, 1, a, 'What is ' || a || '?' FROM sp UNION ALL SELECT id, book_id, 2, b, 'What is ' || b || '?' FROM sp),
+    asks AS (SELECT id || '#' || part AS question_id, id, book_id, part, concept, question, max(part) OVER (PARTITION BY id) AS parts FROM parted),
+    {_SCORES_OF}, {_FUSED_OF}, {_RERANK_OF}, {_SPANS_NAMED}, {_ANSWERS_OF},
+    ea AS (SELECT asks.id, part, concept, parts, top, margin, span, enough, answer, used, question_id, coalesce(nullif(answer, ''), span, '') AS t FROM asks JOIN de USING (question_id) LEFT JOIN made USING (question_id) WHERE (parts = 0) = (part = 0)),
+    jo AS (SELECT id, min(coalesce(top, '-infinity'::DOUBLE)) AS top, min(coalesce(margin, '-infinity'::DOUBLE)) AS margin, bool_and(enough) AS enough, max(parts) AS parts, any_value(span) AS span,
+        coalesce(string_agg(CASE WHEN t <> '' THEN CASE WHEN parts > 0 THEN upper(concept[1]) || substr(concept, 2) || ': ' || t ELSE t END END, chr(10) || chr(10) ORDER BY part), '') AS t FROM ea GROUP BY 1),
+    us AS (SELECT id, part, question_id, unnest(coalesce(used, [1])) AS place, generate_subscripts(coalesce(used, [1]), 1) AS i FROM ea),
+    uf AS (SELECT id, chunk_id, min((part, i)) AS spot FROM us JOIN pl USING (question_id, place) GROUP BY 1, 2), un_ AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY spot) AS ord FROM uf),
+    ci_ AS (SELECT id, string_agg(chunk_id, ',' ORDER BY ord) AS cited FROM un_ JOIN jo USING (id) WHERE enough AND ord <= 3 + CASE WHEN parts > 0 THEN 1 ELSE 0 END GROUP BY 1),
+    po AS (SELECT id, chunk_id, place, CASE part WHEN 0 THEN 9 ELSE part END AS ls, parts FROM asks JOIN pl USING (question_id)),
+    fi AS (SELECT id, substr(text, 1, 300) AS b FROM (SELECT id, chunk_id, row_number() OVER (PARTITION BY id ORDER BY place, ls) AS rn FROM po WHERE parts > 0 OR ls = 9) JOIN docs USING (chunk_id) WHERE rn = 1),
+    ou AS (SELECT jo.*, CASE WHEN parts = 0 AND margin >= 0 THEN span END AS ex, b, cited FROM jo LEFT JOIN fi USING (id) LEFT JOIN ci_ USING (id))
+    SELECT id AS question_id, CASE WHEN enough THEN coalesce(nullif(t, ''), ex, b) ELSE '{A.NOT_COVERED}' END AS answer, CASE WHEN enough THEN ex END AS extractive, enough AS sufficient,
+    round(CASE WHEN isinf(top) THEN 0.0 ELSE 1 / (1 + exp(-top / 2)) * CASE WHEN isinf(margin) THEN 0.5 ELSE 1 / (1 + exp(-margin / 2)) END END, 4) AS confidence, 'offline' AS mode, CASE WHEN isinf(top) AND parts = 0 THEN 'no_candidates' WHEN NOT enough THEN 'below_threshold' END AS reason, parts::INT AS parts, cited FROM ou"""
+
+
 def citations(spark: SparkSession, d: str) -> DataFrame:
     """Cited chunks of all questions."""
-    return A.citations(_ranking(spark, d)[0])
+    return A.citations(_ranking(spark, d)[0]).drop("section", "figures")
 
 
 SQL["citations"] = f"""WITH {_RERANK} SELECT question_id, place::INT AS place, chunk_id, page_number, CASE WHEN length(text) <= 280 THEN text ELSE regexp_replace(substr(text, 1, 277), '\\s+\\S*$', '') || '...' END AS snippet
@@ -375,10 +453,10 @@ def index_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return R.fingerprint(_docs(spark, d))
 
 
-SQL["index_fingerprint"] = f"WITH {_DOCS} SELECT book_id, substr(sha256('lexical' || string_agg(sha256(text), '' ORDER BY chunk_id)), 1, 24) AS fingerprint FROM docs GROUP BY 1"
+SQL["index_fingerprint"] = f"""WITH {_DOCS} SELECT book_id, substr(sha256('lexical' || string_agg(CASE WHEN section IS NOT NULL THEN section || '. ' || text ELSE text END, '' ORDER BY page_number, regexp_extract(chunk_id, 'c(\\d+)$', 1)::INT, chunk_id)), 1, 24) AS fingerprint FROM docs GROUP BY 1"""
 
 QUERIES = [
     src_documents_scan, flt_lane_routing, flt_page_status, flt_heading, flt_equation, flt_visual_question, txt_tokens, txt_terms, txt_clean_line, txt_sentences, txt_figure_refs, txt_explicit_reference,
     txt_caption_parse, txt_comparison_split, txt_snippet, txt_full_text_export, txt_sanitize_filename, txt_echo, txt_clean_answer, hash_content, hash_cache_key, agg_boilerplate_lines, win_section_carry, win_adjacent_dedupe,
-    win_chunk_pack, win_paragraphs, bm25_topk, rrf_fusion, lexical_rerank, lexical_span, sufficiency, offline_answer, citations, grounding_verify, dense_topk, index_fingerprint,
+    win_chunk_pack, win_paragraphs, bm25_topk, rrf_fusion, lexical_rerank, lexical_span, sufficiency, offline_answer, comparison_answer, citations, grounding_verify, dense_topk, index_fingerprint,
 ]

@@ -24,8 +24,8 @@ def frames(spark):
 
 def test_bm25_by_hand(spark):
     chunks, q = frames(spark)
-    docs = R.documents(chunks)
-    words = {r.chunk_id: list(r.words) for r in docs.where("book_id = 'b'").collect()}
+    docs = R.build(chunks)
+    words = {r.chunk_id: list(r.words) for r in R.documents(chunks).where("book_id = 'b'").collect()}
     avg = sum(map(len, words.values())) / len(words)
     got = {(r.question_id, r.chunk_id): r.bm25 for r in R.scores(docs, q).collect()}
     for c, w in words.items():
@@ -40,7 +40,7 @@ def test_bm25_by_hand(spark):
 
 def test_fusion_and_boost(spark):
     chunks, q = frames(spark)
-    docs = R.documents(chunks)
+    docs = R.build(chunks)
     fused = {(r.question_id, r.chunk_id): (r.rrf, r["rank"]) for r in R.fused(R.scores(docs, q), docs, q).collect()}
     assert fused["q2", "c4"] == (round(2 / 61 + 0.5 / 60, 8), 0) and max(r for r, _ in fused.values()) < 0.05
 
@@ -57,11 +57,11 @@ def test_answers(spark):
 
 def test_exercise_penalty_and_entailment(spark):
     chunks, q = frames(spark)
-    docs = R.documents(chunks)
+    docs = R.build(chunks)
     ranking = {r.chunk_id: r.score for r in A.reranked(R.fused(R.scores(docs, q), docs, q), docs, q).where("question_id = 'q1'").collect()}
     assert ranking["c1"] == 8.0 and ranking["c3"] == 5.0
     claims = spark.createDataFrame([("q1", 0, "Corrosion eats iron in moisture and air."), ("q1", 1, "Zebras live on the open grass plains."), ("q1", 2, "2MgO"), ("q1", 3, "3KCl")], "question_id string, sentence_no int, sentence string")
-    passages = docs.select(F.lit("q1").alias("question_id"), F.row_number().over(R.Window.orderBy("chunk_id")).alias("place"), "text")
+    passages = docs.docs.select(F.lit("q1").alias("question_id"), F.row_number().over(R.Window.orderBy("chunk_id")).alias("place"), "text")
     assert [r.kept for r in A.grounded(claims, passages).orderBy("sentence_no").collect()] == [True, False, True, False]
 
 
@@ -88,3 +88,61 @@ def test_nearest(spark):
     v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "vec_id int, embedding array<float>")
     got = [(r["query"], r.vec_id) for r in R.nearest(v, v.where("vec_id = 2"), 2).orderBy("rank").collect()]
     assert got == [(2, 5), (2, 4)]
+
+
+COMPARED = [
+    ("k1", "b", "Displacement reaction means that one metal takes the place of another metal in its salt.", "Reactions", "body", 1), ("k2", "b", "Decomposition reaction means that one substance breaks down into two simpler ones when heated.", "Reactions", "body", 2),
+    ("k3", "b", "Every reaction needs energy before the first bonds of it can break apart.", None, "body", 3), ("k4", "b", "The garden is watered in the evening by the older pupils of the class.", None, "body", 4),
+]
+
+
+def compared(spark):
+    chunks = spark.createDataFrame(COMPARED, "chunk_id string, book_id string, text string, section string, kind string, page_number int")
+    asked = [("c", "b", "Compare displacement reaction and decomposition reaction."), ("h", "b", "Compare displacement reaction and zebra habitat."), ("s", "b", "What does displacement reaction mean?"), ("e", "b", "  "), ("n", "b", None), ("z", "b", "zebra zebra")]
+    return chunks, spark.createDataFrame(asked, "question_id string, book_id string, question string")
+
+
+def test_decisions(spark):
+    chunks, q = compared(spark)
+    known = spark.createDataFrame([("b", 1, ["9.9"])], "book_id string, page_number int, figures array<string>")
+    out, cites = A.decisions(chunks, q, known_figures=known)
+    got = {r.question_id: r for r in out.collect()}
+    assert got["c"].parts == 2 and got["c"].sufficient and got["c"].extractive is None and got["c"].answer.startswith("Displacement reaction: Displacement reaction means") and "\n\nDecomposition reaction: Decomposition" in got["c"].answer
+    assert [got[k].reason for k in ("h", "e", "n", "z")] == ["below_threshold", "no_question", "no_question", "no_candidates"]
+    assert got["e"].answer == A.NO_QUESTION and got["h"].answer == A.NOT_COVERED and got["s"].reason is None and got["s"].parts == 0
+    pages = {}
+    for r in sorted(cites.collect(), key=lambda r: r.ord):
+        pages.setdefault(r.question_id, []).append(r.chunk_id)
+    assert set(pages) == {"c", "s"} and pages["c"][:2] == ["k1", "k2"] and len(pages["c"]) <= 4
+
+
+def test_provider(spark):
+    chunks, q = compared(spark)
+    true, wrong = "Displacement reaction means that one metal takes the place of another metal.", "Zebras live on open grass plains in the south."
+
+    def said(text, scope=True):
+        answer = F.struct(F.lit(text).alias("text"), F.lit(scope).alias("in_scope"), F.lit("m").alias("model"))
+        return A.Provider("model", lambda question, evidence: F.when(question.contains("mean") & (F.size(evidence) > 0), answer))
+
+    want = {(true + " " + wrong, True): (true, True, "model", None), (wrong, True): (A.NOT_STATED, False, "model", "not_supported"), (true, False): (A.NOT_COVERED, False, "model", "self_check")}
+    for (text, scope), expected in want.items():
+        out, cites = A.decisions(chunks, q, provider=said(text, scope))
+        got = {r.question_id: (r.answer, r.sufficient, r["mode"], r.reason) for r in out.collect()}
+        assert got["s"] == expected and got["c"][2] == "offline" and got["z"][3] == "no_candidates"
+        assert {r.question_id for r in cites.collect()} == ({"c", "s"} if expected[1] else {"c"})
+
+
+def test_index_is_kept(spark, tmp_path):
+    chunks, q = frames(spark)
+    index = R.build(chunks)
+    R.save(index, str(tmp_path))
+    kept = R.load(spark, str(tmp_path))
+    assert sorted(map(tuple, R.scores(kept, q).collect())) == sorted(map(tuple, R.scores(index, q).collect()))
+    first = {r.book_id: r.fingerprint for r in R.fingerprint(R.documents(chunks)).collect()}
+    assert set(first) == {"b", "other"} and first == {r.book_id: r.fingerprint for r in R.fingerprint(kept.docs).collect()}
+
+
+def test_citations_name_known_figures(spark):
+    rows = spark.createDataFrame([("q", 1, "c1", "b", 1, "See Figure 1.1 and Figure 2.2.", ["1.1", "2.2"]), ("q", 2, "c2", "b", 2, "See Figure 3.3.", ["3.3"]), ("q", 3, "c3", "b", 3, "None.", None)], "question_id string, place int, chunk_id string, book_id string, page_number int, text string, figure_refs array<string>")
+    known = spark.createDataFrame([("b", 1, ["2.2"]), ("b", 2, [])], "book_id string, page_number int, figures array<string>")
+    assert {r.chunk_id: r.figures for r in A.cited(rows, known).collect()} == {"c1": ["2.2"], "c2": ["3.3"], "c3": []}
