@@ -83,7 +83,7 @@ def subfigures(caption: Column) -> Column:
 
 def nearby_context(text: Column, label: Column, before: int = 250, after: int = 350, without: int = 400) -> Column:
     """What stands around the first mention of a label, or the beginning of the text."""
-    at = F.locate("\u0000", F.lit("")) if label is None else F.instr(text, label)
+    at = F.instr(text, label)
     start = F.greatest(at - before, F.lit(1))
     return F.when(at > 0, F.substr(text, start, at + after - start)).otherwise(F.substring(text, 1, without))
 

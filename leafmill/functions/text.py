@@ -33,6 +33,8 @@ FIGURE_NUMBER = r"(?i)\b(?:Fig(?:ure)?\.?|Table)\s*(\d+(?:\.\d+)?)"
 REFERENCE_KINDS = (r"Figure\s+", r"Fig\.?\s*", r"Table\s+", r"Activity\s+")
 _REFERENCE = r"(\d+(?:\.\d+)?(?:\.[a-zA-Z])?)"
 _CAPTION = r"(?is)^\s*(fig(?:ure)?s?\.?|table)\s*(\d{1,2}(?:\s?\.\s?\d{1,2}){0,2})(?:\s*\(([a-z])\))?(?![\d.]*\d)\s*[:.\-–—]?\s*(.*)$"
+# Headings for display (fixed values).
+DISPLAY_HEADINGS = (r"(?i)^(?:chapter|section)\b", r"^\d+(?:\.\d+)*\s+[A-Z]", r"^[A-Z][A-Z\s&-]{5,}$")
 # Wordings of comparisons (fixed values).
 COMPARISONS = (
     r"(?i)^(?:what\s+(?:is|are)\s+)?(?:the\s+)?(?:main\s+|key\s+)?(?:differences?|distinctions?|contrast)\s+between\s+(.+?)\s+and\s+(.+)$",
@@ -150,10 +152,9 @@ def parse_caption(text: Column) -> Column:
     plain = F.regexp_replace(F.trim(text), _LONE_BULLET, "")
     part = lambda i: F.regexp_extract(plain, _CAPTION, i)
     number = F.regexp_replace(part(2), r"\s", "")
-    again = F.concat(F.lit(r"(?i)^(?:fig(?:ure)?s?\.?|table)\s*"), F.replace(number, F.lit("."), F.lit(r"\s?\.\s?")), F.lit(r"(?![\d.]*\d)\s*[:.\-–—]?\s*"))
-    rest = part(4)
-    for _ in range(3):  # shadowed labels come out up to four times
-        rest = F.regexp_replace(rest, again, F.lit(""))
+    # The label said again is taken away as often as it stands there; with the blanks and marks behind it, it can be repeated as a group.
+    again = F.concat(F.lit(r"(?i)^(?:(?:fig(?:ure)?s?\.?|table)\s*"), F.replace(number, F.lit("."), F.lit(r"\s?\.\s?")), F.lit(r"(?![\d.]*\d)\s*[:.\-–—]?\s*)+"))
+    rest = F.regexp_replace(part(4), again, F.lit(""))
     kind = F.when(F.lower(part(1)).startswith("tab"), "table").otherwise("figure")
     sub = F.nullif(part(3), F.lit(""))
     label = F.concat(F.initcap(kind), F.lit(" "), number, F.when(sub.isNotNull(), F.concat(F.lit("("), sub, F.lit(")"))).otherwise(""))

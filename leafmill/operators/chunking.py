@@ -99,3 +99,21 @@ def paragraphs(text: Column) -> Column:
     fresh = F.filter(kept, lambda x, i: (i == 0) | (F.get(kept, i - 1) != x))
     head = lambda x: (F.length(x) < 70) & (x.rlike(T.NUMBERED_HEADING) | x.rlike(r"^[A-Z][A-Z\s]{4,}$"))
     return F.aggregate(fresh, F.struct(F.lit("").alias("t"), F.lit(True).alias("h")), lambda s, x: F.struct(F.when(s["t"] == "", x).otherwise(F.concat(s["t"], F.when(s["h"] | head(x), "\n\n").otherwise(" "), x)).alias("t"), head(x).alias("h")), lambda s: s["t"])
+
+
+def display_text(text: Column) -> Column:
+    """Extracted text for readers: lines as paragraphs and headings between blank lines; lone ``n`` and a line that repeats the last
+    heading, paragraph or line are left out. Empty for null."""
+    kept = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n", "\n"), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & (F.lower(x) != "n"))
+    none = F.lit(None).cast("string")
+    start = F.struct(F.lit("").alias("out"), none.alias("block"), F.lit("").alias("open"), none.alias("line"))
+    add = lambda out, block: F.when(block == "", out).when(out == "", block).otherwise(F.concat(out, F.lit("\n\n"), block))
+
+    def step(s: Column, x: Column) -> Column:
+        head = (F.length(x) < 70) & F.exists(F.array(*[F.lit(p) for p in T.DISPLAY_HEADINGS]), lambda p: F.regexp_like(x, p))
+        again = F.coalesce(x == s["block"], F.lit(False)) | F.coalesce(x == s["line"], F.lit(False))
+        heading = F.struct(add(add(s["out"], s["open"]), x).alias("out"), x.alias("block"), F.lit("").alias("open"), none.alias("line"))
+        body = F.struct(s["out"].alias("out"), s["block"].alias("block"), F.when(s["open"] == "", x).otherwise(F.concat_ws(" ", s["open"], x)).alias("open"), x.alias("line"))
+        return F.when(again, s).when(head, heading).otherwise(body)
+
+    return F.aggregate(kept, start, step, lambda s: add(s["out"], s["open"]))

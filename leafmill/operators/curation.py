@@ -55,11 +55,22 @@ def source_overlap(rows: DataFrame) -> DataFrame:
     return splits.select(*[F.count_if(F.array_contains("s", a) & F.array_contains("s", b)).alias(f"{a}_{b}") for a, b in (("train", "val"), ("train", "test"), ("val", "test"))])
 
 
+def picked(df: DataFrame, keys: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """``keys``, their least and greatest value, n, and the sorted values at the places (from 0, as columns of n) named.
+
+    Equal values are counted first, so only distinct values are ordered; ``keys`` may be empty.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
+    order = Window.partitionBy(*keys).orderBy(value)
+    total = F.sum("c").over(Window.partitionBy(*keys))
+    placed = counts.withColumn("n", total).withColumn("end", F.sum("c").over(order)).withColumn("begin", F.col("end") - F.col("c"))
+    at = [F.max(F.when((place >= F.col("begin")) & (place < F.col("end")), F.col(value))).alias(name) for name, place in places.items()]
+    return placed.groupBy(*keys).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.max("n").alias("n"), *at)
+
+
 def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``keys, least, middle, most``: the middle is the sorted value at index n // 2, never between two."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    placed = df.where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
-    return placed.groupBy(*keys).agg(F.min(value).alias("least"), F.max(F.when(F.col("i") == F.floor(F.col("n") / 2), F.col(value))).alias("middle"), F.max(value).alias("most"))
+    return picked(df, keys, value, {"middle": F.floor(F.col("n") / 2)}).select(*keys, "least", "middle", "most")
 
 
 def report(rows: DataFrame) -> DataFrame:
@@ -93,10 +104,16 @@ def quotas(rows: DataFrame, target: int) -> DataFrame:
 
 
 def fewer_negatives(rows: DataFrame, target: int, seed: int = 42) -> DataFrame:
-    """All records with a picture, and of those without one a fixed sample by hash, each split by its quota."""
-    negative = rows.where(~has_picture(F.col("annotations")))
-    order = Window.partitionBy("split").orderBy(F.xxhash64("id", F.lit(seed)), "id")
-    kept = negative.withColumn("rn", F.row_number().over(order)).join(F.broadcast(quotas(negative, target).select("split", "quota")), "split").where("rn <= quota").drop("rn", "quota")
+    """All records with a picture, and of those without one a fixed sample by hash, each split by its quota.
+
+    Only hashes up to the quota's share, a sixteenth and 64 records more, are put in order; that so few of n hashes fall below it
+    has a chance of one in millions.
+    """
+    negative = rows.where(~has_picture(F.col("annotations"))).withColumn("h", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)))
+    limits = quotas(negative, target).withColumn("most", F.ceil((F.col("quota") / F.greatest("n", F.lit(1)) * 17 / 16 + 64 / F.greatest("n", F.lit(1))) * (1 << 40)))
+    near = negative.join(F.broadcast(limits.select("split", "quota", "most")), "split").where("h < most")  # one row for each split
+    order = Window.partitionBy("split").orderBy("h", "id")
+    kept = near.withColumn("rn", F.row_number().over(order)).where("rn <= quota").drop("rn", "quota", "h", "most")
     return rows.where(has_picture(F.col("annotations"))).unionByName(kept)
 
 
@@ -139,12 +156,16 @@ def first_picture(annotations: Column) -> Column:
 
 
 def overfit_candidates(rows: DataFrame, n: int, low: float = 0.02, high: float = 0.80) -> DataFrame:
-    """The ``n`` records whose first picture covers about a quarter of the page; without the range where too few fit."""
+    """The ``n`` records whose first picture covers nearest to a quarter of the page, of those within the range and DocLayNet's first;
+    where fewer than ``n`` are within it, of all records with a picture, whatever their dataset."""
     ratio = F.round(G.area_ratio(first_picture(F.col("annotations")), F.col("width"), F.col("height")), 6)
-    sized = rows.where(has_picture(F.col("annotations"))).withColumn("ratio", ratio).where("ratio is not null")
-    fits = (F.col("ratio") > low) & (F.col("ratio") < high)
-    order = [F.when(fits, 0).otherwise(1), F.col("dataset") != "doclaynet", F.abs(F.col("ratio") - 0.25), "id"]
-    return sized.orderBy(*order).limit(n).select("id", "dataset", "ratio")
+    sized = rows.where(has_picture(F.col("annotations"))).select("id", "dataset", ratio.alias("ratio")).where("ratio is not null").withColumn("far", F.abs(F.col("ratio") - 0.25))
+    fits = sized.where((F.col("ratio") > low) & (F.col("ratio") < high)).withColumn("other", (~F.col("dataset").eqNullSafe(F.lit("doclaynet"))).cast("int"))
+    first = fits.orderBy("other", "far", "id").limit(n).withColumn("list", F.lit(0))
+    second = sized.orderBy("far", "id").limit(n).withColumn("other", F.lit(0)).withColumn("list", F.lit(1))
+    both = first.unionByName(second)  # at most 2 n rows
+    enough = F.sum((F.col("list") == 0).cast("int")).over(Window.partitionBy()) >= n
+    return both.withColumn("enough", enough).where("(list = 0) = enough").select("id", "dataset", "ratio")
 
 
 def od_target(annotations: Column, width: Column, height: Column) -> Column:
@@ -197,18 +218,31 @@ def quality_of_reading(lines: DataFrame) -> DataFrame:
     return lines.where("text is not null and trim(text) <> ''").groupBy("page").agg(F.round(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)), 6).alias("quality"))
 
 
+def first_pages(ranking: DataFrame, k: int = 5) -> DataFrame:
+    """``question_id, pages``: the first ``k`` different pages in the order of a ranking (question_id, page_number, place)."""
+    best = ranking.groupBy("question_id", "page_number").agg(F.min("place").alias("place"))
+    placed = best.withColumn("rn", F.row_number().over(Window.partitionBy("question_id").orderBy("place"))).where(F.col("rn") <= k)
+    return placed.groupBy("question_id").agg(F.collect_set("page_number").alias("pages"))
+
+
 def eval_metrics(results: DataFrame) -> DataFrame:
-    """One row of shares over ``answerable, sufficient, expected, retrieved, cited, latency``; denominators are at least 1."""
+    """One row of shares over ``answerable, sufficient, expected, retrieved, cited, echo, latency``; denominators are at least 1.
+
+    ``p50`` and ``p95`` are the sorted latencies at n // 2 and at 95 n // 100 - 1 of the questions that have one.
+    """
     share = lambda hit, of: F.round(F.count_if(hit) / F.greatest(F.count_if(of), F.lit(1)), 6)
     a, s = F.col("answerable"), F.col("sufficient")
-    return results.agg(
+    shares = results.agg(
         F.count("*").alias("questions"),
         share(a & F.arrays_overlap("expected", "retrieved"), a).alias("recall"),
         share(~a & ~s, ~a).alias("unanswerable"),
         share(a & ~s, a).alias("false_refusals"),
+        F.count_if(s & F.col("echo")).alias("echoes"),
         share(s & (F.size("cited") > 0), s).alias("cited"),
         share(a & s & F.arrays_overlap("expected", "cited"), a & s).alias("citation_precision"),
     )
+    times = picked(results, [], "latency", {"p50": F.floor(F.col("n") / 2), "p95": F.greatest(F.floor(F.col("n") * 95 / 100) - 1, F.lit(0))}).select("p50", "p95")
+    return shares.join(times)  # two single rows
 
 
 def calibrated(results: DataFrame, grid: DataFrame) -> DataFrame:

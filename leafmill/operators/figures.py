@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from leafmill.functions import geometry as G
 from leafmill.functions import text as T
 
+#: Characters on both sides of a mention of a figure.
+AROUND = 150
+
 # What makes a visual a figure or table, and what asks for a process or a structure (fixed values).
 FIGURE_WORDS = (
     "figure fig table image diagram map graph chart picture sketch photo illustration roots leaves skeleton symbol emblem flag circuit "
@@ -111,8 +118,22 @@ def merged(figures: DataFrame) -> DataFrame:
     return listed.select("page", "number", "ord", "label", "source_type", captions.alias("caption"))
 
 
-def relevance(query: Column, caption: Column, label: Column, figure_id: Column, keywords: Column, labels_inside: Column, context: Column, page_text: Column) -> Column:
-    """``score`` from 0 to 100 and its parts: concepts, caption, citation nearby, context and kind of visual."""
+@F.pandas_udf(ArrayType(StringType()))
+def mention_windows(page_text: pd.Series, figure_id: pd.Series) -> pd.Series:
+    """What stands around each mention of a figure on its page, in lower case, one window for each mention; windows may overlap."""
+    out = []
+    for text, own in zip(page_text, figure_id, strict=True):
+        number = ".".join(str(own).split(".")[:2]) if isinstance(own, str) else ""
+        found = re.finditer(rf"Fig(?:ure|\.)?\s*{re.escape(number)}", text, re.IGNORECASE) if number and isinstance(text, str) else ()
+        out.append([text[max(0, m.start() - AROUND) : m.end() + AROUND].lower() for m in found])
+    return pd.Series(out)
+
+
+def relevance(query: Column, caption: Column, label: Column, figure_id: Column, keywords: Column, labels_inside: Column, context: Column, page_text: Column, windows: Column | None = None) -> Column:
+    """``score`` from 0 to 100 and its parts: concepts, caption, citation nearby, context and kind of visual.
+
+    ``windows`` are those of :func:`mention_windows`, which may be made once for many queries; without them they come from the page's text.
+    """
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     terms = T.terms(query)
     n = F.greatest(F.size(terms), F.lit(1))
@@ -121,10 +142,8 @@ def relevance(query: Column, caption: Column, label: Column, figure_id: Column,
     cap = F.size(F.filter(terms, lambda t: low(caption).contains(t) | low(label).contains(t) | (t == low(figure_id))))
     phrase = (F.length(query) > 6) & F.contains(low(caption), F.lower(query))
     s_caption = F.least(F.lit(1.0), cap / n + F.when(phrase, 0.4).otherwise(0.0))
-    number = F.regexp_extract(low(figure_id), r"^[^.]*(?:\.[^.]*)?", 0)
-    spot = F.concat(F.lit(r"(?is).{0,150}fig(?:ure|\.)?\s*"), F.replace(number, F.lit("."), F.lit(r"\.")), F.lit(".{0,150}"))
-    windows = F.when(number != "", F.regexp_extract_all(F.coalesce(page_text, F.lit("")), spot, F.lit(0))).otherwise(F.array().cast("array<string>"))
-    cited = F.aggregate(windows, F.lit(0), lambda s, w: s + F.size(F.filter(terms, lambda t: F.lower(w).contains(t))))
+    windows = mention_windows(page_text, figure_id) if windows is None else windows
+    cited = F.aggregate(windows, F.lit(0), lambda s, w: s + F.size(F.filter(terms, lambda t: w.contains(t))))
     s_citation = F.least(F.lit(1.0), cited / n)
     s_context = F.size(F.filter(terms, lambda t: low(context).contains(t))) / n
     shown = F.concat_ws(" ", low(caption), low(label), F.array_join(labels_inside, " "))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import geometry as G
+from leafmill.functions import records
 from leafmill.functions import text as T
 from leafmill.operators import curation as C
 from leafmill.operators import figures as V
@@ -152,6 +153,12 @@ def top_overfit(spark: SparkSession, d: str) -> DataFrame:
     return C.overfit_candidates(_records(spark, d), 20)
 
 
+SQL["top_overfit"] = f"""WITH {_BOX}, f AS (SELECT * FROM (SELECT id, dataset, b, w, h, row_number() OVER (PARTITION BY id ORDER BY i) AS rn FROM box WHERE category = 'Picture') WHERE rn = 1),
+    z AS (SELECT id, dataset, round(greatest(b[3] - b[1], 0) * greatest(b[4] - b[2], 0) / greatest(w * h, 1), 6) AS ratio FROM f), k AS (SELECT * FROM z WHERE ratio IS NOT NULL),
+    a AS (SELECT * FROM k WHERE ratio > 0.02 AND ratio < 0.8 ORDER BY dataset IS DISTINCT FROM 'doclaynet', abs(ratio - 0.25), id LIMIT 20), o AS (SELECT * FROM k ORDER BY abs(ratio - 0.25), id LIMIT 20)
+    SELECT id, dataset, ratio FROM a WHERE (SELECT count(*) FROM a) >= 20 UNION ALL SELECT id, dataset, ratio FROM o WHERE (SELECT count(*) FROM a) < 20"""
+
+
 def geo_florence_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Boxes as location marks."""
     rows = _boxes(spark, d).where("state = 'ok'")
@@ -268,13 +275,20 @@ def figure_normalize(spark: SparkSession, d: str) -> DataFrame:
     return merged.withColumn("kind", V.figure_type(F.col("label"), F.col("caption"), F.col("source_type")))
 
 
-def figure_relevance(spark: SparkSession, d: str) -> DataFrame:
-    """The best figures of the questions' books for each question that can be answered."""
+def _figures(spark: SparkSession, d: str) -> DataFrame:
+    """The figures of all pages with what stands around their mentions, made once; keywords are the figure's terms."""
     figures = figure_normalize(spark, d).withColumn("book_id", F.split("page", ":")[0])
     pages = Q.C.page_texts(table(spark, d, "book_pages")).groupBy("book_id", "page_number").agg(F.max("text").alias("page_text")).select(F.concat_ws(":", "book_id", F.col("page_number").cast("string")).alias("page"), "page_text")
-    asked = table(spark, d, "qa_golden").where("answerable").select(F.col("id").alias("query_id"), F.col("book").alias("book_id"), "question")
-    none = F.lit(None).cast("array<string>")
-    scored = figures.join(pages, "page").join(asked, "book_id").withColumn("r", V.relevance(F.col("question"), F.col("caption"), F.col("label"), F.col("number"), none, none, F.col("caption"), F.col("page_text")))
+    held = figures.join(pages, "page").withColumn("windows", V.mention_windows(F.col("page_text"), F.col("number")))
+    labels = F.filter(F.split("caption", r"\s+"), lambda w: F.length(w) > 6)
+    return held.select("book_id", "page", "number", "label", "caption", "windows", records.nearby_context(F.col("page_text"), F.col("label")).alias("context"), T.terms(F.col("caption")).alias("keywords"), labels.alias("labels_inside"))
+
+
+def figure_relevance(spark: SparkSession, d: str) -> DataFrame:
+    """The best figures of the questions' books for each question."""
+    asked = table(spark, d, "qa_golden").where("question is not null").select(F.col("id").alias("query_id"), F.col("book").alias("book_id"), "question", T.terms(F.col("question")).alias("terms")).where(F.size("terms") > 0)
+    figures = _figures(spark, d)
+    scored = figures.join(asked, "book_id").withColumn("r", V.relevance(F.col("question"), F.col("caption"), F.col("label"), F.col("number"), F.col("keywords"), F.col("labels_inside"), F.col("context"), F.lit(None), F.col("windows")))
     return V.top_figures(scored.select("query_id", F.concat_ws("-", "page", "number").alias("figure"), F.col("r.score").alias("score")))
 
 
@@ -330,20 +344,29 @@ SQL["join_semi_leaky"] = f"WITH {_REC} SELECT id, source_id, split FROM rec WHER
 
 
 def agg_eval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Shares of right decisions and pages over the golden questions."""
-    q = table(spark, d, "qa_golden").select(F.col("id").alias("question_id"), "answerable", "expected_pages")
-    given = table(spark, d, "answer_results").groupBy("question_id").agg(F.max_by("is_sufficient", "answer_id").alias("sufficient"))
-    pages = Q.citations(spark, d).groupBy("question_id").agg(F.collect_set("page_number").alias("cited"))
-    rows = q.join(given, "question_id").join(pages, "question_id", "left")
+    """Shares of right decisions and pages over all golden questions, echoes, and the time to the log as latency."""
+    q = table(spark, d, "qa_golden").select(F.col("id").alias("question_id"), "question", "answerable", "expected_pages")
+    last = F.max_by(F.struct("is_sufficient", "answer", (F.unix_micros("logged_at") - F.unix_micros("asked_at")).alias("latency")), "answer_id")
+    answers = table(spark, d, "answer_results").withColumns({c: F.col(c).cast("timestamp") for c in ("logged_at", "asked_at")})
+    given = answers.groupBy("question_id").agg(last.alias("g")).select("question_id", "g.*")
+    ranking = Q._ranking(spark, d)[0]
+    cited = ranking.where("place <= 3").groupBy("question_id").agg(F.collect_set("page_number").alias("cited"))
+    rows = q.join(given, "question_id", "left").join(C.first_pages(ranking), "question_id", "left").join(cited, "question_id", "left")
     none = F.array().cast("array<int>")
-    return C.eval_metrics(rows.select("answerable", F.coalesce("sufficient", F.lit(False)).alias("sufficient"), F.coalesce("expected_pages", none).alias("expected"), F.coalesce("cited", none).alias("retrieved"), F.coalesce("cited", none).alias("cited")))
+    said = T.echoes(F.col("answer"), F.col("question")) | F.contains(F.lower("answer"), F.regexp_replace(F.lower("question"), r"\?+$", ""))
+    return C.eval_metrics(rows.select("answerable", F.coalesce("is_sufficient", F.lit(False)).alias("sufficient"), F.coalesce("expected_pages", none).alias("expected"), F.coalesce("pages", none).alias("retrieved"), F.coalesce("cited", none).alias("cited"), F.coalesce(said, F.lit(False)).alias("echo"), "latency"))
 
 
-SQL["agg_eval_metrics"] = f"""WITH {Q._RERANK}, c AS (SELECT question_id, list(DISTINCT page_number) AS cited FROM pl JOIN docs USING (chunk_id) WHERE place <= 3 GROUP BY 1), g AS (SELECT question_id, arg_max(is_sufficient, answer_id) AS s FROM answer_results GROUP BY 1),
-    r AS (SELECT answerable AS a, coalesce(s, false) AS s, coalesce(expected_pages, []) AS e, coalesce(cited, []) AS c FROM qa_golden JOIN g ON g.question_id = id LEFT JOIN c ON c.question_id = id)
-    SELECT count(*) AS questions, round(count(*) FILTER (a AND list_has_any(e, c)) / greatest(count(*) FILTER (a), 1), 6) AS recall, round(count(*) FILTER (NOT a AND NOT s) / greatest(count(*) FILTER (NOT a), 1), 6) AS unanswerable,
-    round(count(*) FILTER (a AND NOT s) / greatest(count(*) FILTER (a), 1), 6) AS false_refusals, round(count(*) FILTER (s AND len(c) > 0) / greatest(count(*) FILTER (s), 1), 6) AS cited,
-    round(count(*) FILTER (a AND s AND list_has_any(e, c)) / greatest(count(*) FILTER (a AND s), 1), 6) AS citation_precision FROM r"""
+SQL["agg_eval_metrics"] = f"""WITH {Q._RERANK}, c AS (SELECT question_id, list(DISTINCT page_number) AS cited FROM pl JOIN docs USING (chunk_id) WHERE place <= 3 GROUP BY 1),
+    t0 AS (SELECT question_id, page_number, min(place) AS place FROM pl JOIN docs USING (chunk_id) GROUP BY 1, 2), t1 AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY place) AS rn FROM t0), t AS (SELECT question_id, list(page_number) AS pages FROM t1 WHERE rn <= 5 GROUP BY 1),
+    g AS (SELECT question_id, arg_max((is_sufficient, answer, epoch_us(logged_at) - epoch_us(asked_at)), answer_id) AS g FROM answer_results GROUP BY 1),
+    r AS (SELECT answerable AS a, coalesce(g[1], false) AS s, coalesce(expected_pages, []) AS e, coalesce(cited, []) AS c, coalesce(pages, []) AS p, g[3] AS lat, g[2] AS answer, q.question, list_distinct({Q._tokens("g[2]")}) AS st, list_distinct({Q._tokens("q.question")}) AS qt
+        FROM qa_golden q LEFT JOIN g ON g.question_id = id LEFT JOIN c ON c.question_id = id LEFT JOIN t ON t.question_id = id),
+    k AS (SELECT *, coalesce((len(st) > 0 AND len(qt) > 0 AND (len(list_intersect(st, qt)) = len(st) OR len(list_intersect(st, qt)) / greatest(len(list_distinct(list_concat(st, qt))), 1) >= 0.6 OR suffix(regexp_replace(lower(answer), '[ ?.]+$', ''), regexp_replace(lower(question), '[ ?.]+$', '')))) OR contains(lower(answer), rtrim(lower(question), '?')), false) AS ec FROM r),
+    ls AS (SELECT list(lat ORDER BY lat) AS l FROM r WHERE lat IS NOT NULL)
+    SELECT count(*) AS questions, round(count(*) FILTER (a AND list_has_any(e, p)) / greatest(count(*) FILTER (a), 1), 6) AS recall, round(count(*) FILTER (NOT a AND NOT s) / greatest(count(*) FILTER (NOT a), 1), 6) AS unanswerable,
+    round(count(*) FILTER (a AND NOT s) / greatest(count(*) FILTER (a), 1), 6) AS false_refusals, count(*) FILTER (s AND ec) AS echoes, round(count(*) FILTER (s AND len(c) > 0) / greatest(count(*) FILTER (s), 1), 6) AS cited,
+    round(count(*) FILTER (a AND s AND list_has_any(e, c)) / greatest(count(*) FILTER (a AND s), 1), 6) AS citation_precision, any_value(l[len(l) // 2 + 1]) AS p50, any_value(l[greatest(len(l) * 95 // 100 - 1, 0) + 1]) AS p95 FROM k, ls"""
 
 
 def join_grid_calibration(spark: SparkSession, d: str) -> DataFrame:
@@ -355,6 +378,12 @@ def join_grid_calibration(spark: SparkSession, d: str) -> DataFrame:
     return C.calibrated(rows, grid)
 
 
+SQL["join_grid_calibration"] = f"""WITH {Q._SPANS}, t AS (SELECT score AS top, margin, answerable FROM qa_golden LEFT JOIN pl ON pl.question_id = id AND place = 1 LEFT JOIN sp ON sp.question_id = id),
+    b AS (SELECT round(top, 1) AS top, round(margin, 1) AS m, answerable, count(*) AS n FROM t GROUP BY 1, 2, 3), g AS (SELECT r.i * 0.5 AS rerank, a.i * 0.5 AS margin, s.i * 0.5 AS strong FROM range(-8, 9) r(i), range(-8, 9) a(i), range(-4, 17) s(i) WHERE s.i >= r.i),
+    x AS (SELECT rerank, margin, strong, sum(CASE WHEN coalesce(top >= rerank AND (coalesce(m, '-infinity'::DOUBLE) >= margin OR top >= strong), false) = answerable THEN n ELSE 0 END) AS r, sum(n) AS n FROM b, g GROUP BY 1, 2, 3)
+    SELECT rerank::DOUBLE AS rerank, margin::DOUBLE AS margin, strong::DOUBLE AS strong, round(r / n, 6) AS accuracy FROM x ORDER BY r DESC, 1, 2, 3 LIMIT 1"""
+
+
 def agg_ema(spark: SparkSession, d: str) -> DataFrame:
     """Smoothed confidence of each mode's answers in order of time, its last value."""
     rows = table(spark, d, "answer_results").where("confidence is not null").groupBy("mode", F.to_date("asked_at").alias("day")).agg(F.avg("confidence").alias("c"))
@@ -362,6 +391,10 @@ def agg_ema(spark: SparkSession, d: str) -> DataFrame:
     return listed.select("mode", F.size("l").alias("days"), F.round(F.element_at(C.ema(F.col("l")), -1), 6).alias("smoothed"))
 
 
+SQL["agg_ema"] = """WITH d AS (SELECT mode, asked_at::DATE AS day, avg(confidence) AS c FROM answer_results WHERE confidence IS NOT NULL GROUP BY 1, 2), l AS (SELECT mode, list(c ORDER BY day) AS l FROM d GROUP BY 1)
+    SELECT mode, len(l)::INT AS days, round(list_reduce(l, lambda s, x: 0.1 * x + 0.9 * s), 6) AS smoothed FROM l"""
+
+
 def win_running_best(spark: SparkSession, d: str) -> DataFrame:
     """Pages of a book that took less time to read than all pages before."""
     rows = table(spark, d, "book_pages").where("ocr_time_sec is not null").groupBy("book_id", "page_number").agg(F.min("ocr_time_sec").alias("seconds"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -192,17 +194,31 @@ SQL["txt_snippet"] = r"""SELECT chunk_id, CASE WHEN length(t) <= 280 THEN t ELSE
 
 
 def txt_full_text_export(spark: SparkSession, d: str) -> DataFrame:
-    """Each book's pages as one text, as its length and hash, with the name of the download."""
-    pages = C.page_texts(table(spark, d, "book_pages")).where("text is not null").groupBy("book_id", "page_number").agg(F.max("text").alias("text"))
-    part = F.format_string("--- PAGE %d ---\n%s", F.col("page_number"), F.col("text"))
-    whole = pages.groupBy("book_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", part.alias("p")))), lambda x: x["p"]), "\n\n").alias("t"))
-    named = whole.join(table(spark, d, "books").groupBy(F.col("id").alias("book_id")).agg(F.max("filename").alias("filename")), "book_id")
-    return named.select("book_id", F.length("t").alias("chars"), F.md5("t").alias("hash"), F.concat(F.regexp_replace("filename", r"(?i)\.pdf$", ""), F.lit("_full.txt")).alias("name"))
+    """Each book's pages as one text for readers, as its length and hash, with the name of the download; no book is ever one row."""
+    text = F.coalesce(F.nullif("raw_text", F.lit("")), "text")
+    pages = table(spark, d, "book_pages").where("book_id is not null and page_number is not null").groupBy("book_id", "page_number").agg(F.max(text).alias("text"), F.max(F.trim("page_type")).alias("page_type"))
+    part = F.format_string("--- PAGE %d (%s) ---\n\n%s", F.col("page_number"), F.coalesce("page_type", F.lit("Unknown")), C.display_text(F.col("text")))
 
+    def add(state, piece: str):
+        piece = piece if state[1] == 0 else "\n\n" + piece
+        state[0].update(piece.encode())
+        return state[0], state[1] + len(piece)
 
-SQL["txt_full_text_export"] = f"""WITH {_PAGES}, p AS (SELECT book_id, page_number, max(text) AS text FROM pages WHERE text IS NOT NULL GROUP BY 1, 2),
-    w AS (SELECT book_id, string_agg('--- PAGE ' || page_number || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY page_number) AS t FROM p GROUP BY 1)
-    SELECT book_id, length(t)::INT AS chars, md5(t) AS hash, regexp_replace(f, '(?i)\\.pdf$', '') || '_full.txt' AS name FROM w JOIN (SELECT id, max(filename) AS f FROM books GROUP BY 1) ON id = book_id"""
+    whole = R.folded(pages.select("book_id", "page_number", part.alias("p")), "book_id", ["page_number"], "p", "book_id string, chars bigint, hash string", lambda: (hashlib.md5(), 0), add, lambda key, state: (key, state[1], state[0].hexdigest()))
+    named = whole.join(table(spark, d, "books").groupBy(F.col("id").alias("book_id")).agg(F.max("filename").alias("filename")), "book_id")
+    name = F.coalesce(F.nullif(F.regexp_replace("filename", r"(?i)\.pdf$", ""), F.lit("")), F.lit("book"))
+    return named.select("book_id", F.col("chars").cast("int").alias("chars"), "hash", F.concat(name, F.lit("_full.txt")).alias("name"))
+
+
+_HEADED = " OR ".join(f"regexp_matches(e.x, '{p}')" for p in T.DISPLAY_HEADINGS)
+_JOINED = lambda a, b: f"CASE WHEN {b} = '' THEN {a} WHEN {a} = '' THEN {b} ELSE {a} || chr(10) || chr(10) || {b} END"
+SQL["txt_full_text_export"] = f"""WITH p AS (SELECT book_id, page_number, max(coalesce(nullif(raw_text, ''), text)) AS text, coalesce(max(trim(page_type)), 'Unknown') AS page_type FROM book_pages WHERE book_id IS NOT NULL AND page_number IS NOT NULL GROUP BY 1, 2),
+    l AS (SELECT *, list_filter(list_transform(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> '' AND lower(x) <> 'n') AS l FROM p),
+    f AS (SELECT *, list_reduce(list_transform(l, lambda x: {{'o': '', 'b': NULL::VARCHAR, 'w': '', 'n': NULL::VARCHAR, 'x': x}}), lambda s, e: CASE WHEN coalesce(e.x = s.b, false) OR coalesce(e.x = s.n, false) THEN s
+        WHEN length(e.x) < 70 AND ({_HEADED}) THEN {{'o': {_JOINED("(" + _JOINED("s.o", "s.w") + ")", "e.x")}, 'b': e.x, 'w': '', 'n': NULL::VARCHAR, 'x': ''}}
+        ELSE {{'o': s.o, 'b': s.b, 'w': CASE WHEN s.w = '' THEN e.x ELSE s.w || ' ' || e.x END, 'n': e.x, 'x': ''}} END, {{'o': '', 'b': NULL::VARCHAR, 'w': '', 'n': NULL::VARCHAR, 'x': ''}}) AS r FROM l),
+    w AS (SELECT book_id, string_agg('--- PAGE ' || page_number || ' (' || page_type || ') ---' || chr(10) || chr(10) || {_JOINED("r.o", "r.w")}, chr(10) || chr(10) ORDER BY page_number) AS t FROM f GROUP BY 1)
+    SELECT book_id, length(t)::INT AS chars, md5(t) AS hash, coalesce(nullif(regexp_replace(f, '(?i)\.pdf$', ''), ''), 'book') || '_full.txt' AS name FROM w JOIN (SELECT id, max(filename) AS f FROM books GROUP BY 1) ON id = book_id"""
 
 
 def txt_sanitize_filename(spark: SparkSession, d: str) -> DataFrame:

@@ -20,19 +20,29 @@ def append_new(rows: DataFrame, path: str, key: str) -> None:
 
 
 def replace_json(rows: DataFrame, path: str, backup: bool = True) -> None:
-    """Write JSON lines beside ``path`` and then put them in its place; the first version is kept as ``path.bak``."""
+    """Write JSON lines beside ``path`` and then put them in its place; the first version is kept as ``path.bak``.
+
+    The version before stands at ``path.before`` until the new one is in place, so :func:`current` always finds a whole one.
+    """
     spark = rows.sparkSession
     staged = f"{path}.staged-{uuid.uuid4().hex}"
     rows.write.json(staged)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target, new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, staged, f"{path}.bak"))
+    target, new, old, before = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, staged, f"{path}.bak", f"{path}.before"))
     fs = target.getFileSystem(conf)
     if fs.exists(target):
         if backup and not fs.exists(old):
-            fs.rename(target, old)
-        else:
-            fs.delete(target, True)
+            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, target, fs, old, False, conf)
+        fs.delete(before, True)
+        fs.rename(target, before)
     fs.rename(new, target)
+    fs.delete(before, True)
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """Where the version of a table of :func:`replace_json` stands that is in force, also after a crash between its two renames."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target) else f"{path}.before"
 
 
 def history_csv(parts: list[DataFrame], path: str) -> None:

@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from leafmill.operators import chunking as C
 from leafmill.operators.chunking import MAX_WORDS, TARGET_WORDS, boilerplate, chunk_pages, kept_lines, sections
 
 SCHEMA = "book_id string, page_number int, raw_text string, text string"
@@ -48,3 +51,9 @@ def test_ordinals_run_over_pages_and_repeats_change_nothing(spark):
     got = {r.chunk_id: (r.kind, r.section, list(r.figure_refs)) for r in chunk_pages(frame(spark, pages + pages)).collect()}
     assert got == {"b1:p1:c0": ("body", None, []), "b1:p1:c1": ("exercise", "EXERCISES HERE", []), "b1:p3:c2": ("body", "EXERCISES HERE", ["2.1", "4"])}
     assert chunk_pages(frame(spark, [(1, None), (2, "")])).count() == 0
+
+
+def test_display_text(spark):
+    text = "CHAPTER ONE\nn\nCHAPTER ONE\nfirst line\nfirst line\nsecond line\r\n1.2 The Heading\nafter it\nN\n  last  "
+    rows = spark.createDataFrame([(text,), (None,), ("",), ("one\n\ntwo",)], "t string").select(C.display_text(F.col("t")).alias("d")).collect()
+    assert [r.d for r in rows] == ["CHAPTER ONE\n\nfirst line second line\n\n1.2 The Heading\n\nafter it last", "", "", "one two"]

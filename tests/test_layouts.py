@@ -105,3 +105,32 @@ def test_numbers(spark):
     assert {r.split: r.quota for r in C.quotas(q, 15).collect()} == {"test": 3, "train": 8, "val": 4}
     steps = spark.createDataFrame([("r", i, v) for i, v in enumerate((3.0, 3.0, 2.0, 5.0, 1.0))], "k string, i int, v double")
     assert [r.i for r in C.running_best(steps, ["k"], "i", "v").orderBy("i").collect()] == [0, 2, 4]
+
+
+def test_windows_of_mentions(spark):
+    text = "See Fig 2.1 and Figure 2.1, then fig. 2.1. " + "x" * 200 + " Figure 2.10"
+    got = [r.w for r in spark.createDataFrame([(text, "2.1"), (text, "2.1.a"), (text, ""), (text, None), (None, "2.1")], "t string, n string").select(V.mention_windows("t", "n").alias("w")).collect()]
+    assert [len(w) for w in got] == [4, 4, 0, 0, 0] and all(len(w) <= 320 for w in got[0]) and got[0][0].startswith("see fig 2.1")
+
+
+def test_overfit_falls_back(spark):
+    rows = [(i, ("doclaynet", "ai2d", None)[i % 3], 100, 100, [("Picture", [0.0, 0.0, 100.0, float(h)])]) for i, h in enumerate((1, 20, 25, 40, 95, 99))]
+    df = spark.createDataFrame(rows, "id int, dataset string, width int, height int, annotations array<struct<category:string,bbox:array<double>>>")
+    assert [r.id for r in C.overfit_candidates(df, 3).collect()] == [3, 2, 1]
+    assert [r.id for r in C.overfit_candidates(df, 5).orderBy("id").collect()] == [0, 1, 2, 3, 4]
+    assert C.overfit_candidates(df.limit(0), 3).count() == 0
+
+
+def test_places_in_sorted_values(spark):
+    values = [5.0, 1.0, 1.0, 3.0, 9.0, None, 3.0, 3.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    row = C.picked(df, [], "v", {"p50": F.floor(F.col("n") / 2), "last": F.col("n") - 1}).first()
+    assert (row.least, row.most, row.n, row.p50, row["last"]) == (1.0, 9.0, 7, 3.0, 9.0)
+
+
+def test_first_pages_and_metrics(spark):
+    ranking = spark.createDataFrame([("q", p, i) for i, p in enumerate((4, 4, 2, 9, 4, 1, 7, 8, 3))], "question_id string, page_number int, place int")
+    assert sorted(C.first_pages(ranking).first().pages) == [1, 2, 4, 7, 9]
+    rows = [(True, True, [1], [1, 2], [2], False, 10), (True, False, [3], [4], [], False, 30), (False, False, [], [1], [1], False, None), (True, True, [5], [5], [5], True, 20)]
+    m = C.eval_metrics(spark.createDataFrame(rows, "answerable boolean, sufficient boolean, expected array<int>, retrieved array<int>, cited array<int>, echo boolean, latency long")).first()
+    assert (m.questions, m.recall, m.unanswerable, m.false_refusals, m.echoes, m.cited, m.citation_precision, m.p50, m.p95) == (4, 0.666667, 1.0, 0.333333, 1, 1.0, 0.5, 20, 20)

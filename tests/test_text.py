@@ -70,3 +70,9 @@ def test_answers(spark):
     assert values(spark, ["# Head\ntext ## more"], T.without_heading_marks) == ["Head\ntext\n\nmore"]
     assert values(spark, ["x" * 280, "word " * 80], T.snippet)[0] == "x" * 280 and values(spark, ["word " * 80], T.snippet)[0].endswith("word...")
     assert values(spark, ['a/b:c "d".pdf'], T.sanitize_filename) == ["a_b_c__d_.pdf"]
+
+
+def test_labels_said_many_times(spark):
+    text = "Figure 3.1 " * 9 + ": The valve opens slowly"
+    row = spark.createDataFrame([(text,)], "t string").select(T.parse_caption(F.col("t")).alias("c")).first().c
+    assert (row.number, row.text) == ("3.1", "The valve opens slowly")
