@@ -33,6 +33,8 @@ FIGURE_NUMBER = r"(?i)\b(?:Fig(?:ure)?\.?|Table)\s*(\d+(?:\.\d+)?)"
 REFERENCE_KINDS = (r"Figure\s+", r"Fig\.?\s*", r"Table\s+", r"Activity\s+")
 _REFERENCE = r"(\d+(?:\.\d+)?(?:\.[a-zA-Z])?)"
 _CAPTION = r"(?is)^\s*(fig(?:ure)?s?\.?|table)\s*(\d{1,2}(?:\s?\.\s?\d{1,2}){0,2})(?:\s*\(([a-z])\))?(?![\d.]*\d)\s*[:.\-–—]?\s*(.*)$"
+# By what a question names a figure or table (fixed values).
+NAMED_FIGURES = (r"(?i)Figure\s+(\d+(?:\.\d+)?)", r"(?i)Fig\.?\s*(\d+(?:\.\d+)?)", r"(?i)Table\s+(\d+(?:\.\d+)?)")
 # Headings for display (fixed values).
 DISPLAY_HEADINGS = (r"(?i)^(?:chapter|section)\b", r"^\d+(?:\.\d+)*\s+[A-Z]", r"^[A-Z][A-Z\s&-]{5,}$")
 # Wordings of comparisons (fixed values).

@@ -274,3 +274,42 @@ def interleaved(lists: DataFrame, per_list: int = 4) -> DataFrame:
     """``query, item, place``: ranked lists merged by position, then by list; an item counts where it comes first."""
     first = lists.where(F.col("position") < per_list).groupBy("query", "item").agg(F.min(F.struct("position", "list")).alias("at"))
     return first.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("at.position", "at.list", "item"))).select("query", "item", "place")
+
+
+def overfit_passed(share_good: Column, mean_iou: Column, recall: Column, baseline_iou: Column, least: float = 0.75) -> Column:
+    """Whether a model has learned its few records by heart: enough images with good boxes, or much better ones than before and most found.
+    ``baseline_iou`` is null where none was measured."""
+    better = F.coalesce((mean_iou > baseline_iou + 0.15) & (mean_iou >= 0.50), F.lit(False))
+    return (share_good >= least) | (better & (recall >= 0.70))
+
+
+def picture_boxes(item: Column, width: Column, height: Column, picture_ids: tuple[int, ...] = (6, 7)) -> Column:
+    """The pictures of a raw record, whatever its form: parallel ids and corner boxes, parallel names and (x, y, w, h) boxes, objects, or
+    annotations whose boxes are what they look like. The first form that has a picture counts; the named form's repeats count once."""
+    def pairs(names: Column, boxes: Column, form: str) -> Column:
+        both = F.arrays_zip(names.alias("n"), boxes.alias("b"))
+        hits = F.filter(both, lambda x: F.coalesce(x["n"], F.lit(False)) & x["b"].isNotNull())
+        return F.filter(F.transform(hits, lambda x: G.from_box(x["b"], width, height, form)), lambda b: b.isNotNull())
+
+    named = lambda c: F.lower(F.coalesce(c, F.lit(""))) == "picture"
+    by_id = pairs(F.transform(item["category_id"], lambda c: c.isin(*picture_ids)), item["bboxes"], "xyxy")
+    by_name = F.array_distinct(pairs(F.transform(item["categories"], named), item["bboxes_block"], "xywh"))
+    whole = lambda c: F.transform(c, lambda o: F.when(named(F.coalesce(o["label"], o["category"])) | F.coalesce(o["category_id"].isin(*picture_ids), F.lit(False)), True).otherwise(False))
+    objects = pairs(whole(item["objects"]), F.transform(item["objects"], lambda o: o["bbox"]), "xyxy")
+    other = pairs(whole(item["annotations"]), F.transform(item["annotations"], lambda o: o["bbox"]), "auto")
+    some = [F.when(F.size(c) > 0, c) for c in (by_id, by_name, objects, other)]
+    return F.coalesce(*some, F.array().cast("array<array<double>>"))
+
+
+def numbered(rows: DataFrame, dataset: str = "dataset") -> DataFrame:
+    """Records whose missing ids are made of dataset and place; the place is that of the row in the table as it is read."""
+    place = F.monotonically_increasing_id()
+    made = F.concat(F.coalesce(F.nullif(dataset, F.lit("")), F.lit("record")), F.lit("_"), F.lpad(place.cast("string"), 6, "0"))
+    return rows.withColumn("id", F.coalesce(F.nullif("id", F.lit("")), F.when(F.length(place.cast("string")) > 6, F.concat(F.coalesce(F.nullif(dataset, F.lit("")), F.lit("record")), F.lit("_"), place.cast("string"))).otherwise(made)))
+
+
+def collected(rows: DataFrame, cap: int, pictures_only: bool = True) -> DataFrame:
+    """Of each split up to ``cap`` records, by a stable hash, numbered from 0; those with a picture, or all."""
+    fit = rows.where(has_picture(F.col("annotations"))) if pictures_only else rows
+    order = Window.partitionBy("split").orderBy(F.xxhash64("id"), "id")
+    return fit.withColumn("number", F.row_number().over(order) - 1).where(F.col("number") < cap)

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from leafmill.durable import cut
 from leafmill.functions import geometry as G
 from leafmill.functions import text as T
+from leafmill.operators import answering as A
 
 #: Characters on both sides of a mention of a figure.
 AROUND = 150
@@ -164,3 +166,76 @@ def top_figures(scored: DataFrame, least: float = 10.0, share: float = 0.45, k:
     margin = F.when(F.col("next").isNull(), 100.0).otherwise(F.col("score") - F.col("next"))
     kept = rows.where((F.col("place") <= k) & (F.col("score") >= F.greatest(F.lit(least), share * F.col("best"))))
     return kept.select("query_id", "figure", "score", "place", F.round(margin, 2).alias("margin"), ((F.col("place") == 1) & F.col("next").isNotNull() & (margin < 15) & (F.col("score") >= 30)).alias("ambiguous"))
+
+
+def explicit_matches(questions: DataFrame, figures: DataFrame) -> DataFrame:
+    """``question_id`` with the figures of its book that it names by number: by id, or by the number in label or caption; each id once, the
+    first page's. ``figures`` has book_id, page_number, number, label and caption."""
+    named = questions.select("question_id", "book_id", F.coalesce(*[F.nullif(F.regexp_extract("question", p, 1), F.lit("")) for p in T.NAMED_FIGURES]).alias("target")).where("target is not null")
+    keys = F.array_distinct(F.filter(F.array("number", T.explicit_reference(F.col("label")), T.explicit_reference(F.col("caption"))), lambda k: k.isNotNull()))
+    held = figures.select("book_id", "page_number", "number", "label", "caption", F.explode(keys).alias("target"))
+    order = Window.partitionBy("question_id", "number").orderBy("page_number")
+    return named.join(held, ["book_id", "target"]).withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn", "target")
+
+
+def chosen_figures(questions: DataFrame, figures: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``question_id, page_number, number, label, caption, place, margin, ambiguous, named`` of the figures that go with each question.
+
+    Figures that the question names come first and alone. A question that asks for something to see gets up to three of the six most relevant
+    by caption, concepts and score that share words with a caption, or the most relevant alone where it stands out; where there is none, the best
+    figure of the first two evidence pages (question_id, book_id, page_number, ord, text) that share two words with it.
+    """
+    exact = explicit_matches(questions, figures)
+    named = exact.withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy("page_number", "number")))
+    named = named.select("question_id", "page_number", "number", "label", "caption", "place", F.lit(100.0).alias("margin"), F.lit(False).alias("ambiguous"), F.lit(True).alias("named"))
+    visual = questions.where(F.col("question").rlike(T.VISUAL_WISH) | T.explicit_reference(F.col("question")).isNotNull()).join(exact.select("question_id").distinct(), "question_id", "left_anti")
+    fit = figures.where(is_figure_or_table(F.col("label"), F.col("caption"), F.col("number"), F.lit(None), F.lit(None), F.col("labels_inside")))
+    score = relevance(F.col("question"), F.col("caption"), F.col("label"), F.col("number"), F.col("keywords"), F.col("labels_inside"), F.col("context"), F.lit(None), F.col("windows"))
+    scored = fit.join(visual.where(F.size(T.terms(F.col("question"))) > 0), "book_id").withColumn("r", score)
+    scored = scored.select("question_id", "page_number", "number", "label", "caption", F.col("r.score").alias("score"), F.col("r.caption").alias("s_caption"), F.col("r.semantic").alias("s_semantic"))
+    by_score = Window.partitionBy("question_id").orderBy(F.desc("score"), "page_number", "number")
+    ranked = scored.withColumn("next", F.lead("score").over(by_score)).withColumn("rn", F.row_number().over(by_score)).where("rn <= 6")
+    top = Window.partitionBy("question_id")
+    ranked = ranked.withColumn("best", F.max("score").over(top)).withColumn("margin", F.max(F.when(F.col("rn") == 1, F.coalesce(F.col("score") - F.col("next"), F.lit(100.0)))).over(top)).where(F.col("score") >= 0.45 * F.col("best"))
+    order = Window.partitionBy("question_id").orderBy(F.desc("s_caption"), F.desc("s_semantic"), F.desc("score"), "page_number", "number")
+    ranked = ranked.withColumn("order", F.row_number().over(order))
+    head = ranked.where("order = 1").select("question_id", ((F.col("margin") >= 10) & (F.col("score") >= 25)).alias("clear"))
+    first = ranked.where("s_caption >= 0.2").withColumn("dup", F.row_number().over(Window.partitionBy("question_id", "number").orderBy("order"))).where("dup = 1")
+    first = first.withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy("order"))).where("place <= 3").join(head, "question_id").where("not clear").drop("clear")
+    clear = ranked.where("order = 1").join(head.where("clear").select("question_id"), "question_id", "left_semi").withColumn("place", F.lit(1))
+    columns = ["question_id", "page_number", "number", "label", "caption", "place", F.round("margin", 2).alias("margin"), ((F.col("margin") < 15) & (F.col("best") >= 30)).alias("ambiguous"), F.lit(False).alias("named")]
+    shown = first.select(*columns).union(clear.select(*columns))
+    bare = visual.join(shown.select("question_id").distinct(), "question_id", "left_anti").withColumn("terms", F.array_distinct(T.terms(F.col("question"))))
+    near = bare.join(evidence.where("ord <= 2").select("question_id", "page_number", "ord", "text"), "question_id").where(F.size(F.array_intersect("terms", T.terms(F.col("text")))) >= 2)
+    said = F.lower(F.concat_ws(" ", "label", "caption", "context"))
+    hits = near.select("question_id", "book_id", "page_number", "ord", "terms").join(fit, ["book_id", "page_number"]).withColumn("hits", F.size(F.filter("terms", lambda t: said.contains(t))))
+    page_best = hits.withColumn("rn", F.row_number().over(Window.partitionBy("question_id", "ord").orderBy(F.desc("hits"), "number"))).where("rn = 1 and hits > 0")
+    fallback = page_best.withColumn("first", F.row_number().over(Window.partitionBy("question_id").orderBy("ord"))).where("first = 1")
+    fallback = fallback.select("question_id", "page_number", "number", "label", "caption", F.lit(1).alias("place"), F.lit(0.0).alias("margin"), F.lit(False).alias("ambiguous"), F.lit(False).alias("named"))
+    return named.unionByName(shown).unionByName(fallback)
+
+
+def responses(chunks: DataFrame, questions: DataFrame, figures: DataFrame, pages: DataFrame, most_pages: int = 5) -> DataFrame:
+    """``question_id, answer, sufficient, confidence, mode, source_pages, figures, margin, ambiguous``: the answers with their pages and figures.
+
+    A question that names a figure of its book is answered with it and its pages, by the figure's label and caption where the text doesn't
+    suffice; any other insufficient answer has neither pages nor figures. ``pages`` has book_id, page_number and text.
+    """
+    known = figures.groupBy("book_id", "page_number").agg(F.collect_set("number").alias("figures"))
+    out, cites = A.decisions(chunks, questions, known_figures=known)
+    cites, _ = cut(cites.join(questions.select("question_id", "book_id"), "question_id"), "cites")
+    ordered = cites.groupBy("question_id", "book_id", "page_number").agg(F.min("ord").alias("ord"))
+    ordered = ordered.withColumn("ord", F.row_number().over(Window.partitionBy("question_id").orderBy("ord")))
+    chosen, _ = cut(chosen_figures(questions, figures, ordered.join(pages, ["book_id", "page_number"])), "figures")
+    lists = chosen.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("place", "page_number", "number", "label", "caption"))).alias("f"), F.max("margin").alias("margin"), F.max("ambiguous").alias("ambiguous"), F.max("named").alias("named"))
+    cited_pages = ordered.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "page_number"))), lambda x: x["page_number"]).alias("pages"))
+    rows = out.join(lists, "question_id", "left").join(cited_pages, "question_id", "left")
+    named = F.coalesce("named", F.lit(False))
+    enough = F.col("sufficient") | named
+    caption = F.get(F.filter(F.transform("f", lambda x: F.coalesce(x["caption"], F.lit(""))), lambda c: c != ""), F.lit(0))
+    label = F.coalesce(F.nullif(F.get("f", F.lit(0))["label"], F.lit("")), F.concat(F.lit("Figure "), F.get("f", F.lit(0))["number"]))
+    clean = T.without_heading_marks(T.without_citations(F.col("answer")))
+    answer = F.when(F.col("sufficient"), clean).when(named, F.when(caption.isNotNull(), F.concat(label, F.lit(": "), caption)).otherwise(label)).otherwise(F.col("answer"))
+    shown = F.when(named, F.array_distinct(F.transform("f", lambda x: x["page_number"]))).otherwise(F.col("pages"))
+    listed = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return rows.select("question_id", answer.alias("answer"), enough.alias("sufficient"), "confidence", "mode", F.when(enough, listed(F.slice(F.coalesce(shown, F.array().cast("array<int>")), 1, most_pages))).otherwise("").alias("source_pages"), F.when(enough, listed(F.transform(F.coalesce("f", F.array().cast("array<struct<place:int,page_number:int,number:string,label:string,caption:string>>")), lambda x: x["number"]))).otherwise("").alias("figures"), F.coalesce("margin", F.lit(0.0)).alias("margin"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))

@@ -218,7 +218,7 @@ SQL["txt_full_text_export"] = f"""WITH p AS (SELECT book_id, page_number, max(co
         WHEN length(e.x) < 70 AND ({_HEADED}) THEN {{'o': {_JOINED("(" + _JOINED("s.o", "s.w") + ")", "e.x")}, 'b': e.x, 'w': '', 'n': NULL::VARCHAR, 'x': ''}}
         ELSE {{'o': s.o, 'b': s.b, 'w': CASE WHEN s.w = '' THEN e.x ELSE s.w || ' ' || e.x END, 'n': e.x, 'x': ''}} END, {{'o': '', 'b': NULL::VARCHAR, 'w': '', 'n': NULL::VARCHAR, 'x': ''}}) AS r FROM l),
     w AS (SELECT book_id, string_agg('--- PAGE ' || page_number || ' (' || page_type || ') ---' || chr(10) || chr(10) || {_JOINED("r.o", "r.w")}, chr(10) || chr(10) ORDER BY page_number) AS t FROM f GROUP BY 1)
-    SELECT book_id, length(t)::INT AS chars, md5(t) AS hash, coalesce(nullif(regexp_replace(f, '(?i)\.pdf$', ''), ''), 'book') || '_full.txt' AS name FROM w JOIN (SELECT id, max(filename) AS f FROM books GROUP BY 1) ON id = book_id"""
+    SELECT book_id, length(t)::INT AS chars, md5(t) AS hash, coalesce(nullif(regexp_replace(f, '(?i)\\.pdf$', ''), ''), 'book') || '_full.txt' AS name FROM w JOIN (SELECT id, max(filename) AS f FROM books GROUP BY 1) ON id = book_id"""
 
 
 def txt_sanitize_filename(spark: SparkSession, d: str) -> DataFrame:
