@@ -16,21 +16,31 @@ TARGET_WORDS, MAX_WORDS, SECTION_PAGES = 110, 180, 2
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
-    """``book_id, page_number, text``, once for each text of a page; raw text counts before text."""
+    """``book_id, page_number, text``, once for each text of a page; raw text counts before text. Texts are told apart by their hashes, so
+    only one of equal ones is shuffled, and no key is a text."""
     text = F.coalesce(F.nullif("raw_text", F.lit("")), F.col("text"))
-    return pages.select("book_id", "page_number", text.alias("text")).where("book_id is not null and page_number is not null").distinct()
+    rows = pages.select("book_id", "page_number", text.alias("text")).where("book_id is not null and page_number is not null")
+    return rows.groupBy("book_id", "page_number", F.sha2("text", 256).alias("h")).agg(F.first("text").alias("text")).drop("h")
+
+
+def _lines(texts: DataFrame) -> DataFrame:
+    each = texts.select("book_id", "page_number", F.posexplode(T.lines(F.col("text"))).alias("line_no", "raw"))
+    return each.withColumn("raw", F.trim("raw")).where("raw <> ''")
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
     """``book_id, page_number, line_no, raw``: the stripped lines that aren't blank."""
-    each = page_texts(pages).select("book_id", "page_number", F.posexplode(T.lines(F.col("text"))).alias("line_no", "raw"))
-    return each.withColumn("raw", F.trim("raw")).where("raw <> ''")
+    return _lines(page_texts(pages))
 
 
 def boilerplate(pages: DataFrame, share: float = 0.3, least: int = 3, min_pages: int = 4, longest: int = 60) -> DataFrame:
     """``book_id, line, pages``: lines (lower case) that stand on many pages of their book."""
-    sizes = page_texts(pages).groupBy("book_id").agg(F.countDistinct("page_number").alias("n"))
-    seen = page_lines(pages).where(F.length("raw") <= longest).select("book_id", "page_number", F.lower("raw").alias("line")).distinct()
+    return _boilerplate(cut(page_texts(pages), "page_texts")[0], share, least, min_pages, longest)
+
+
+def _boilerplate(texts: DataFrame, share: float, least: int = 3, min_pages: int = 4, longest: int = 60) -> DataFrame:
+    sizes = texts.groupBy("book_id").agg(F.count_distinct("page_number").alias("n"))
+    seen = _lines(texts).where(F.length("raw") <= longest).select("book_id", "page_number", F.lower("raw").alias("line")).distinct()
     counts = seen.groupBy("book_id", "line").agg(F.count("*").alias("pages"))
     return counts.join(sizes, "book_id").where((F.col("n") >= min_pages) & (F.col("pages") >= F.greatest(F.lit(least), F.floor(F.col("n") * share)))).select("book_id", "line", "pages")
 
@@ -38,8 +48,9 @@ def boilerplate(pages: DataFrame, share: float = 0.3, least: int = 3, min_pages:
 def kept_lines(pages: DataFrame, share: float = 0.3) -> DataFrame:
     """``book_id, page_number, line_no, line, heading``: cleaned lines without boilerplate, spaced letters and a heading said again
     on its page."""
-    clean = page_lines(pages).withColumn("line", T.clean_line(F.col("raw"))).where("line <> ''").where(~T.is_spaced_letters(F.col("line")))
-    gone = boilerplate(pages, share).select("book_id", F.col("line").alias("low"))
+    texts, _ = cut(page_texts(pages), "page_texts")
+    clean = _lines(texts).withColumn("line", T.clean_line(F.col("raw"))).where("line <> ''").where(~T.is_spaced_letters(F.col("line")))
+    gone = _boilerplate(texts, share).select("book_id", F.col("line").alias("low"))
     rest = clean.withColumn("low", F.lower("line")).join(gone, ["book_id", "low"], "left_anti")
     marked = rest.select("book_id", "page_number", "line_no", "line", T.is_heading(F.col("line")).alias("heading"))
     order = Window.partitionBy("book_id", "page_number").orderBy("line_no")

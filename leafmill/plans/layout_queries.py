@@ -250,6 +250,12 @@ def flt_overlap_suppression(spark: SparkSession, d: str) -> DataFrame:
     return boxes.select("id", F.size("l").alias("boxes"), F.size(V.suppress_overlaps(F.transform("l", lambda x: x["box"]))).alias("kept"))
 
 
+SQL["flt_overlap_suppression"] = f"""WITH {_BOX}, l AS (SELECT id, list(b ORDER BY i) AS l FROM box WHERE state = 'ok' GROUP BY 1),
+    k AS (SELECT id, len(l) AS n, list_reduce(list_transform(l, lambda x: [x]), lambda s, e: CASE WHEN len(list_filter(s, lambda k: greatest(least(k[3], e[1][3]) - greatest(k[1], e[1][1]), 0) * greatest(least(k[4], e[1][4]) - greatest(k[2], e[1][2]), 0)
+        > 0.35 * least((k[3] - k[1]) * (k[4] - k[2]), (e[1][3] - e[1][1]) * (e[1][4] - e[1][2])))) > 0 THEN s ELSE list_append(s, e[1]) END) AS kept FROM l)
+    SELECT id, n::INT AS boxes, len(kept)::INT AS kept FROM k"""
+
+
 def agg_detection_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Pictures as truths against tables as predictions, in one row."""
     truth, said = (_of(spark, d, c, "ord").withColumnRenamed("page", "image") for c in ("Picture", "Table"))

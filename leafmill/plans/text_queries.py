@@ -19,6 +19,13 @@ _STOPS = "(" + ", ".join(f"'{w}'" for w in T.RETRIEVAL_STOPS) + ")"
 _FIGURE_STOPS = "(" + ", ".join(f"'{w}'" for w in T.FIGURE_STOPS) + ")"
 
 
+_WORDS = lambda x: f"list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '')"
+_ENUMERATOR = r"(?:\d{1,2}\.|\([a-z]\)|\([ivx]+\))"
+_PIECES = rf"list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(text, '\s+({_ENUMERATOR}\s)', chr(10) || '\1', 'g'), '([.!?])\s+([A-Z(\"''“])', '\1' || chr(1) || '\2', 'g'), '\n+|\x01'), lambda x: trim(x)), lambda x: x <> '')"
+_FOLD = lambda l: f"""list_reduce(list_transform({l}, lambda x: {{'done': []::VARCHAR[], 'open': '', 'x': x}}), lambda s, e: CASE WHEN regexp_full_match(e.x, '{_ENUMERATOR}') THEN {{'done': s.done, 'open': trim(s.open || ' ' || e.x), 'x': ''}}
+        ELSE {{'done': list_append(s.done, trim(s.open || ' ' || e.x)), 'open': '', 'x': ''}} END, {{'done': []::VARCHAR[], 'open': '', 'x': ''}})"""
+
+
 def _tokens(x: str) -> str:
     return f"list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN {_STOPS})"
 
@@ -125,6 +132,11 @@ def txt_sentences(spark: SparkSession, d: str) -> DataFrame:
     return said.select("chunk_id", F.size("s").alias("sentences"), T.is_exercise(F.col("s")).alias("exercise"))
 
 
+SQL["txt_sentences"] = f"""WITH c AS (SELECT chunk_id, max(text) AS text FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL GROUP BY 1), f AS (SELECT chunk_id, {_FOLD(_PIECES)} AS f FROM c),
+    s AS (SELECT chunk_id, CASE WHEN f.open = '' THEN f.done ELSE list_append(f.done, f.open) END AS s FROM f)
+    SELECT chunk_id, len(s)::INT AS sentences, len(s) > 0 AND len(list_filter(s, lambda x: suffix(x, '?') OR regexp_matches(x, '^(?:\\d+\\.|\\([a-z]\\)|\\([ivx]+\\))\\s'))) * 2 >= len(s) AS exercise FROM s"""
+
+
 def txt_figure_refs(spark: SparkSession, d: str) -> DataFrame:
     """Figure and table numbers that each chunk names."""
     refs = _docs(spark, d).select("chunk_id", T.figure_refs(F.col("text")).alias("r")).where("size(r) > 0")
@@ -305,6 +317,11 @@ def win_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return C.page_texts(table(spark, d, "book_pages")).where("text is not null").select("book_id", "page_number", C.paragraphs(F.col("text")).alias("paragraphs"))
 
 
+SQL["win_paragraphs"] = f"""WITH {_PAGES}, l AS (SELECT book_id, page_number, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND x <> 'n') AS l FROM pages WHERE text IS NOT NULL),
+    k AS (SELECT book_id, page_number, list_filter(l, lambda x, i: i = 1 OR l[i - 1] <> x) AS l FROM l),
+    h AS (SELECT *, list_transform(l, lambda x: {{'x': x, 'h': length(x) < 70 AND (regexp_matches(x, '{T.NUMBERED_HEADING}') OR regexp_matches(x, '^[A-Z][A-Z\\s]{{4,}}$'))}}) AS h FROM k)
+    SELECT book_id, page_number, array_to_string(list_transform(h, lambda e, i: CASE WHEN i = 1 THEN '' WHEN h[i - 1].h OR e.h THEN chr(10) || chr(10) ELSE ' ' END || e.x), '') AS paragraphs FROM h"""
+
 _DOCS = "docs AS (SELECT chunk_id, max(book_id) AS book_id, max(text) AS text, max(kind) AS kind, max(section) AS section, max(page_number) AS page_number FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL GROUP BY 1)"
 _ASKS = "asks AS (SELECT id AS question_id, book AS book_id, question FROM qa_golden)"
 _SCORES_OF = f"""{_DOCS}, w AS (SELECT chunk_id, book_id, {_tokens("CASE WHEN section IS NOT NULL THEN section || '. ' || text ELSE text END")} AS words FROM docs),
@@ -395,13 +412,9 @@ def comparison_answer(spark: SparkSession, d: str) -> DataFrame:
     return out.join(listed, "question_id", "left").select("question_id", "answer", "extractive", "sufficient", "confidence", "mode", "reason", "parts", "cited")
 
 
-_WORDS = lambda x: f"list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '')"
-_ENUMERATOR = r"(?:\d{1,2}\.|\([a-z]\)|\([ivx]+\))"
-_PIECES = rf"list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(text, '\s+({_ENUMERATOR}\s)', chr(10) || '\1', 'g'), '([.!?])\s+([A-Z(\"''“])', '\1' || chr(1) || '\2', 'g'), '\n+|\x01'), lambda x: trim(x)), lambda x: x <> '')"
 _CLEAN = r"regexp_replace(trim(regexp_replace(regexp_replace(trim(raw), '^(?:[nqlv•▪●■]\s+)+', ''), '\s+', ' ', 'g')), '^[ \-–]+|[ \-–]+$', '', 'g')"
 _ANSWERS_OF = rf"""cx AS (SELECT pl.question_id, place, page_number, {_PIECES} AS l FROM pl JOIN docs USING (chunk_id) WHERE place <= 3),
-    cf AS (SELECT question_id, place, page_number, list_reduce(list_transform(l, lambda x: {{'done': []::VARCHAR[], 'open': '', 'x': x}}), lambda s, e: CASE WHEN regexp_full_match(e.x, '{_ENUMERATOR}') THEN {{'done': s.done, 'open': trim(s.open || ' ' || e.x), 'x': ''}}
-        ELSE {{'done': list_append(s.done, trim(s.open || ' ' || e.x)), 'open': '', 'x': ''}} END, {{'done': []::VARCHAR[], 'open': '', 'x': ''}}) AS f FROM cx),
+    cf AS (SELECT question_id, place, page_number, {_FOLD("l")} AS f FROM cx),
     cs AS (SELECT question_id, place, page_number, unnest(CASE WHEN f.open = '' THEN f.done ELSE list_append(f.done, f.open) END) AS raw, generate_subscripts(CASE WHEN f.open = '' THEN f.done ELSE list_append(f.done, f.open) END, 1) AS pos FROM cf),
     cl AS (SELECT question_id, place, page_number, pos, {_CLEAN} AS sentence, question FROM cs JOIN asks USING (question_id)),
     ct AS (SELECT *, list_distinct({_tokens("sentence")}) AS st, list_distinct({_tokens("question")}) AS qs, array_to_string({_tokens("sentence")}, ' ') AS k FROM cl),
