@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import display as D
 from leafmill.functions import geometry as G
+from leafmill.functions import records
 from leafmill.operators import curation as C
+from leafmill.operators import documents as DOC
 from leafmill.operators import figures as V
 from leafmill.operators import reading as W
 from leafmill.operators import registry as E
@@ -198,6 +200,33 @@ def answer_response(spark: SparkSession, d: str) -> DataFrame:
     return V.responses(table(spark, d, "chunks"), Q._questions(spark, d), figures, pages)
 
 
+def _document(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The figure mentions of pages as raw figures, and the graph of them."""
+    lines = Q.C.page_lines(table(spark, d, "book_pages")).withColumn("label", F.regexp_extract("raw", r"(?i)\b(?:Figure|Fig\.?|Table)\s*\d+(?:\.\d+)?", 0))
+    none = F.lit(None).cast("string")
+    raw = lines.where("label <> ''").select("book_id", "page_number", F.col("line_no").alias("ord"), none.alias("figure_id"), "label", F.when(F.col("raw").startswith(F.col("label")), F.col("raw")).alias("caption"), F.array("label").alias("labels_inside"), F.array(*[F.lit(0.0)] * 4).alias("box"), F.lit(0.5).alias("confidence"), none.alias("description"), none.alias("image_path"), F.col("raw").alias("context"), none.alias("surrounding"), F.lit("text").alias("source_type"))
+    named = lines.select("book_id", "page_number", F.col("line_no").alias("ord"), F.explode(records.mentions(F.col("raw"))).alias("reference"))
+    return DOC.graph(raw, named)
+
+
+def document_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Edges from captions and pages to figures, by kind."""
+    return _document(spark, d)[2].select("id", "source", "target", "relation", "confidence")
+
+
+def document_captions(spark: SparkSession, d: str) -> DataFrame:
+    """Captions of all pages, and placeholders for figures that only the text names."""
+    return _document(spark, d)[1].select("id", "page_id", "text", "attached_to", "reference", "confidence")
+
+
+def document_json(spark: SparkSession, d: str) -> DataFrame:
+    """Every page with its visible figures as one JSON object, as length and hash."""
+    pages = table(spark, d, "book_pages").where("book_id is not null and page_number is not null")
+    once = pages.groupBy("book_id", "page_number").agg(F.max_by(F.struct(F.col("page_type").alias("page_type"), F.col("status").alias("status"), F.coalesce("raw_text", "text").alias("text")), F.struct("ingested_at", F.coalesce("raw_text", "text"))).alias("p")).select("book_id", "page_number", "p.*")
+    out = DOC.serialised(once, _document(spark, d)[0])
+    return out.select("book_id", "page_number", F.length("json").alias("chars"), F.md5("json").alias("hash"), F.get_json_object("json", "$.figures[0].figure_id").alias("first_figure"))
+
+
 QUERIES = [
-    registry_latest_job, registry_pending, registry_owner, registry_outcomes, registry_detail, registry_jobs, display_citations, display_answers, prompt_build, geo_box_forms, geo_crop_boxes, geo_search_windows, flt_detected, figure_keys, answer_response,
+    registry_latest_job, registry_pending, registry_owner, registry_outcomes, registry_detail, registry_jobs, display_citations, display_answers, prompt_build, geo_box_forms, geo_crop_boxes, geo_search_windows, flt_detected, figure_keys, answer_response, document_graph, document_captions, document_json,
 ]
