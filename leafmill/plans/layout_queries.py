@@ -262,6 +262,17 @@ def agg_detection_metrics(spark: SparkSession, d: str) -> DataFrame:
     return C.detection_summary(C.detection(truth, said, 0.1))
 
 
+SQL["agg_detection_metrics"] = f"""WITH {_BOX}, p AS (SELECT * FROM box WHERE category = 'Picture' AND state = 'ok'), t AS (SELECT * FROM box WHERE category = 'Table' AND state = 'ok'),
+    x AS (SELECT p.id, p.i AS g, t.i AS q, CASE WHEN {_AREA('p')} + {_AREA('t')} - {_ISECT} > 0 THEN {_ISECT} / ({_AREA('p')} + {_AREA('t')} - {_ISECT}) ELSE 0 END AS iou FROM p JOIN t ON p.id = t.id),
+    m AS (SELECT id, list_reduce(list({{'iou': iou, 'g': g, 'q': q, 'gs': []::BIGINT[], 'qs': []::BIGINT[], 's': 0.0::DOUBLE}} ORDER BY iou DESC, g DESC, q DESC), lambda s, e: CASE WHEN list_contains(s.gs, e.g) OR list_contains(s.qs, e.q) THEN s
+        ELSE {{'iou': 0.0::DOUBLE, 'g': s.g, 'q': s.q, 'gs': list_append(s.gs, e.g), 'qs': list_append(s.qs, e.q), 's': s.s + e.iou}} END, {{'iou': 0.0::DOUBLE, 'g': 0, 'q': 0, 'gs': []::BIGINT[], 'qs': []::BIGINT[], 's': 0.0::DOUBLE}}) AS m FROM x WHERE iou >= 0.1 GROUP BY 1),
+    b AS (SELECT id, sum(b) AS b FROM (SELECT id, g, max(iou) AS b FROM x GROUP BY 1, 2) GROUP BY 1), pn AS (SELECT id, count(*) AS n FROM p GROUP BY 1), tn AS (SELECT id, count(*) AS n FROM t GROUP BY 1),
+    r AS (SELECT coalesce(pn.n, 0) AS truths, coalesce(tn.n, 0) AS predictions, coalesce(len(m.gs), 0) AS matched, coalesce(m.s, 0.0) AS iou_sum, CASE WHEN coalesce(pn.n, 0) = 0 THEN 1.0 ELSE coalesce(b, 0.0) / pn.n END AS best
+        FROM (SELECT id FROM p UNION SELECT id FROM t) i LEFT JOIN pn ON pn.id = i.id LEFT JOIN tn ON tn.id = i.id LEFT JOIN m ON m.id = i.id LEFT JOIN b ON b.id = i.id),
+    s AS (SELECT sum(matched) AS tp, sum(predictions) AS pr, sum(truths) AS tr, sum(iou_sum) AS i, avg(best) AS best, avg((best >= 0.8)::INT) AS good FROM r), z AS (SELECT *, tp / greatest(pr, 1) AS a, tp / greatest(tr, 1) AS c FROM s)
+    SELECT tp::BIGINT AS matched, round(a, 6) AS precision, round(c, 6) AS recall, round(CASE WHEN a + c > 0 THEN 2 * a * c / (a + c) ELSE 0 END, 6) AS f1, round(i / greatest(tp, 1), 6) AS mean_iou, round(best, 6) AS mean_best, round(good, 6) AS share_good FROM z"""
+
+
 def agg_best_iou(spark: SparkSession, d: str) -> DataFrame:
     """Mean best overlap of each image."""
     truth, said = (_of(spark, d, c, "ord").withColumnRenamed("page", "image") for c in ("Picture", "Table"))
@@ -281,6 +292,15 @@ def figure_normalize(spark: SparkSession, d: str) -> DataFrame:
     return merged.withColumn("kind", V.figure_type(F.col("label"), F.col("caption"), F.col("source_type")))
 
 
+_NORMAL = rf"""{Q._PAGES}, nl AS (SELECT book_id || ':' || page_number AS page, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord, trim(unnest(string_split(text, chr(10)))) AS raw FROM pages),
+    nm AS (SELECT *, regexp_extract(raw, '(?i)\b(?:Figure|Fig\.?|Table)\s*\d+(?:\.\d+)?') AS label FROM nl),
+    nn AS (SELECT *, CASE WHEN NOT regexp_matches(label, '(?i)\b(?:Figure|Fig\.?)\s+\.') AND NOT (contains(lower(label || ' ' || raw), 'activity') AND NOT regexp_matches(lower(label || ' ' || raw), '\b(?:figure|fig\.?|table)\s+\d'))
+        THEN nullif(regexp_extract(trim(regexp_replace(label, '(?i)^(?:Figure|Fig\.?|Table|Activity)\s*', '')), '(\d+(?:\.\d+)?(?:\.[a-zA-Z])?)', 1), '') END AS number FROM nm WHERE label <> ''),
+    ng AS (SELECT page, number, min(ord) AS ord, arg_min(label, ord) AS label, list_reduce(list(raw ORDER BY ord, raw), lambda s, c: CASE WHEN contains(s, c) THEN s ELSE s || ' ' || c END) AS caption FROM nn WHERE number IS NOT NULL GROUP BY 1, 2),
+    fn AS (SELECT page, number, ord::INT AS ord, label, 'text' AS source_type, caption, CASE WHEN contains(lower(label || ' ' || caption), 'table') THEN 'table' WHEN regexp_matches(lower(label || ' ' || caption), 'formula|equation') THEN 'formula' ELSE 'figure' END AS kind FROM ng)"""
+SQL["figure_normalize"] = f"WITH {_NORMAL} SELECT * FROM fn"
+
+
 def _figures(spark: SparkSession, d: str) -> DataFrame:
     """The figures of all pages with what stands around their mentions, made once; keywords are the figure's terms."""
     figures = figure_normalize(spark, d).withColumn("book_id", F.split("page", ":")[0])
@@ -304,6 +324,10 @@ def join_explicit_reference(spark: SparkSession, d: str) -> DataFrame:
     return chunks.join(figure_normalize(spark, d).select("page", "number", "kind"), ["page", "number"]).select("chunk_id", "number", "kind")
 
 
+SQL["join_explicit_reference"] = rf"""WITH {_NORMAL}, {Q._DOCS}, r AS (SELECT DISTINCT chunk_id, book_id || ':' || page_number AS page, unnest(regexp_extract_all(text, '(?i)\b(?:Fig(?:ure)?\.?|Table)\s*(\d+(?:\.\d+)?)', 1)) AS number FROM docs)
+    SELECT chunk_id, number, kind FROM r JOIN fn USING (page, number)"""
+
+
 def win_margin(spark: SparkSession, d: str) -> DataFrame:
     """How far the best chunk of a question stands before the next one."""
     scored = R.scores(Q._index(spark, d), Q._questions(spark, d))

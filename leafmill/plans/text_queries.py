@@ -467,6 +467,18 @@ def grounding_verify(spark: SparkSession, d: str) -> DataFrame:
     return A.grounded(claims, _ranking(spark, d)[0].select("question_id", "place", "text"))
 
 
+_ENTAILED = lambda q, t: f"CASE WHEN len({q}) = 0 THEN 0.0 WHEN len(list_intersect({q}, {t})) / len({q}) >= 0.8 THEN 1.0 ELSE len(list_intersect({q}, {t})) / len({q}) / 2 END"
+SQL["grounding_verify"] = f"""WITH {_RERANK}, gi AS (SELECT DISTINCT answer_id, question_id, answer AS text FROM answer_results WHERE answer IS NOT NULL), gf AS (SELECT answer_id, question_id, {_FOLD(_PIECES)} AS f FROM gi),
+    gs AS (SELECT answer_id, question_id, CASE WHEN f.open = '' THEN f.done ELSE list_append(f.done, f.open) END AS s FROM gf), cl AS (SELECT answer_id, question_id, unnest(s) AS sentence, (generate_subscripts(s, 1) - 1)::INT AS sentence_no FROM gs),
+    u AS (SELECT DISTINCT question_id, sentence, list_distinct({_tokens("sentence")}) AS q, len({_tokens("sentence")}) < 4 AS short, regexp_extract_all(sentence, '[A-Za-z0-9]+') AS parts FROM cl),
+    pa AS (SELECT question_id, place, text, {_tokens("text")} AS tt, array_to_string({_WORDS("text")}[1:320], ' ') AS premise, regexp_extract_all(text, '[A-Za-z0-9]+') AS tp FROM pl JOIN docs USING (chunk_id) WHERE place <= 8),
+    r AS (SELECT u.*, place, coalesce(premise, '') AS premise, coalesce(tp, []) AS tp, row_number() OVER (PARTITION BY u.question_id, sentence ORDER BY coalesce(len(list_intersect(q, tt)), 0) DESC, place) AS rn FROM u LEFT JOIN pa ON pa.question_id = u.question_id),
+    g AS (SELECT question_id, sentence, any_value(q) AS q, any_value(short) AS short, any_value(parts) AS parts, max(CASE WHEN rn <= 2 THEN {_ENTAILED("q", _tokens("premise"))} END) AS single, string_agg(CASE WHEN rn <= 2 THEN premise END, ' ' ORDER BY rn) AS joined, count(*) FILTER (rn <= 2) AS k, list_distinct(flatten(list(tp))) AS seen FROM r GROUP BY 1, 2),
+    v AS (SELECT question_id, sentence, CASE WHEN short THEN CASE WHEN len(parts) > 0 AND len(list_filter(parts, lambda x: NOT list_contains(seen, x))) = 0 THEN 1.0 ELSE 0.0 END
+        ELSE greatest(single, CASE WHEN single < 0.5 AND k > 1 THEN {_ENTAILED("q", _tokens("joined"))} ELSE 0.0 END) END AS score FROM g)
+    SELECT answer_id, cl.question_id, sentence_no, round(score, 6)::DOUBLE AS score, score >= 0.5 AS kept FROM cl JOIN v ON v.question_id IS NOT DISTINCT FROM cl.question_id AND v.sentence = cl.sentence"""
+
+
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     """Ten nearest vectors of every vector whose id is divisible by 50."""
     e = table(spark, d, "embeddings")
