@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import display as D
 from leafmill.functions import geometry as G
 from leafmill.functions import records
+from leafmill.functions import text as T
 from leafmill.operators import curation as C
 from leafmill.operators import documents as DOC
 from leafmill.operators import figures as V
@@ -193,6 +194,10 @@ def figure_keys(spark: SparkSession, d: str) -> DataFrame:
     return E.figure_index(pages).withColumn("alt", D.figure_alt(F.col("label"), F.col("caption"), F.col("page_number")))
 
 
+SQL["figure_keys"] = f"""WITH {L._NORMAL}, k AS (SELECT *, string_split(page, ':')[1] AS book_id, string_split(page, ':')[2]::INT AS page_number FROM fn), o AS (SELECT *, row_number() OVER (PARTITION BY book_id, page_number ORDER BY ord, number, label, caption) AS n FROM k)
+    SELECT book_id, page_number, 'p' || page_number || '-' || n AS figure_key, number AS figure_id, label, nullif(trim(caption), '') AS caption, CASE WHEN coalesce(nullif(trim(caption), ''), '') <> '' THEN trim(label) || ': ' || trim(caption) ELSE trim(label) END AS alt FROM o"""
+
+
 def answer_response(spark: SparkSession, d: str) -> DataFrame:
     """What a reader gets for each question: answer, pages, figures and how sure their choice is."""
     figures = L._figures(spark, d).withColumn("at", F.split("page", ":")).withColumn("page_number", F.col("at")[1].cast("int"))
@@ -214,11 +219,27 @@ def document_graph(spark: SparkSession, d: str) -> DataFrame:
     return _document(spark, d)[2].select("id", "source", "target", "relation", "confidence")
 
 
+_REFER = lambda x: "coalesce(" + ", ".join(f"nullif(regexp_extract({x}, '(?i){k}(\\d+(?:\\.\\d+)?(?:\\.[a-zA-Z])?)', 1), '')" for k in T.REFERENCE_KINDS) + ")"
+_GRAPH = rf"""{L._NORMAL}, dn AS (SELECT *, string_split(page, ':')[1] AS book_id, string_split(page, ':')[2]::INT AS page_number, CASE WHEN starts_with(raw, label) THEN raw END AS cap FROM nn WHERE number IS NOT NULL),
+    dg AS (SELECT book_id, page_number, number, min(ord) AS ord, arg_min(label, ord) AS label, nullif(trim(list_reduce(list_prepend('', list(coalesce(cap, '') ORDER BY ord, raw)), lambda s, c: CASE WHEN c = '' OR contains(s, c) THEN s WHEN s = '' THEN c ELSE trim(s || ' ' || c) END)), '') AS caption FROM dn GROUP BY 1, 2, 3),
+    df AS (SELECT *, row_number() OVER (PARTITION BY book_id, page_number ORDER BY ord, number) AS idx, 'doc:' || book_id || ':page:' || page_number AS page_id, coalesce({_REFER("label")}, {_REFER("caption")}) AS reference FROM dg),
+    dc AS (SELECT book_id, page_number, page_id || ':caption:' || idx AS id, page_id, caption AS text, page_id || ':figure:' || idx AS attached_to, reference, 0.5::DOUBLE AS confidence FROM df WHERE caption IS NOT NULL),
+    dm AS (SELECT book_id, page_number, ord, unnest(regexp_extract_all(raw, '(?i)\b(?:Fig(?:ure)?\.?|Table|Activity|Chart)\s*(\d+(?:\.\d+)?)', 1)) AS m FROM (SELECT string_split(page, ':')[1] AS book_id, string_split(page, ':')[2]::INT AS page_number, ord, raw FROM nl WHERE raw <> '')),
+    dr AS (SELECT book_id, page_number, coalesce({_REFER("'Figure ' || m")}, trim(m)) AS reference, min(ord) AS ord FROM dm GROUP BY 1, 2, 3)"""
+SQL["document_graph"] = f"""WITH {_GRAPH} SELECT id || '->' || attached_to AS id, id AS source, attached_to AS target, 'caption_of' AS relation, confidence FROM dc
+    UNION ALL SELECT page_id || '->' || page_id || ':figure:' || idx || ':ref:' || reference, page_id, page_id || ':figure:' || idx, 'references', 0.85::DOUBLE FROM df WHERE reference IS NOT NULL"""
+
+
 def document_captions(spark: SparkSession, d: str) -> DataFrame:
     """Captions of all pages, and placeholders for figures that only the text names."""
     return _document(spark, d)[1].select("id", "page_id", "text", "attached_to", "reference", "confidence")
 
 
+SQL["document_captions"] = f"""WITH {_GRAPH} SELECT id, page_id, text, attached_to, reference, confidence FROM dc
+    UNION ALL SELECT 'doc:' || book_id || ':page:' || page_number || ':reference:' || ord, 'doc:' || book_id || ':page:' || page_number, 'Figure ' || reference, NULL, reference, 0.0::DOUBLE FROM dr
+    WHERE NOT EXISTS (SELECT 1 FROM dc WHERE dc.book_id = dr.book_id AND dc.page_number = dr.page_number AND dc.reference = dr.reference)"""
+
+
 def document_json(spark: SparkSession, d: str) -> DataFrame:
     """Every page with its visible figures as one JSON object, as length and hash."""
     pages = table(spark, d, "book_pages").where("book_id is not null and page_number is not null")
