@@ -73,3 +73,41 @@ def extracted_pages(spark: SparkSession, path: str, extract: Callable[[bytes], I
     read = raw.select("path", F.sha2("content", 256).alias("sha256"), "content").mapInArrow(run, PAGE)
     kind = F.when(F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) >= 40, "digital").otherwise("scanned")
     return read.withColumn("page_type", F.when(F.col("status") == "ok", kind).otherwise("unknown"))
+
+
+_OBJECT = "struct<label:string,category:string,category_id:int,bbox:array<double>>"
+LAYOUT = f"category_id array<int>, bboxes array<array<double>>, categories array<string>, bboxes_block array<array<double>>, objects array<{_OBJECT}>, annotations array<{_OBJECT}>, image_width int, image_height int, doc_category string, original_filename string, page_no int"
+
+
+def layouts(spark: SparkSession, path: str) -> DataFrame:
+    """Raw layout records as Parquet, of all splits under ``path``, with their split by the name of their folder or file; columns that a form
+    doesn't have are null."""
+    rows = spark.read.option("mergeSchema", True).parquet(path)
+    name = F.regexp_extract(F.lower(F.col("_metadata.file_path")), r"([^/]*/[^/]*)$", 1)
+    split = F.when(name.rlike(r"(?:^|[/_-])val(?:idation)?(?=[/_.-])"), "val").when(name.rlike(r"(?:^|[/_-])test(?=[/_.-])"), "test").otherwise("train")
+    return rows.withColumn("split", split)
+
+
+def paired_layouts(spark: SparkSession, annotations: str, images: str) -> DataFrame:
+    """Annotation files (JSON, one a page) with the image of the same stem; one without the other is left out. Images are named, not read."""
+    stem = lambda path: F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
+    rows = spark.read.schema(LAYOUT).option("multiLine", True).json(annotations).withColumn("stem", stem(F.col("_metadata.file_path")))
+    pictures = spark.read.format("binaryFile").load(images).select(F.col("path").alias("image_path"), stem(F.col("path")).alias("stem"))
+    return rows.join(pictures, "stem")
+
+
+def labelled_captions(spark: SparkSession, path: str) -> DataFrame:
+    """``book, page, label, prefix, pages``: figures whose captions are known, one row each."""
+    one = "array<struct<book:string,page:int,label:string,caption_prefix:string,pages_subset:array<int>>>"
+    raw = spark.read.option("wholetext", True).text(path)
+    each = raw.select(F.explode(F.when(F.col("value").rlike(r"^\s*\["), F.from_json("value", one)).otherwise(F.from_json("value", f"struct<figures:{one}>")["figures"])).alias("f"))
+    return each.select("f.book", "f.page", "f.label", F.col("f.caption_prefix").alias("prefix"), F.col("f.pages_subset").alias("pages"))
+
+
+def phases(spark: SparkSession, path: str) -> DataFrame:
+    """``phase, done, total, bar`` of a state of nested phases and tasks, in their order."""
+    from leafmill.functions.display import bar
+
+    state = spark.read.schema("phases array<struct<name:string,tasks:array<struct<name:string,done:boolean>>>>").option("multiLine", True).json(path)
+    each = state.select(F.posexplode("phases").alias("at", "p")).select("at", F.col("p.name").alias("phase"), F.size(F.filter("p.tasks", lambda t: t["done"])).alias("done"), F.size("p.tasks").alias("total"))
+    return each.orderBy("at").select("phase", "done", "total", bar(F.col("done"), F.col("total")).alias("bar"))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from leafmill.durable import cut
+
 
 def append_new(rows: DataFrame, path: str, key: str) -> None:
     """Append the rows whose key the Parquet table at ``path`` doesn't have; running it again changes nothing."""
@@ -64,3 +66,42 @@ def unreferenced_files(spark: SparkSession, folder: str, manifest: DataFrame) ->
     """Files of a folder that no record of the manifest names; nothing is deleted."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.substring_index("path", "/", -1).alias("image_filename"))
     return listed.join(manifest.select("image_filename").distinct(), "image_filename", "left_anti").select("path")
+
+
+def store_uploads(spark: SparkSession, source: str, store: str, most_bytes: int = 50 << 20) -> DataFrame:
+    """Keep new uploads by content: a table of ``sha256, content, size_bytes`` that has each file once. Returns the verdicts (path, sha256, size_bytes,
+    verdict, known); contents larger than the limit are not read."""
+    from leafmill.sources.files import uploads
+
+    verdicts = uploads(spark, source, most_bytes)
+    try:
+        known = spark.read.parquet(store).select("sha256", F.lit(True).alias("known"))
+    except AnalysisException:
+        known = spark.createDataFrame([], "sha256 string, known boolean")
+    out = verdicts.join(known, "sha256", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    out, _ = cut(out, "uploads")
+    fresh = out.where("verdict = 'ok' and not known").groupBy("sha256").agg(F.min("path").alias("path"), F.first("size_bytes").alias("size_bytes"))
+    content = spark.read.format("binaryFile").load(source).where(F.col("length") <= most_bytes).select("path", "content")
+    content.join(F.broadcast(fresh) if fresh.limit(10_001).count() <= 10_000 else fresh, "path").select("sha256", "content", "size_bytes").write.mode("append").parquet(store)
+    return out
+
+
+def keep_embeddings(vectors: DataFrame, path: str) -> None:
+    """Vectors (book_id, fingerprint, chunk_id, embedding) as a table by fingerprint; those of a fingerprint that is there are not written again."""
+    try:
+        known = vectors.sparkSession.read.parquet(path).select("fingerprint").distinct()
+    except AnalysisException:
+        known = None
+    fresh = vectors if known is None else vectors.join(known, "fingerprint", "left_anti")
+    fresh.write.mode("append").partitionBy("fingerprint").parquet(path)
+
+
+def kept_embeddings(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """The kept vectors of the books in ``wanted`` (book_id, fingerprint, chunks) whose number is right; a book with another number has none."""
+    try:
+        held = spark.read.parquet(path)
+    except AnalysisException:
+        held = spark.createDataFrame([], "book_id string, chunk_id string, embedding array<float>, fingerprint string")
+    rows = held.join(wanted.select("book_id", "fingerprint", "chunks"), ["book_id", "fingerprint"])
+    counts = rows.groupBy("book_id", "fingerprint", "chunks").agg(F.count("*").alias("n")).where("n = chunks").select("book_id", "fingerprint")
+    return rows.drop("chunks").join(counts, ["book_id", "fingerprint"], "left_semi")
