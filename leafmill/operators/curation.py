@@ -313,3 +313,25 @@ def collected(rows: DataFrame, cap: int, pictures_only: bool = True) -> DataFram
     fit = rows.where(has_picture(F.col("annotations"))) if pictures_only else rows
     order = Window.partitionBy("split").orderBy(F.xxhash64("id"), "id")
     return fit.withColumn("number", F.row_number().over(order) - 1).where(F.col("number") < cap)
+
+
+def detection_report(truth: DataFrame, predicted: DataFrame) -> DataFrame:
+    """One row: precision, recall and F1 at overlaps of 0.5 and 0.75, overlaps of :func:`detection_summary` at 0.5, and boxes for each image."""
+    half = detection(truth, predicted, 0.5)
+    low = detection_summary(half).select(*[F.col(c).alias(f"{c}_50") for c in ("precision", "recall", "f1")], "mean_iou", "mean_best", "share_good")
+    high = detection_summary(detection(truth, predicted, 0.75)).select(*[F.col(c).alias(f"{c}_75") for c in ("precision", "recall", "f1")])
+    sizes = half.agg(F.count("*").alias("images"), F.round(F.avg("truths"), 6).alias("truths"), F.round(F.avg("predictions"), 6).alias("predictions"))
+    return low.join(high).join(sizes)  # three single rows
+
+
+def inspection(rows: DataFrame) -> DataFrame:
+    """``dataset, measure, least, middle, most`` of the images' width and height and of the share of the page of valid pictures, middles being upper
+    medians, with ``pictures``, ``full`` (over 0.95 of the page) and ``partial`` (over 0.05) ones and ``sources`` in every row."""
+    named = rows.withColumn("dataset", F.coalesce("dataset", F.lit("none")))
+    valid = boxes(named).where("category = 'Picture' and state = 'ok'").select("dataset", F.round(G.area_ratio(F.col("box"), F.col("width"), F.col("height")), 6).alias("share"))
+    share = F.col("share")
+    counts = valid.groupBy("dataset").agg(F.count("*").alias("pictures"), F.count_if(share > 0.95).alias("full"), F.count_if((share > 0.05) & (share <= 0.95)).alias("partial"))
+    sources = named.groupBy("dataset").agg(F.count_distinct("source_id").alias("sources"))
+    sides = named.select("dataset", F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in ("width", "height")])).alias("m")).select("dataset", "m.*")
+    measured = upper_median(sides.union(valid.select("dataset", F.lit("share"), "share")), ["dataset", "measure"], "v")
+    return measured.join(sources, "dataset").join(counts, "dataset", "left").na.fill(0, ["pictures", "full", "partial"])

@@ -262,17 +262,45 @@ def agg_detection_metrics(spark: SparkSession, d: str) -> DataFrame:
     return C.detection_summary(C.detection(truth, said, 0.1))
 
 
-SQL["agg_detection_metrics"] = f"""WITH {_BOX}, p AS (SELECT * FROM box WHERE category = 'Picture' AND state = 'ok'), t AS (SELECT * FROM box WHERE category = 'Table' AND state = 'ok'),
+def _detection_sql(limit: float, name: str = "z") -> str:
+    text = f"""p AS (SELECT * FROM box WHERE category = 'Picture' AND state = 'ok'), t AS (SELECT * FROM box WHERE category = 'Table' AND state = 'ok'),
     x AS (SELECT p.id, p.i AS g, t.i AS q, CASE WHEN {_AREA('p')} + {_AREA('t')} - {_ISECT} > 0 THEN {_ISECT} / ({_AREA('p')} + {_AREA('t')} - {_ISECT}) ELSE 0 END AS iou FROM p JOIN t ON p.id = t.id),
     m AS (SELECT id, list_reduce(list({{'iou': iou, 'g': g, 'q': q, 'gs': []::BIGINT[], 'qs': []::BIGINT[], 's': 0.0::DOUBLE}} ORDER BY iou DESC, g DESC, q DESC), lambda s, e: CASE WHEN list_contains(s.gs, e.g) OR list_contains(s.qs, e.q) THEN s
-        ELSE {{'iou': 0.0::DOUBLE, 'g': s.g, 'q': s.q, 'gs': list_append(s.gs, e.g), 'qs': list_append(s.qs, e.q), 's': s.s + e.iou}} END, {{'iou': 0.0::DOUBLE, 'g': 0, 'q': 0, 'gs': []::BIGINT[], 'qs': []::BIGINT[], 's': 0.0::DOUBLE}}) AS m FROM x WHERE iou >= 0.1 GROUP BY 1),
+        ELSE {{'iou': 0.0::DOUBLE, 'g': s.g, 'q': s.q, 'gs': list_append(s.gs, e.g), 'qs': list_append(s.qs, e.q), 's': s.s + e.iou}} END, {{'iou': 0.0::DOUBLE, 'g': 0, 'q': 0, 'gs': []::BIGINT[], 'qs': []::BIGINT[], 's': 0.0::DOUBLE}}) AS m FROM x WHERE iou >= {limit} GROUP BY 1),
     b AS (SELECT id, sum(b) AS b FROM (SELECT id, g, max(iou) AS b FROM x GROUP BY 1, 2) GROUP BY 1), pn AS (SELECT id, count(*) AS n FROM p GROUP BY 1), tn AS (SELECT id, count(*) AS n FROM t GROUP BY 1),
     r AS (SELECT coalesce(pn.n, 0) AS truths, coalesce(tn.n, 0) AS predictions, coalesce(len(m.gs), 0) AS matched, coalesce(m.s, 0.0) AS iou_sum, CASE WHEN coalesce(pn.n, 0) = 0 THEN 1.0 ELSE coalesce(b, 0.0) / pn.n END AS best
         FROM (SELECT id FROM p UNION SELECT id FROM t) i LEFT JOIN pn ON pn.id = i.id LEFT JOIN tn ON tn.id = i.id LEFT JOIN m ON m.id = i.id LEFT JOIN b ON b.id = i.id),
-    s AS (SELECT sum(matched) AS tp, sum(predictions) AS pr, sum(truths) AS tr, sum(iou_sum) AS i, avg(best) AS best, avg((best >= 0.8)::INT) AS good FROM r), z AS (SELECT *, tp / greatest(pr, 1) AS a, tp / greatest(tr, 1) AS c FROM s)
+    s AS (SELECT sum(matched) AS tp, sum(predictions) AS pr, sum(truths) AS tr, sum(iou_sum) AS i, avg(best) AS best, avg((best >= 0.8)::INT) AS good FROM r), {name} AS (SELECT *, tp / greatest(pr, 1) AS a, tp / greatest(tr, 1) AS c FROM s)"""
+    return text
+
+
+SQL["agg_detection_metrics"] = f"""WITH {_BOX}, {_detection_sql(0.1)}
     SELECT tp::BIGINT AS matched, round(a, 6) AS precision, round(c, 6) AS recall, round(CASE WHEN a + c > 0 THEN 2 * a * c / (a + c) ELSE 0 END, 6) AS f1, round(i / greatest(tp, 1), 6) AS mean_iou, round(best, 6) AS mean_best, round(good, 6) AS share_good FROM z"""
 
 
+def agg_detection_report(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures as truths against tables as predictions at the two usual overlaps."""
+    truth, said = (_of(spark, d, c, "ord").withColumnRenamed("page", "image") for c in ("Picture", "Table"))
+    return C.detection_report(truth, said)
+
+
+_AT = lambda limit, n: f"(WITH {_detection_sql(limit)} SELECT z.*, round(a, 6) AS precision_{n}, round(c, 6) AS recall_{n}, round(CASE WHEN a + c > 0 THEN 2 * a * c / (a + c) ELSE 0 END, 6) AS f1_{n}, (SELECT count(*) FROM r) AS images, (SELECT avg(truths) FROM r) AS ts, (SELECT avg(predictions) FROM r) AS ps FROM z)"
+SQL["agg_detection_report"] = f"""WITH {_BOX} SELECT precision_50, recall_50, f1_50, round(l.i / greatest(l.tp, 1), 6) AS mean_iou, round(l.best, 6) AS mean_best, round(l.good, 6) AS share_good, precision_75, recall_75, f1_75, l.images, round(l.ts, 6) AS truths, round(l.ps, 6) AS predictions
+    FROM {_AT(0.5, 50)} l, {_AT(0.75, 75)} h"""
+
+
+def agg_inspection(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of the images and pictures of each dataset."""
+    return C.inspection(_records(spark, d))
+
+
+SQL["agg_inspection"] = f"""WITH {_BOX}, v AS (SELECT coalesce(dataset, 'none') AS dataset, b, round((b[3] - b[1]) * (b[4] - b[2]) / greatest(w * h, 1), 6) AS share FROM box WHERE state = 'ok' AND category = 'Picture'),
+    c AS (SELECT dataset, count(*) AS pictures, count(*) FILTER (share > 0.95) AS "full", count(*) FILTER (share > 0.05 AND share <= 0.95) AS partial FROM v GROUP BY 1), q AS (SELECT coalesce(dataset, 'none') AS dataset, count(DISTINCT source_id) AS sources FROM rec GROUP BY 1),
+    m AS (SELECT coalesce(dataset, 'none') AS dataset, 'width' AS measure, width::DOUBLE AS x FROM rec WHERE width IS NOT NULL UNION ALL SELECT coalesce(dataset, 'none'), 'height', height FROM rec WHERE height IS NOT NULL UNION ALL SELECT dataset, 'share', share FROM v),
+    o AS (SELECT *, row_number() OVER (PARTITION BY dataset, measure ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY dataset, measure) AS n FROM m)
+    SELECT dataset, measure, min(x) AS least, max(CASE WHEN i = n // 2 THEN x END) AS middle, max(x) AS most, coalesce(any_value(pictures), 0) AS pictures, coalesce(any_value("full"), 0) AS "full", coalesce(any_value(partial), 0) AS partial, any_value(sources) AS sources FROM o LEFT JOIN c USING (dataset) JOIN q USING (dataset) GROUP BY 1, 2"""
+
+
 def agg_best_iou(spark: SparkSession, d: str) -> DataFrame:
     """Mean best overlap of each image."""
     truth, said = (_of(spark, d, c, "ord").withColumnRenamed("page", "image") for c in ("Picture", "Table"))
@@ -485,7 +513,7 @@ SQL["page_errors"] = "SELECT e.code AS code, count(DISTINCT page_id) AS pages FR
 
 QUERIES = [
     flt_bbox_validate, flt_trainable, agg_validation_counts, agg_source_overlap, agg_upper_median, agg_dataset_report, agg_quota, downsample_negatives, split_hash, split_capped, split_filled, split_leak_fix, top_overfit,
-    geo_florence_tokens, geo_od_target, geo_box_convert, geo_iou, join_nearest_caption, join_nearby_visuals, join_containment, join_anti_claimed, flt_overlap_suppression, agg_detection_metrics, agg_best_iou,
+    geo_florence_tokens, geo_od_target, geo_box_convert, geo_iou, join_nearest_caption, join_nearby_visuals, join_containment, join_anti_claimed, flt_overlap_suppression, agg_detection_metrics, agg_detection_report, agg_inspection, agg_best_iou,
     figure_normalize, figure_relevance, join_explicit_reference, win_margin, set_interleave, set_unreferenced, join_semi_leaky, agg_eval_metrics, join_grid_calibration, agg_ema, win_running_best, agg_ocr_quality,
     registry_list, registry_upsert, registry_counts, page_errors,
 ]
