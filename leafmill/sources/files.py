@@ -52,29 +52,78 @@ def uploads(spark: SparkSession, path: str, most_bytes: int = 50 << 20) -> DataF
     return raw.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), verdict.alias("verdict"))
 
 
-def extracted_pages(spark: SparkSession, path: str, extract: Callable[[bytes], Iterator[tuple[int, str]]] | None = None) -> DataFrame:
-    """Pages of binary documents by a pluggable ``extract`` (bytes to page numbers and texts), which runs on the executors.
+def extracted_pages(spark: SparkSession, path: str, extract: Callable[[bytes], Iterator[tuple]] | None = None, retries: int = 1, most_bytes: int = 50 << 20, at_once: int = 64) -> DataFrame:
+    """Pages of binary documents by a pluggable ``extract`` (bytes to page numbers and texts, and, as a third part, blocks of text, x1, y1, x2, y2, font
+    and size), which runs on the executors.
 
-    A document that can't be read gives one row with status failed and the reason; without an extractor every one does.
+    Pages come in the order of their numbers within a document, ``at_once`` to a batch. A document that can't be read is tried ``retries`` times
+    more; then, from the page on that failed, it gives one row with status failed and the reason. Without an extractor every one does. Larger documents
+    are not read.
     """
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), _BLOCKS)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "sha256", "page_number", "page_type", "text", "status", "error", "blocks"])
+
+    def pages(name: str, digest: str, content: bytes) -> Iterator[tuple]:
+        done = 0
+        for attempt in range(retries + 1):
+            try:
+                if extract is None:
+                    raise RuntimeError("no extractor is configured")
+                for i, (n, text, *blocks) in enumerate(extract(content)):
+                    if i >= done:
+                        yield name, digest, n, None, text, "ok", None, blocks[0] if blocks else None
+                        done = i + 1
+                return
+            except Exception as e:
+                if attempt == retries:
+                    yield name, digest, None, None, None, "failed", str(e), None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, digest, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                try:
-                    if extract is None:
-                        raise RuntimeError("no extractor is configured")
-                    rows = [(name, digest, n, None, text, "ok", None) for n, text in extract(content)]
-                except Exception as e:
-                    rows = [(name, digest, None, None, None, "failed", str(e))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 2 else pa.string()) for i, c in enumerate(zip(*rows, strict=True))], ["path", "sha256", "page_number", "page_type", "text", "status", "error"])
-
-    raw = spark.read.format("binaryFile").load(path)
-    read = raw.select("path", F.sha2("content", 256).alias("sha256"), "content").mapInArrow(run, PAGE)
+            for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                held: list[tuple] = []
+                for page in pages(*row):
+                    held.append(page)
+                    if len(held) == at_once:
+                        yield batch_of(held)
+                        held = []
+                if held:
+                    yield batch_of(held)
+
+    raw = spark.read.format("binaryFile").load(path).where(F.col("length") <= most_bytes)
+    read = raw.select("path", F.sha2("content", 256).alias("sha256"), "content").mapInArrow(run, f"{PAGE}, blocks array<struct<text:string,x1:double,y1:double,x2:double,y2:double,font:string,size:double>>")
     kind = F.when(F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) >= 40, "digital").otherwise("scanned")
     return read.withColumn("page_type", F.when(F.col("status") == "ok", kind).otherwise("unknown"))
 
 
+_BLOCKS = pa.list_(pa.struct([("text", pa.string()), *((c, pa.float64()) for c in ("x1", "y1", "x2", "y2")), ("font", pa.string()), ("size", pa.float64())]))
+
+
+def read_images(images: DataFrame, engine: Callable[[bytes], list[tuple[str, list[float], float]]] | None = None, fallback: Callable[[bytes], list[tuple[str, list[float], float]]] | None = None) -> DataFrame:
+    """``page, ord, text, box, confidence, engine, error`` of images (page, content): what an engine finds, each text or label with its box; the other
+    engine where the first fails or finds nothing. An image that none can read gives one row with the reason. Also for detectors, whose texts are labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows, error, used = [], "no engine is configured", None
+                for name, call in (("first", engine), ("fallback", fallback)):
+                    if call is None or rows:
+                        continue
+                    try:
+                        rows, error, used = call(content), None, name
+                    except Exception as e:
+                        error = str(e)
+                out = [(page, i, t, [float(v) for v in b], float(c), used, None) for i, (t, b, c) in enumerate(rows)] or ([(page, None, None, None, None, None, error)] if error else [])
+                if out:
+                    kinds = (pa.string(), pa.int32(), pa.string(), pa.list_(pa.float64()), pa.float64(), pa.string(), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["page", "ord", "text", "box", "confidence", "engine", "error"])
+
+    return images.select("page", "content").mapInArrow(run, "page string, ord int, text string, box array<double>, confidence double, engine string, error string")
+
+
 _OBJECT = "struct<label:string,category:string,category_id:int,bbox:array<double>>"
 LAYOUT = f"category_id array<int>, bboxes array<array<double>>, categories array<string>, bboxes_block array<array<double>>, objects array<{_OBJECT}>, annotations array<{_OBJECT}>, image_width int, image_height int, doc_category string, original_filename string, page_no int"
 

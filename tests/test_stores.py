@@ -43,3 +43,44 @@ def test_other_forms(spark, tmp_path):
     spark.createDataFrame([([6], [[1.0, 2.0, 3.0, 4.0]])], "category_id array<int>, bboxes array<array<double>>").write.parquet(str(tmp_path / "raw" / "validation"))
     spark.createDataFrame([([6], [[1.0, 2.0, 3.0, 4.0]])], "category_id array<int>, bboxes array<array<double>>").write.parquet(str(tmp_path / "raw" / "train"))
     assert sorted(r.split for r in files.layouts(spark, str(tmp_path / "raw" / "*")).collect()) == ["train", "val"]
+
+
+def test_extraction_in_order_with_retries(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(b"%PDF-5")
+    (tmp_path / "in" / "b.pdf").write_bytes(b"%PDF-x")
+
+    def extract(content):
+        for n in range(1, int(content[5:]) + 1):
+            yield n, f"page {n} " + "word " * 9, [{"text": "t", "x1": 0.0, "y1": 1.0, "x2": 2.0, "y2": 3.0, "font": "F", "size": 9.0}]
+
+    rows = files.extracted_pages(spark, str(tmp_path / "in"), extract, at_once=2).collect()
+    assert [r.page_number for r in rows if r.path.endswith("a.pdf")] == [1, 2, 3, 4, 5] and rows[0].blocks is not None
+    assert [(r.status, r.page_type) for r in rows if r.path.endswith("b.pdf")] == [("failed", "unknown")]
+
+    seen = []
+
+    def flaky(content):
+        yield 1, "one"
+        seen.append(1)
+        if len(seen) % 2:
+            raise ValueError("broken")
+        yield 2, "two"
+
+    rows = files.extracted_pages(spark, str(tmp_path / "in" / "a.pdf"), flaky).collect()
+    assert [(r.page_number, r.status) for r in rows] == [(1, "ok"), (2, "ok")]
+    rows = files.extracted_pages(spark, str(tmp_path / "in" / "a.pdf"), flaky, retries=0).collect()
+    assert [(r.page_number, r.status) for r in rows] == [(1, "ok"), (None, "failed")]
+
+
+def test_engines(spark):
+    images = spark.createDataFrame([("p1", b"good"), ("p2", b"bad"), ("p3", b"none")], "page string, content binary")
+
+    def first(content):
+        if content == b"bad":
+            raise ValueError("unreadable")
+        return [("a", [1, 2, 3, 4], 0.9), ("b", [5, 6, 7, 8], 0.5)] if content == b"good" else []
+
+    got = [(r.page, r.ord, r.text, r.engine, r.error) for r in files.read_images(images, first, lambda c: [("c", [0, 0, 1, 1], 0.1)] if c == b"bad" else []).collect()]
+    assert got == [("p1", 0, "a", "first", None), ("p1", 1, "b", "first", None), ("p2", 0, "c", "fallback", None)]
+    assert [r.error for r in files.read_images(images).collect()] == ["no engine is configured"] * 3
