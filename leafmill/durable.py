@@ -43,7 +43,7 @@ def cut(df: DataFrame, tag: str = "step") -> tuple[DataFrame, str]:
     """Write ``df`` as a table in the shared folder and read it again. The path goes to :func:`drop` when it is over; what a
     result still reads stays until the driver ends. The shuffle files of the write go when it ends, not at some later collection."""
     spark = df.sparkSession
-    path, before = work_path(spark, tag), spark.conf.get(_CLEANUP)
+    path, before = work_path(spark, tag), spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.mode("overwrite").parquet(path)
