@@ -185,7 +185,7 @@ def chosen_figures(questions: DataFrame, figures: DataFrame, evidence: DataFrame
     by caption, concepts and score that share words with a caption, or the most relevant alone where it stands out; where there is none, the best
     figure of the first two evidence pages (question_id, book_id, page_number, ord, text) that share two words with it.
     """
-    exact = explicit_matches(questions, figures)
+    exact, _ = cut(explicit_matches(questions, figures), "named")
     named = exact.withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy("page_number", "number")))
     named = named.select("question_id", "page_number", "number", "label", "caption", "place", F.lit(100.0).alias("margin"), F.lit(False).alias("ambiguous"), F.lit(True).alias("named"))
     visual = questions.where(F.col("question").rlike(T.VISUAL_WISH) | T.explicit_reference(F.col("question")).isNotNull()).join(exact.select("question_id").distinct(), "question_id", "left_anti")
@@ -198,13 +198,13 @@ def chosen_figures(questions: DataFrame, figures: DataFrame, evidence: DataFrame
     top = Window.partitionBy("question_id")
     ranked = ranked.withColumn("best", F.max("score").over(top)).withColumn("margin", F.max(F.when(F.col("rn") == 1, F.coalesce(F.col("score") - F.col("next"), F.lit(100.0)))).over(top)).where(F.col("score") >= 0.45 * F.col("best"))
     order = Window.partitionBy("question_id").orderBy(F.desc("s_caption"), F.desc("s_semantic"), F.desc("score"), "page_number", "number")
-    ranked = ranked.withColumn("order", F.row_number().over(order))
+    ranked, _ = cut(ranked.withColumn("order", F.row_number().over(order)), "ranked")
     head = ranked.where("order = 1").select("question_id", ((F.col("margin") >= 10) & (F.col("score") >= 25)).alias("clear"))
     first = ranked.where("s_caption >= 0.2").withColumn("dup", F.row_number().over(Window.partitionBy("question_id", "number").orderBy("order"))).where("dup = 1")
     first = first.withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy("order"))).where("place <= 3").join(head, "question_id").where("not clear").drop("clear")
     clear = ranked.where("order = 1").join(head.where("clear").select("question_id"), "question_id", "left_semi").withColumn("place", F.lit(1))
     columns = ["question_id", "page_number", "number", "label", "caption", "place", F.round("margin", 2).alias("margin"), ((F.col("margin") < 15) & (F.col("best") >= 30)).alias("ambiguous"), F.lit(False).alias("named")]
-    shown = first.select(*columns).union(clear.select(*columns))
+    shown, _ = cut(first.select(*columns).union(clear.select(*columns)), "shown")
     bare = visual.join(shown.select("question_id").distinct(), "question_id", "left_anti").withColumn("terms", F.array_distinct(T.terms(F.col("question"))))
     near = bare.join(evidence.where("ord <= 2").select("question_id", "page_number", "ord", "text"), "question_id").where(F.size(F.array_intersect("terms", T.terms(F.col("text")))) >= 2)
     said = F.lower(F.concat_ws(" ", "label", "caption", "context"))

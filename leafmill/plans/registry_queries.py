@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.durable import cut
 from leafmill.functions import display as D
 from leafmill.functions import geometry as G
 from leafmill.functions import records
@@ -200,7 +201,7 @@ SQL["figure_keys"] = f"""WITH {L._NORMAL}, k AS (SELECT *, string_split(page, ':
 
 def answer_response(spark: SparkSession, d: str) -> DataFrame:
     """What a reader gets for each question: answer, pages, figures and how sure their choice is."""
-    figures = L._figures(spark, d).withColumn("at", F.split("page", ":")).withColumn("page_number", F.col("at")[1].cast("int"))
+    figures, _ = cut(L._figures(spark, d).withColumn("page_number", F.split("page", ":")[1].cast("int")), "figures")
     pages = Q.C.page_texts(table(spark, d, "book_pages")).groupBy("book_id", "page_number").agg(F.max("text").alias("text"))
     return V.responses(table(spark, d, "chunks"), Q._questions(spark, d), figures, pages)
 
