@@ -370,7 +370,7 @@ SQL["win_margin"] = f"""WITH {Q._SCORES}, m AS (SELECT *, lead(bm25) OVER (PARTI
 
 def set_interleave(spark: SparkSession, d: str) -> DataFrame:
     """Both rankings of a question merged by position."""
-    scored = R.scores(Q._index(spark, d), Q._questions(spark, d))
+    scored = R.scores(Q._index(spark, d), Q._questions(spark, d), 4)
     lists = [R.ranked(scored.where(F.col(s) > 0), s, 4).select(F.col("question_id").alias("query"), F.col("chunk_id").alias("item"), F.col("rank").alias("position"), F.lit(i).alias("list")) for i, s in enumerate(("bm25", "cosine"))]
     return C.interleaved(lists[0].union(lists[1]))
 

@@ -343,7 +343,7 @@ _FUSED = f"{_SCORES}, {_FUSED_OF}"
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """The ten best chunks of each question by BM25."""
-    return R.ranked(R.scores(_index(spark, d), _questions(spark, d)).where("bm25 > 0"), "bm25", 10).select("question_id", "chunk_id", "rank")
+    return R.ranked(R.scores(_index(spark, d), _questions(spark, d), 10).where("bm25 > 0"), "bm25", 10).select("question_id", "chunk_id", "rank")
 
 
 SQL["bm25_topk"] = f"WITH {_SCORES} SELECT question_id, chunk_id, rank::INT AS rank FROM rb WHERE rank < 10"
