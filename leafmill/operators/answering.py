@@ -72,16 +72,25 @@ LEXICAL = LexicalBackend()
 def reranked(candidates: DataFrame, index: R.Index, questions: DataFrame, backend: Backend = LEXICAL) -> DataFrame:
     """``question_id, question, chunk_id, text, section, page_number, figure_refs, score, place``: candidates by score, exercises put back;
     place from 1."""
-    docs = index.docs.select("chunk_id", "text", "said", "kind", "section", "page_number", "figure_refs")
-    rows = candidates.select("question_id", "chunk_id", F.col("rank").alias("fused")).join(docs, "chunk_id").join(questions.select("question_id", "question"), "question_id")
+    placed = _placed(candidates, index, questions, backend)
+    docs = index.docs.select("chunk_id", "text", "section", "page_number", "figure_refs")
+    return placed.join(docs, "chunk_id").join(questions.select("question_id", "question"), "question_id")
+
+
+def _placed(candidates: DataFrame, index: R.Index, questions: DataFrame, backend: Backend) -> DataFrame:
+    """``question_id, chunk_id, score, place`` of the candidates; texts go no further than their score."""
+    asked = candidates.select("question_id", "chunk_id", F.col("rank").alias("fused")).join(questions.select("question_id", "question"), "question_id")
     score = backend.rerank(F.col("question"), F.col("said")) - F.when(F.lower("kind") == "exercise", EXERCISE_PENALTY).otherwise(0.0)
+    rows = asked.join(index.docs.select("chunk_id", "said", "kind"), "chunk_id").select("question_id", "chunk_id", "fused", score.alias("score"))
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "fused")
-    return rows.withColumn("score", score).drop("said").withColumn("place", F.row_number().over(order))
+    return rows.select("question_id", "chunk_id", "score", F.row_number().over(order).alias("place"))
 
 
 def ranking(index: R.Index, questions: DataFrame, backend: Backend = LEXICAL) -> DataFrame:
-    """The reranked chunks of every question, as a table."""
-    return cut(reranked(R.fused(R.scores(index, questions), index, questions), index, questions, backend), "ranking")[0]
+    """The reranked chunks of every question with the columns of :func:`reranked`; places are a table, texts come in where they are read."""
+    placed, _ = cut(_placed(R.fused(R.scores(index, questions, R.POOL), index, questions), index, questions, backend), "ranking")
+    docs = index.docs.select("chunk_id", "text", "section", "page_number", "figure_refs")
+    return placed.join(docs, "chunk_id").join(questions.select("question_id", "question"), "question_id")
 
 
 def spans(ranking: DataFrame, backend: Backend = LEXICAL) -> DataFrame:

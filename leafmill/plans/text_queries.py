@@ -352,7 +352,7 @@ SQL["bm25_topk"] = f"WITH {_SCORES} SELECT question_id, chunk_id, rank::INT AS r
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     """The twenty best chunks of each question by both rankings."""
     index, q = _index(spark, d), _questions(spark, d)
-    return R.fused(R.scores(index, q), index, q).select("question_id", "chunk_id", "rrf", "rank")
+    return R.fused(R.scores(index, q, R.POOL), index, q).select("question_id", "chunk_id", "rrf", "rank")
 
 
 SQL["rrf_fusion"] = f"WITH {_FUSED} SELECT question_id, chunk_id, rrf, rank::INT AS rank FROM fu"
