@@ -358,7 +358,7 @@ SQL["join_explicit_reference"] = rf"""WITH {_NORMAL}, {Q._DOCS}, r AS (SELECT DI
 
 def win_margin(spark: SparkSession, d: str) -> DataFrame:
     """How far the best chunk of a question stands before the next one."""
-    scored = R.scores(Q._index(spark, d), Q._questions(spark, d))
+    scored = R.scores(Q._index(spark, d), Q._questions(spark, d), 2)
     order = Window.partitionBy("question_id").orderBy(F.desc("bm25"), "chunk_id")
     rows = scored.withColumn("next", F.lead("bm25").over(order)).withColumn("rn", F.row_number().over(order)).where("rn = 1")
     return rows.select("question_id", "chunk_id", F.round(F.when(F.col("next").isNull(), 100.0).otherwise(F.col("bm25") - F.col("next")), 6).alias("margin"))

@@ -9,7 +9,7 @@ from tests.test_retrieval import frames
 
 TABLES = "/root/testdata/sf0.001"
 #: Queries that read rankings; with few chunks and questions to a block, each book is cut.
-RANKED = ["bm25_topk", "rrf_fusion"]
+RANKED = ["bm25_topk", "rrf_fusion", "win_margin"]
 
 
 def rows(found):
