@@ -4,12 +4,13 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from leafmill.operators import answering as A
 from leafmill.operators import retrieval as R
 from tests.test_retrieval import frames
 
 TABLES = "/root/testdata/sf0.001"
 #: Queries that read rankings; with few chunks and questions to a block, each book is cut.
-RANKED = ["bm25_topk", "rrf_fusion", "win_margin"]
+RANKED = ["bm25_topk", "rrf_fusion", "win_margin", "lexical_rerank"]
 
 
 def rows(found):
@@ -42,3 +43,14 @@ def test_only_the_best_go_on(spark, monkeypatch):
         for score in ("bm25", "cosine"):
             best = {(r.question_id, r.chunk_id) for r in R.ranked(few, score, 1).collect()}
             assert best == {(r.question_id, r.chunk_id) for r in R.ranked(R.scores(index, q), score, 1).collect()}
+
+
+def test_places_are_kept_without_texts(spark, monkeypatch):
+    chunks, q = frames(spark)
+    kept, cut = {}, A.cut
+    monkeypatch.setattr(A, "cut", lambda df, tag: (kept.setdefault(tag, df.columns), cut(df, tag))[1])
+    index = R.build(chunks)
+    got = A.ranking(index, q)
+    assert kept["ranking"] == ["question_id", "chunk_id", "score", "place"]
+    whole = A.reranked(R.fused(R.scores(index, q), index, q), index, q)
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.select(*got.columns).collect()))
