@@ -10,7 +10,7 @@ from tests.test_retrieval import frames
 
 TABLES = "/root/testdata/sf0.001"
 #: Queries that read rankings; with few chunks and questions to a block, each book is cut.
-RANKED = ["bm25_topk", "rrf_fusion", "win_margin", "lexical_rerank", "agg_eval_metrics", "citations", "grounding_verify", "lexical_span", "prompt_build"]
+RANKED = ["bm25_topk", "rrf_fusion", "win_margin", "lexical_rerank", "agg_eval_metrics", "citations", "grounding_verify", "lexical_span", "prompt_build", "sufficiency"]
 
 
 def rows(found):
