@@ -74,9 +74,8 @@ _SPLIT = r"""(?<=[.!?।])["'”’)\]»]*\s+"""
 PHRASE, TEXTS = 3, 500_000
 #: Questions for which an answer comes again that is a refusal by recurrence, and least words of it.
 RECURS, RECURRING_WORDS = 5, 4
-#: Questions and answers (in expectation) from which letter trigrams are learned, least trigrams of a language, and of a text that they tell,
-#: and by how much a trigram must on average be likelier than in the next language.
-SAMPLE, LEARNED, TOLD, LEAD = 20_000, 1_000, 12, 0.3
+#: Least trigrams of a language, and of a text that they tell, and by how much a trigram must on average be likelier than in the next language.
+LEARNED, TOLD, LEAD = 1_000, 12, 0.3
 
 
 def _plain(text: Column) -> Column:
@@ -133,9 +132,8 @@ class Languages:
 
 
 def learned(texts: DataFrame) -> dict[str, dict[str, int]]:
-    """Letter trigrams of the languages of a bounded sample of the texts (column text) whose function words tell them."""
+    """Letter trigrams of the languages of all texts (column text) whose function words tell them."""
     given = texts.where("text is not null").select("text")
-    chosen = given.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < (1 << 20) * min(1.0, SAMPLE / max(1, given.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[tuple[str, str]] = Counter()
@@ -147,7 +145,7 @@ def learned(texts: DataFrame) -> dict[str, dict[str, int]]:
                     counts.update((name, g) for g in _grams(text))
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["name", "gram", "n"])
 
-    rows = chosen.mapInArrow(run, "name string, gram string, n bigint").groupBy("name", "gram").agg(F.sum("n").alias("n")).toArrow()
+    rows = given.mapInArrow(run, "name string, gram string, n bigint").groupBy("name", "gram").agg(F.sum("n").alias("n")).toArrow()
     out: dict[str, dict[str, int]] = {}
     for name, gram, n in zip(*(rows[c].to_pylist() for c in ("name", "gram", "n")), strict=True):
         out.setdefault(name, {})[gram] = n

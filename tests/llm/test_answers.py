@@ -3,7 +3,7 @@ from collections import Counter
 from os.path import commonprefix
 
 from leafmill.llm import answers
-from leafmill.llm.answers import Languages, _continued, _grams, found, judged
+from leafmill.llm.answers import Languages, _continued, _grams, found, judged, learned
 
 GOLD = [
     ("q1", "What happens to the wax on adding tin plate before sunrise?", True), ("q2", "Who first studied the erosion of slate?", False),
@@ -64,3 +64,10 @@ def test_order_finds_every_continuation(spark):
     got = {r.text: r.rest for r in _continued(spark.createDataFrame([(t, True) for t in full], "text string, mine boolean")).collect()}
     assert set(got) == {t for t in full if any(u != t and commonprefix([t, u]) == t for u in full)}
     assert all(t + rest in full for t, rest in got.items())
+
+
+def test_trigrams_of_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(answers, "SAMPLE", 10, raising=False)
+    texts = [f"{s} It is so in case {i}." for i, s in enumerate(SENTENCES * 50)]
+    want = Counter(g for t in texts for g in _grams(t))
+    assert learned(spark.createDataFrame([(t,) for t in [*texts, None]], "text string")) == {"en": want}
