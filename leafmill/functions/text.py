@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 # Words without meaning for retrieval (fixed values).
 RETRIEVAL_STOPS = (
@@ -27,6 +30,7 @@ EXERCISE = r"^(?:\d+\.|\([a-z]\)|\([ivx]+\)|[a-z]\))\s"
 NUMBERED_HEADING = r"^\d+(?:\.\d+)+\s+[A-Z][^.?!]{2,90}$"
 CAPS_HEADING = r"^[A-Z][A-Z0-9 ,:&'()\-–]{5,80}$"
 EQUATION_WISH = r"(?i)\b(equation|reaction|formula|react|reacts|balanced|chemical change)\b"
+#: EQUATION is what :func:`has_equation` looks for.
 EQUATION = r"(→|->|⟶|\+\s*[A-Z][a-z]?\d*\s*(?:\(|→)|=)"
 VISUAL_WISH = r"(?i)\b(?:figure|fig\.?|diagram|image|picture|illustration|graph|chart|map|visual|shown|show|depict|draw|setup|apparatus)\b"
 FIGURE_NUMBER = r"(?i)\b(?:Fig(?:ure)?\.?|Table)\s*(\d+(?:\.\d+)?)"
@@ -76,6 +80,60 @@ def tokens(text: Column) -> Column:
     return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(RETRIEVAL_STOPS))
 
 
+_LETTERS = np.zeros(256, bool)
+_LETTERS[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)] = True
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_STOP_CODES = np.sort(np.array([int.from_bytes(w.encode(), "little") for w in RETRIEVAL_STOPS], np.uint64))
+
+
+@F.arrow_udf(StructType([StructField("terms", StringType()), StructField("dl", IntegerType())]))
+def _joined_tokens(lower: pa.Array) -> pa.Array:
+    """The tokens of texts in lower case, as one text with blanks between them, and how many; all texts of a batch at once, as bytes."""
+    lower = pa.array([], pa.large_string()) if not len(lower) else lower.cast(pa.large_string())
+    rows, none = len(lower), lower.is_null()
+    at = np.frombuffer(lower.buffers()[1], np.int64)[lower.offset : lower.offset + rows + 1] if rows else np.zeros(1, np.int64)
+    size = int(at[-1] - at[0])
+    data = np.zeros(size + 8, np.uint8)  # a token of up to eight bytes is read as one number
+    if size:
+        data[:size] = np.frombuffer(lower.buffers()[2], np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    letter = np.r_[False, _LETTERS[data[:size]], False]
+    change = np.flatnonzero(letter[1:] != letter[:-1])
+    first, end = change[::2], change[1::2]
+    # Runs that go over from one text into the next are cut there.
+    border = np.unique(at[1:-1]) if rows else at[:0]
+    border = border[(border > 0) & (border < size)]
+    border = border[letter[border] & letter[border + 1]]
+    if len(border):
+        first, end = np.sort(np.r_[first, border]), np.sort(np.r_[end, border])
+    long = end - first
+    code = np.ndarray(size + 1, "<u8", data, strides=(1,))[first] & _MASKS[np.minimum(long, 8)]
+    near = _STOP_CODES[np.minimum(np.searchsorted(_STOP_CODES, code), len(_STOP_CODES) - 1)]
+    good = (long > 1) & ((long > 8) | (near != code))
+    first, end, long = first[good], end[good], long[good]
+    row = np.searchsorted(at, first, "right") - 1
+    more = np.r_[row[1:] == row[:-1], np.zeros(min(1, len(row)), bool)]  # a blank behind all tokens of a text but the last
+    step = np.zeros(size + 2, np.int8)
+    step[first] = 1
+    np.add.at(step, end + more, -1)
+    kept = np.cumsum(step[:size], dtype=np.int8).astype(bool)
+    data = np.where(letter[1 : size + 1], data[:size], 32).astype(np.uint8)[kept]
+    sizes = np.bincount(row, long + more, rows).astype(np.int64)
+    texts = pa.Array.from_buffers(pa.large_string(), rows, [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)]), pa.py_buffer(data)]).cast(pa.string())
+    return pa.StructArray.from_arrays([texts, pa.array(np.bincount(row, minlength=rows).astype(np.int32))], ["terms", "dl"], mask=none)
+
+
+def joined_tokens(text: Column) -> Column:
+    """``terms, dl``: the :func:`tokens` of a text with blanks between them, and how many."""
+    return _joined_tokens(F.lower(text))
+
+
+def has_equation(text: Column) -> Column:
+    """Whether a text has an :data:`EQUATION`; the pattern only meets texts with a plus and none of its plain signs."""
+    plain = text.contains("=") | text.contains("->") | text.contains("→") | text.contains("⟶")
+    return plain | (text.contains("+") & text.rlike(EQUATION))
+
+
 def terms(text: Column) -> Column:
     """Search terms for figures: longer than two characters, without stop words; repeats are kept."""
     plain = F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " ")

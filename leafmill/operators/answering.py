@@ -46,7 +46,8 @@ class Provider(NamedTuple):
 
 
 class LexicalBackend:
-    """Shared tokens only."""
+    """Shared tokens only. What a ranking has counted of them needs no text: ``rerank_shared`` gives the same as ``rerank`` from the
+    numbers of shared and of all different tokens of a question; a backend without it reads texts."""
 
     def embed(self, text: Column) -> Column:
         return lexical_embedding(T.tokens(text))
@@ -58,6 +59,9 @@ class LexicalBackend:
     def rerank(self, question: Column, text: Column) -> Column:
         return F.round(F.coalesce(-10 + 18 * self._share(question, text), F.lit(-10.0)), 6)
 
+    def rerank_shared(self, shared: Column, asked: Column) -> Column:
+        return F.round(F.coalesce(-10 + 18 * F.when(asked > 0, shared / asked), F.lit(-10.0)), 6)
+
     def span(self, question: Column, sentence: Column) -> Column:
         return F.round(F.coalesce(10 * self._share(question, sentence), F.lit(0.0)), 6)
 
@@ -78,17 +82,29 @@ def reranked(candidates: DataFrame, index: R.Index, questions: DataFrame, backen
 
 
 def _placed(candidates: DataFrame, index: R.Index, questions: DataFrame, backend: Backend) -> DataFrame:
-    """``question_id, chunk_id, score, place`` of the candidates; texts go no further than their score."""
+    """``question_id, chunk_id, score, place`` of the candidates; texts go no further than their score, and aren't read where the backend
+    takes counted tokens, which stand for the text of a question as long as its id has only one."""
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "fused")
+    back = lambda exercise: F.when(exercise, EXERCISE_PENALTY).otherwise(0.0)
+    if hasattr(backend, "rerank_shared") and questions.where("question_id is not null").groupBy("question_id").count().where("count > 1").isEmpty():
+        asked = questions.select("question_id", F.size(F.array_distinct(T.tokens(F.col("question")))).alias("asked"))
+        score = backend.rerank_shared(F.col("shared"), F.col("asked")) - back(F.col("exercise"))
+        rows = candidates.join(asked, "question_id").select("question_id", "chunk_id", F.col("rank").alias("fused"), score.alias("score"))
+        return rows.select("question_id", "chunk_id", "score", F.row_number().over(order).alias("place"))
     asked = candidates.select("question_id", "chunk_id", F.col("rank").alias("fused")).join(questions.select("question_id", "question"), "question_id")
-    score = backend.rerank(F.col("question"), F.col("said")) - F.when(F.lower("kind") == "exercise", EXERCISE_PENALTY).otherwise(0.0)
+    score = backend.rerank(F.col("question"), F.col("said")) - back(F.lower("kind") == "exercise")
     rows = asked.join(index.docs.select("chunk_id", "said", "kind"), "chunk_id").select("question_id", "chunk_id", "fused", score.alias("score"))
-    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "fused")
     return rows.select("question_id", "chunk_id", "score", F.row_number().over(order).alias("place"))
 
 
+def places(index: R.Index, questions: DataFrame, backend: Backend = LEXICAL) -> DataFrame:
+    """``question_id, chunk_id, score, place`` of the reranked chunks of every question."""
+    return _placed(R.fused(R.scores(index, questions, R.POOL), index, questions), index, questions, backend)
+
+
 def ranking(index: R.Index, questions: DataFrame, backend: Backend = LEXICAL) -> DataFrame:
     """The reranked chunks of every question with the columns of :func:`reranked`; places are a table, texts come in where they are read."""
-    placed, _ = cut(_placed(R.fused(R.scores(index, questions, R.POOL), index, questions), index, questions, backend), "ranking")
+    placed, _ = cut(places(index, questions, backend), "ranking")
     docs = index.docs.select("chunk_id", "text", "section", "page_number", "figure_refs")
     return placed.join(docs, "chunk_id").join(questions.select("question_id", "question"), "question_id")
 

@@ -365,7 +365,7 @@ def _ranking(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def lexical_rerank(spark: SparkSession, d: str) -> DataFrame:
     """Candidates by shared tokens, exercises put back."""
-    return _ranking(spark, d)[0].select("question_id", "chunk_id", "score", "place")
+    return A.places(_index(spark, d), _questions(spark, d)).select("question_id", "chunk_id", "score", "place")
 
 
 _RERANK_OF = f"""rr AS (SELECT fu.question_id, fu.chunk_id, fu.rank, round(CASE WHEN len(qs) > 0 THEN -10 + 18 * (len(list_intersect(qs, ts)) / len(qs)) ELSE -10 END, 6) - CASE WHEN lower(kind) = 'exercise' THEN 3.0 ELSE 0 END AS score

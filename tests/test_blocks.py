@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from leafmill.functions import text as T
 from leafmill.operators import answering as A
 from leafmill.operators import retrieval as R
 from tests.test_retrieval import frames
@@ -54,3 +56,21 @@ def test_places_are_kept_without_texts(spark, monkeypatch):
     assert kept["ranking"] == ["question_id", "chunk_id", "score", "place"]
     whole = A.reranked(R.fused(R.scores(index, q), index, q), index, q)
     assert sorted(map(str, got.collect())) == sorted(map(str, whole.select(*got.columns).collect()))
+
+
+def test_places_need_no_texts(spark, monkeypatch):
+    chunks, q = frames(spark)
+    index = R.build(chunks)
+    read = type("Read", (), {"rerank": lambda self, question, text: A.LEXICAL.rerank(question, text)})()
+    want = sorted(map(str, A.places(index, q, read).collect()))
+    said = A.places(index, q.union(q.where("question_id = 'q1'"))).collect()  # an id that comes twice is decided by its texts
+    monkeypatch.setattr(A.LexicalBackend, "rerank", None)
+    assert sorted(map(str, A.places(index, q).collect())) == want
+    assert {(r.chunk_id, r.score) for r in said} == {(r.chunk_id, r.score) for r in A.places(index, q).collect()}
+
+
+def test_joined_tokens_are_tokens(spark):
+    texts = ["", "a", "the", "ab", "of ab", "ab of", "Describe x9-descriptor\u00e9 THE \u0130st \u212aelvin", "\u0939\u093f ab\n cd", None, "x" * 40, "2 H2 + O2 (g)", "a + B (", "x = 1", "a->b"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    got = rows.select(T.joined_tokens(F.col("t")).alias("j"), F.array_join(T.tokens(F.col("t")), " ").alias("a"), F.size(T.tokens(F.col("t"))).alias("n"), T.has_equation(F.col("t")).alias("e"), F.col("t").rlike(T.EQUATION).alias("f")).collect()
+    assert all((r.j and r.j.terms) == r.a and (r.a is None or r.j.dl == r.n) and r.e == r.f for r in got)
