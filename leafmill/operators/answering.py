@@ -5,11 +5,14 @@ The lexical backend is built-in expressions; a model backend only has to give th
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from typing import NamedTuple, Protocol
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from leafmill.durable import cut
 from leafmill.functions import text as T
@@ -46,8 +49,8 @@ class Provider(NamedTuple):
 
 
 class LexicalBackend:
-    """Shared tokens only. What a ranking has counted of them needs no text: ``rerank_shared`` gives the same as ``rerank`` from the
-    numbers of shared and of all different tokens of a question; a backend without it reads texts."""
+    """Shared tokens only. Where they are counted already, no text is needed: ``rerank_shared`` and ``entailment_shared`` give the same as
+    ``rerank`` and ``entailment`` from the numbers of shared and of all different tokens; a backend without them reads texts."""
 
     def embed(self, text: Column) -> Column:
         return lexical_embedding(T.tokens(text))
@@ -69,6 +72,10 @@ class LexicalBackend:
         share = F.coalesce(self._share(sentence, premise), F.lit(0.0))
         return F.when(share >= COVERAGE, 1.0).otherwise(share / 2)
 
+    def entailment_shared(self, shared: Column, said: Column) -> Column:
+        share = F.when(said > 0, shared / said).otherwise(0.0)
+        return F.when(share >= COVERAGE, 1.0).otherwise(share / 2)
+
 
 LEXICAL = LexicalBackend()
 
@@ -266,8 +273,16 @@ def grounded(claims: DataFrame, passages: DataFrame, threshold: float = 0.5, can
 
     ``claims`` has question_id, sentence and what tells its rows apart, such as answer_id and sentence_no; ``passages`` has question_id,
     place and text. A sentence that several answers to a question say is scored once. Very short
-    sentences need every part of their formula somewhere in the whole texts of the first eight places.
+    sentences need every part of their formula somewhere in the whole texts of the first eight places. With a backend that takes counted
+    tokens, sentences stream past the passages of their question (:func:`_counted`) and no pair is a row.
     """
+    if hasattr(backend, "entailment_shared"):
+        first, second, both = (backend.entailment_shared(F.col(c), F.col("said")) for c in ("first", "second", "both"))
+        single = F.greatest(first, F.when(F.col("second").isNotNull(), second))
+        joint = F.when((single < threshold) & F.col("second").isNotNull(), both).otherwise(0.0)
+        score = F.when(F.col("short"), F.when(F.col("formula"), 1.0).otherwise(0.0)).otherwise(F.greatest(single, joint))
+        own = [c for c in claims.columns if c != "sentence"]
+        return _counted(claims, passages, candidates).select(*own, F.round(score, 6).alias("score"), (score >= threshold).alias("kept"))
     pairs = claims.select("question_id", "sentence").distinct().join(passages.where("place <= 8"), "question_id", "left")
     shared = F.size(F.array_intersect(T.tokens(F.col("sentence")), T.tokens(F.col("text"))))
     order = Window.partitionBy("question_id", "sentence").orderBy(F.desc("shared"), "place")
@@ -284,3 +299,59 @@ def grounded(claims: DataFrame, passages: DataFrame, threshold: float = 0.5, can
     scored = listed.select(F.col("question_id").alias("q"), F.col("sentence").alias("s"), F.round(score, 6).alias("score"), (score >= threshold).alias("kept"))
     same = F.col("question_id").eqNullSafe(F.col("q")) & (F.col("sentence") == F.col("s"))
     return claims.join(scored, same).drop("q", "s", "sentence")
+
+
+def _counted(claims: DataFrame, passages: DataFrame, candidates: int) -> DataFrame:
+    """The columns of ``claims`` but the sentence, and how many different tokens each has (``said``), how many of them the beginnings of the
+    two nearest passages have (``first``, ``second``, null where there is none) and both together; whether it is ``short``, and whether the
+    passages then have all of its ``formula``.
+
+    Passages and sentences of a question come one after the other in sorted partitions; only a question's passages, at most eight, are held.
+    """
+    if candidates != 2:
+        raise ValueError("two nearest passages are counted")
+    told = passages.where("place <= 8 and question_id is not null and text is not null")
+    premise = F.when(F.length("text") >= 639, F.array_join(F.slice(T.words(F.col("text")), 1, 320), " "))  # shorter texts have no more than 320 words
+    told = told.select("question_id", "place", F.col("text").alias("sentence"), T.joined_tokens(F.col("text"))["terms"].alias("terms"), T.joined_tokens(premise)["terms"].alias("premise"))
+    spoken = T.joined_tokens(F.col("sentence"))
+    rows = claims.where("sentence is not null").withColumn("w", spoken).select(*claims.columns, F.col("w.terms").alias("terms"), F.col("w.dl").alias("many"))
+    held = rows.unionByName(told.withColumnRenamed("place", "_place"), allowMissingColumns=True)
+    own = [f for f in claims.schema.fields if f.name != "sentence"]
+    names = [f.name for f in own]
+    whole = lambda name: StructField(name, IntegerType())
+    schema = StructType([*own, whole("said"), whole("first"), whole("second"), whole("both"), StructField("short", BooleanType()), StructField("formula", BooleanType())])
+    find = re.compile("[A-Za-z0-9]+").findall
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, near, seen, known = None, [], None, {}
+        for batch in batches:
+            took, out = [], []
+            columns = (batch.column(c).to_pylist() for c in ("question_id", "_place", "sentence", "terms", "premise", "many"))
+            for i, (question, place, sentence, terms, premise, many) in enumerate(zip(*columns, strict=True)):
+                if question != asked:
+                    asked, near, seen, known = question, [], None, {}
+                if place is not None:
+                    tokens = frozenset(terms.split())
+                    near.append((place, sentence, tokens, tokens if premise is None else frozenset(premise.split())))
+                    continue
+                took.append(i)
+                if sentence not in known:
+                    if len(known) > 4096:
+                        known = {}
+                    said, short, formula = frozenset(terms.split()), many < 4, None
+                    best = sorted(((-len(said & p[2]), p[0], j) for j, p in enumerate(near)))[:2]
+                    counts = [len(said & near[j][3]) for _, _, j in best]
+                    both = len(said & (near[best[0][2]][3] | near[best[1][2]][3])) if len(best) > 1 else None
+                    if short:
+                        if seen is None:
+                            seen = {part for p in near for part in find(p[1])}
+                        parts = find(sentence)
+                        formula = bool(parts) and seen.issuperset(parts)
+                    known[sentence] = (len(said), counts[0] if counts else 0, counts[1] if len(counts) > 1 else None, both, short, formula)
+                out.append(known[sentence])
+            if took:
+                made = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), [pa.int32()] * 4 + [pa.bool_()] * 2, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(took)) for c in names), *made], schema.names)
+
+    placed = held.repartition("question_id").sortWithinPartitions("question_id", F.col("_place").asc_nulls_last())
+    return placed.mapInArrow(run, schema)

@@ -74,3 +74,16 @@ def test_joined_tokens_are_tokens(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
     got = rows.select(T.joined_tokens(F.col("t")).alias("j"), F.array_join(T.tokens(F.col("t")), " ").alias("a"), F.size(T.tokens(F.col("t"))).alias("n"), T.has_equation(F.col("t")).alias("e"), F.col("t").rlike(T.EQUATION).alias("f")).collect()
     assert all((r.j and r.j.terms) == r.a and (r.a is None or r.j.dl == r.n) and r.e == r.f for r in got)
+
+
+def test_claims_stream_past_passages(spark):
+    """Sentences of one question that meet passages of all lengths score as pairs do, and no pair of both is a row."""
+    texts = ["iron rusts in moist air", "copper wire heats the salt water " * 3, "word " * 319 + "magnesium burns", "word " * 330 + "zinc melts", "2MgO and zinc", "", "acid salt", "base salt", "iron zinc acid base"]
+    said = ["Iron rusts slowly in moist air.", "Zinc melts near acid base salt.", "Magnesium burns with copper wire.", "2MgO", "3KCl", "", "the", "Iron rusts while zinc melts with acid.", "Nothing like that was ever said."]
+    claims = spark.createDataFrame([(a, q, i, x) for a, q in ((1, "q"), (2, "q"), (3, "none"), (4, None)) for i, x in enumerate(said)], "answer_id long, question_id string, sentence_no int, sentence string")
+    passages = spark.createDataFrame([("q", i, t) for i, t in enumerate(texts, 1)], "question_id string, place int, text string")
+    read = type("Read", (), {"entailment": lambda self, premise, sentence: A.LEXICAL.entailment(premise, sentence)})()
+    want, got = A.grounded(claims, passages, backend=read), A.grounded(claims, passages)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
