@@ -4,8 +4,8 @@ A text is cut into parts of a fixed number of characters; each part gives counts
 its ends: the word and the line that may go on in the next part. Joining two neighbouring parts completes that word and that
 line, so parts may be joined in any grouping, and huge texts are joined in a tree. Texts of one part need no shuffle at all.
 
-Whether words have the letters of some language in an order that languages have is told by the letter trigrams of a bounded
-sample of rows with a language; the limit lies between the sample's words and the same words with shuffled letters.
+Whether words have the letters of some language in an order that languages have is told by the letter trigrams of all rows
+with a language; the limit lies between their words and the same words with shuffled letters.
 """
 
 from __future__ import annotations
@@ -21,17 +21,16 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.durable import cut
+from leafmill.durable import cut, drop
 
 #: Characters of a part, parts joined at once in the tree of two levels (a row holds fewer than FAN * FAN parts), and characters
 #: kept of a line at either end of a part.
 PART, FAN, EDGE = 1 << 18, 96, 400
-#: Rows of each language (in expectation) and files from which the letter model is fitted, and the least trigrams that make one.
-SAMPLE_ROWS, SAMPLE_FILES, SAMPLE_GRAMS = 1000, 256, 20_000
+#: Rows from which on languages count alike in the letter model, the unit of its weighted counts, and the least trigrams that make one.
+ALIKE, UNIT, LEAST_LEARNED = 1000, 1 << 16, 20_000
 #: Least trigrams of a text that the letter model judges, and longest period of words by which loops are known.
 LEAST_GRAMS, PERIOD = 60, 24
 #: Where the limit of the letter model lies between words (0) and shuffled words (1); texts keep some words, so below the middle.
@@ -86,10 +85,14 @@ def _readable(word: str) -> bool:
     return word.isupper() and len(word) <= 16
 
 
+def _has_grams(word: str) -> bool:
+    return 4 <= len(word) <= 60 and not any(c.isdigit() or c > "\u2e7f" for c in word)
+
+
 def _grams(word: str) -> list[str]:
     """The letter trigrams of a word in lower case, with a blank at both ends; none of
     words of less than four letters, whose order tells little, or of other signs."""
-    if not 4 <= len(word) <= 60 or any(c.isdigit() or c > "\u2e7f" for c in word):
+    if not _has_grams(word):
         return []
     line = f" {word} "
     return [line[i : i + 3] for i in range(len(line) - 2)]
@@ -119,13 +122,9 @@ class Letters:
         grams = _grams(word)
         return sum(self.weights[g] if g in self.weights else self.pairs.get(g[1:], self.unknown) for g in grams), len(grams)
 
-    def calibrate(self, words: list[str]) -> None:
-        """Set the limit between the mean costs of ``words`` and of the same words with shuffled letters."""
-        rng, means = random.Random(0), []
-        for shuffled in (False, True):
-            both = [self.cost("".join(rng.sample(w, len(w))) if shuffled else w) for w in words]
-            means.append(sum(c for c, _ in both) / max(1, sum(n for _, n in both)))
-        self.limit = (1 - DISORDERED) * means[0] + DISORDERED * means[1]
+    def calibrate(self, words: float, shuffled: float) -> None:
+        """Set the limit between the mean costs of the words and of the same words with shuffled letters."""
+        self.limit = (1 - DISORDERED) * words + DISORDERED * shuffled
 
 
 class _Known(dict):
@@ -608,64 +607,89 @@ def _closed(letters):
     return run
 
 
-def _some_files(documents: DataFrame) -> DataFrame:
-    """The rows of at most ``SAMPLE_FILES`` input files, chosen by the hash of their names; all rows where there are no files."""
-    files = documents.inputFiles()
-    if len(files) <= SAMPLE_FILES:
-        return documents
-    try:
-        return documents.where(F.col("_metadata.file_path").isin(sorted(files, key=lambda f: crc32(f.encode()))[:SAMPLE_FILES]))
-    except AnalysisException:
-        return documents
-
-
 def letter_model(documents: DataFrame) -> Letters | None:
     """The letter model of the languages of ``documents``; None without a column lang or with too few labelled rows.
 
-    The sample has about ``SAMPLE_ROWS`` rows of each language (null and ``und`` are none), chosen by the hash of their ids, so each
-    language counts alike; of them only counts of words go on. A language spread over so few rows is in it wholly.
+    All labelled rows are read (null and ``und`` are no language) and their words counted. A language of more than ``ALIKE`` rows counts
+    as if it had so many, so large ones count alike; only sums of trigrams and costs come to the driver.
     """
     if "lang" not in documents.columns:
         return None
-    labelled = _some_files(documents).where("lang is not null and lang <> 'und' and text is not null").select("doc_id", "lang", "text")
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()}  # one row for each language
-    if not sizes:
-        return None
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, SAMPLE_ROWS / n))])
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * (1 << 20)).select("text")
+    spark = documents.sparkSession
+    labelled = documents.where("lang is not null and lang <> 'und' and text is not null").select("lang", "text")
+    counted, path = cut(labelled.mapInArrow(_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    rows = counted.where("word = ''").select("lang", F.least(F.lit(1.0), ALIKE / F.col("n")).alias("weight"))
+    words = counted.where("word <> ''")
+    grams = words.mapInArrow(_word_grams, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # Weighted counts are whole numbers of a fixed unit, so that they add up to the same in any order.
+    weighted = lambda d: d.join(rows, "lang").withColumn("n", F.ceil(F.col("n") * F.col("weight") * UNIT))
+    summed = weighted(grams).groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").toArrow()  # trigrams of alphabets
+    counts = {g: n / UNIT for g, n in zip(summed["gram"].to_pylist(), summed["n"].to_pylist(), strict=True)}
+    letters = None
+    if sum(counts.values()) >= LEAST_LEARNED:
+        letters = Letters(counts)
+        held = spark.sparkContext.broadcast(letters)
+        costs = weighted(words).groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(_word_costs(held), "cost double, mixed double, grams double")
+        cost, mixed, n = costs.agg(F.sum("cost"), F.sum("mixed"), F.sum("grams")).first()
+        letters.calibrate(cost / n, mixed / n)
+    drop(spark, path)
+    return letters
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each word with trigrams stands in the texts of a language; the word '' counts the texts."""
+    said: dict[str, Counter[str]] = {}
+
+    def told() -> pa.RecordBatch:
+        rows = [(lang, word, n) for lang, own in said.items() for word, n in own.items() if not word or _has_grams(word)]
+        said.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "word", "n"])
+
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = said.setdefault(lang, Counter())
+            own[""] += 1
+            own.update(_WORD.findall((_TAG.sub(" ", text) if "<" in text else text).replace("_", " ").lower()))
+        if sum(map(len, said.values())) > 300_000:
+            yield told()
+    if said:
+        yield told()
+
+
+def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        grams: Counter[tuple[str, str]] = Counter()
+        for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
+            for gram in _grams(word):
+                grams[lang, gram] += n
+        if grams:
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in grams], pa.string()), pa.array([g[1] for g in grams], pa.string()), pa.array(grams.values(), pa.int64())], ["lang", "gram", "n"])
+
+
+def _word_costs(letters):
+    """Sums of the costs of words, of the same words with shuffled letters, and of their trigrams, each as often as it stands; whole numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        said: Counter[str] = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                said.update(_WORD.findall(_TAG.sub(" ", text).replace("_", " ").lower()))
-        grams: Counter[str] = Counter()
-        for word, n in said.items():
-            for gram in _grams(word):
-                grams[gram] += n
-        words = [w for w in said if crc32(w.encode("utf-8", "replace")) % 16 == 0 and _grams(w)]
-        both = [*grams.items(), *((f"{w}", 0) for w in words)]
-        yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in both], pa.string()), pa.array([n for _, n in both], pa.int64())], ["gram", "n"])
-
-    rows = chosen.mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # trigrams of alphabets, and a sixteenth of the sample's words
-    counted = dict(zip(rows["gram"].to_pylist(), rows["n"].to_pylist(), strict=True))
-    counts = {g: n for g, n in counted.items() if n}
-    if sum(counts.values()) < SAMPLE_GRAMS:
-        return None
-    letters = Letters(counts)
-    letters.calibrate(sorted(w for w, n in counted.items() if not n))
-    return letters
+            sums = [0, 0, 0]
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                cost, grams = letters.value.cost(word)
+                mixed = letters.value.cost("".join(random.Random(crc32(word.encode("utf-8", "replace"))).sample(word, len(word))))[0]
+                sums = [sums[0] + cost * n, sums[1] + mixed * n, sums[2] + grams * n]
+            yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in sums], ["cost", "mixed", "grams"])
+
+    return run
 
 
 def statistics(documents: DataFrame, part: int = PART) -> DataFrame:
     """``doc_id``, counts, ratios and ``shape`` (prose, list, table, junk) for every row.
 
     Null and empty texts have counts of 0 and the shape prose. A repeated doc_id comes out as often as it goes in. Of other columns
-    only lang is read, for :func:`letter_model`. Texts are read once; only those longer than ``part`` are shuffled, first as
+    only lang is read, for :func:`letter_model`. Texts are read once more; only those longer than ``part`` are shuffled, first as
     parts, then as states of a bounded size, ``FAN`` to a group.
     """
     kind = dict(documents.dtypes)["doc_id"]
-    letters = documents.sparkSession.sparkContext.broadcast(letter_model(documents))  # bounded by its sample
+    letters = documents.sparkSession.sparkContext.broadcast(letter_model(documents))  # trigrams of alphabets
     # The number of a row depends on nothing but its place in the input, so a task that runs again gives the same ones.
     rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     measured, _ = cut(rows.mapInArrow(_measured(part, letters), f"row bigint, doc_id {kind}, {_RESULT}, part int, t string"), "quality")

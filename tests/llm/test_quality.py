@@ -107,6 +107,15 @@ def test_letters_out_of_order(spark):
     assert letter_model(d.limit(20)) is None and letter_model(d.drop("lang")) is None and letter_model(d.limit(0)) is None
 
 
+def test_letters_of_all_rows(spark):
+    """The letter model counts each labelled row, however many a language has; beyond ``ALIKE`` rows languages count alike."""
+    rows = [(i, "plain words about tin and iron ore " * 20, "en") for i in range(2500)] + [(9999, "kwyzjibo " * 400, "en"), (10000, "xqxqxq " * 400, "und"), *((20000 + i, "wort über zinn " * 20, "de") for i in range(100))]
+    letters = letter_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert "yzj" in letters.weights and "xqx" not in letters.weights
+    once, twice = (letter_model(spark.createDataFrame(rows * n, "doc_id long, text string, lang string").where("lang = 'en'")) for n in (1, 2))
+    assert once.weights == twice.weights and abs(once.limit - twice.limit) < 1
+
+
 def test_parts_keep_tags(spark):
     text = ("".join(f"<tr><td>tin {i}</td><td>{i}.5 < 7</td></tr>\n" for i in range(60)) + "<" * 300 + PROSE) * 3
     assert all("".join(slices(text, n)) == text and max(map(len, slices(text, n))) <= n for n in (90, 100, 333))
