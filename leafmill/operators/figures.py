@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import re
+from decimal import ROUND_HALF_UP, Decimal
+from functools import cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -13,9 +18,12 @@ from leafmill.durable import cut
 from leafmill.functions import geometry as G
 from leafmill.functions import text as T
 from leafmill.operators import answering as A
+from leafmill.operators import retrieval as R
 
 #: Characters on both sides of a mention of a figure.
 AROUND = 150
+#: Figures and questions of a book that meet at once; larger books are cut into blocks.
+BLOCK, ASKED = 2_048, 2_048
 
 # What makes a visual a figure or table, and what asks for a process or a structure (fixed values).
 FIGURE_WORDS = (
@@ -158,6 +166,100 @@ def relevance(query: Column, caption: Column, label: Column, figure_id: Column,
     return F.struct(F.when(nothing, 0.0).otherwise(total).alias("score"), *[F.round(v, 2).alias(k) for k, v in parts.items()])
 
 
+def relevant(figures: DataFrame, asked: DataFrame, k: int = 4) -> DataFrame:
+    """``query_id, figure, score`` by :func:`relevance` of at least the ``k`` best figures of each query's book, ties by figure.
+
+    ``figures`` has book_id, figure, caption, label, number, keywords, labels_inside, context and windows, ``asked`` query_id, book_id and
+    question. Whole books meet their questions in bins, larger ones in blocks of both; there, each term is looked up once in each figure
+    and questions add up what their terms have found, so no pair of question and figure is a row.
+    """
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    none = F.array().cast("array<string>")
+    pool = F.array_union(F.transform(F.coalesce("keywords", none), F.lower), F.flatten(F.transform(F.coalesce("labels_inside", none), T.terms)))
+    shown = F.concat_ws(" ", low("caption"), low("label"), F.array_join("labels_inside", " "))
+    has = lambda c, words: F.coalesce(c.rlike("|".join(words)), F.lit(False))
+    drawn = figures.where("book_id is not null").select("book_id", "figure", F.array_join(pool, " ").alias("pool"), low("caption").alias("caption"), F.concat_ws(" ", low("caption"), low("label")).alias("said"), low("number").alias("number"), low("context").alias("context"), F.coalesce("windows", none).alias("windows"), has(shown, PROCESS_WORDS).alias("process"), has(shown, STRUCTURE_WORDS).alias("structure"))
+    drawn, _ = cut(drawn, "figures")
+    lower = F.lower("question")
+    wanted = asked.where("book_id is not null and question is not null").select("query_id", "book_id", T.terms(F.col("question")).alias("terms"), F.when(F.length("question") > 6, lower).alias("phrase"), has(lower, PROCESS_WORDS).alias("process"), has(lower, STRUCTURE_WORDS).alias("structure")).where(F.size("terms") > 0)
+    sizes = drawn.groupBy("book_id").agg(F.count("*").alias("n")).join(wanted.groupBy("book_id").agg(F.count("*").alias("asked")), "book_id")
+    sizes, _ = cut(sizes, "sizes")
+    total = sizes.agg(F.sum("n").alias("n"), F.sum("asked").alias("asked")).first()
+    bins = max(1, -(-(total.n or 0) // BLOCK), -(-(total.asked or 0) // ASKED))
+    first, rows = bins, []
+    for r in sizes.where((F.col("n") > BLOCK) | (F.col("asked") > ASKED)).orderBy("book_id").collect():  # at most one for each block of the whole
+        blocks, parts = -(-r.n // BLOCK), -(-r.asked // ASKED)
+        rows.append((r.book_id, blocks, parts, first))
+        first += blocks * parts
+    large = F.broadcast(figures.sparkSession.createDataFrame(rows, f"book_id {dict(drawn.dtypes)['book_id']}, blocks int, parts int, first int"))
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    mine, own = F.pmod(F.xxhash64("figure"), F.col("blocks")), F.pmod(F.xxhash64("query_id"), F.col("parts"))
+    small = F.array(F.pmod(F.xxhash64("book_id"), F.lit(bins)))
+    place = lambda many: F.explode(F.when(F.col("first").isNull(), small).otherwise(many)).alias("g")
+    left = drawn.join(large, "book_id", "left").select(*drawn.columns, place(F.transform(each("parts"), lambda p: F.col("first") + mine * F.col("parts") + p)))
+    right = wanted.join(large, "book_id", "left").select(*wanted.columns, place(F.transform(each("blocks"), lambda x: F.col("first") + x * F.col("parts") + own)))
+    schema = f"query_id {dict(asked.dtypes)['query_id']}, figure string, score double"
+    return left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(_relevant(k), schema)
+
+
+@cache
+def _cents(x: float) -> float:
+    """Two decimal places, halves up, as SQL rounds."""
+    return float(Decimal(repr(x)).quantize(Decimal("0.01"), ROUND_HALF_UP))
+
+
+def _relevant(k: int):
+    """The scores of :func:`relevance` for the figures and questions of some books."""
+
+    def run(figures: pa.Table, asked: pa.Table) -> pa.Table:
+        figures = figures.filter(pc.is_in(figures["book_id"], value_set=pc.unique(asked["book_id"])))
+        figures = figures.take(pc.sort_indices(figures, [("book_id", "ascending"), ("figure", "ascending")]))
+        asked = asked.take(pc.sort_indices(asked, [("book_id", "ascending")]))
+        f, q = ({c: t[c].to_pylist() for c in t.column_names} for t in (figures, asked))
+        shows = {c: np.array(f[c], bool) for c in ("process", "structure")}
+        spans: dict = {}
+        for i, book in enumerate(f["book_id"]):
+            spans[book] = (spans.get(book, (i,))[0], i + 1)
+        out: list[tuple] = []
+        known, here = None, {}
+        for i, book in enumerate(q["book_id"]):
+            if book not in spans:
+                continue
+            if book != known:
+                known, here = book, {}
+                start, end = spans[book]
+                texts = list(zip(*(f[c][start:end] for c in ("pool", "said", "number", "context", "windows")), strict=True))
+                captions, process, structure = f["caption"][start:end], shows["process"][start:end], shows["structure"][start:end]
+            for term in q["terms"][i]:
+                if term not in here:
+                    here[term] = np.array([(term in pool, term in said or term == number, term in context, sum(term in w for w in windows)) for pool, said, number, context, windows in texts], np.int32).T
+            concept, cap, context, cited = sum(here[term] for term in q["terms"][i])
+            hit = np.flatnonzero((concept > 0) | (cap > 0) | (cited > 0))
+            if not len(hit):
+                continue
+            n, phrase = len(q["terms"][i]), q["phrase"][i]
+            again = 0.0 if phrase is None else np.array([0.4 if phrase in captions[j] else 0.0 for j in hit])
+            kind = np.full(len(hit), 0.5)
+            if q["process"][i]:
+                kind[structure[hit] & ~process[hit]] = 0.0
+                kind[process[hit]] = 1.0
+            if q["structure"][i]:
+                kind[structure[hit]] = 1.0
+            parts = {"semantic": concept[hit] / n, "caption": np.minimum(1.0, cap[hit] / n + again), "citation": np.minimum(1.0, cited[hit] / n), "context": context[hit] / n, "type": kind}
+            score = 100 * sum(WEIGHTS[part] * v for part, v in parts.items())
+            different, at = np.unique(score, return_inverse=True)
+            score = np.array([_cents(float(x)) for x in different])[at]
+            if len(hit) > k:
+                near = R._best(score, k)
+                hit, score = hit[near], score[near]
+            out.append((np.full(len(hit), i), start + hit, score))
+        i, j, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        whole = lambda t, c, at: pa.chunked_array(t[c].chunks, t[c].type).take(pa.array(at))
+        return pa.table([whole(asked, "query_id", i), whole(figures, "figure", j), pa.array(score)], ["query_id", "figure", "score"])
+
+    return run
+
+
 def top_figures(scored: DataFrame, least: float = 10.0, share: float = 0.45, k: int = 3) -> DataFrame:
     """The best figures of each query with ``place`` and ``margin`` to the next one; ``ambiguous`` where the first two are close."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "figure")

@@ -340,10 +340,9 @@ def _figures(spark: SparkSession, d: str) -> DataFrame:
 
 def figure_relevance(spark: SparkSession, d: str) -> DataFrame:
     """The best figures of the questions' books for each question."""
-    asked = table(spark, d, "qa_golden").where("question is not null").select(F.col("id").alias("query_id"), F.col("book").alias("book_id"), "question", T.terms(F.col("question")).alias("terms")).where(F.size("terms") > 0)
-    figures = _figures(spark, d)
-    scored = figures.join(asked, "book_id").withColumn("r", V.relevance(F.col("question"), F.col("caption"), F.col("label"), F.col("number"), F.col("keywords"), F.col("labels_inside"), F.col("context"), F.lit(None), F.col("windows")))
-    return V.top_figures(scored.select("query_id", F.concat_ws("-", "page", "number").alias("figure"), F.col("r.score").alias("score")))
+    asked = table(spark, d, "qa_golden").select(F.col("id").alias("query_id"), F.col("book").alias("book_id"), "question")
+    figures = _figures(spark, d).withColumn("figure", F.concat_ws("-", "page", "number"))
+    return V.top_figures(V.relevant(figures, asked))
 
 
 def join_explicit_reference(spark: SparkSession, d: str) -> DataFrame:

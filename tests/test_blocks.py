@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from leafmill.functions import text as T
 from leafmill.operators import answering as A
+from leafmill.operators import figures as V
 from leafmill.operators import retrieval as R
+from leafmill.plans import layout_queries as L
 from tests.test_retrieval import frames
 
 TABLES = "/root/testdata/sf0.001"
@@ -87,3 +89,21 @@ def test_claims_stream_past_passages(spark):
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "MapInArrow" in plan
+
+
+def test_relevant_figures_as_pairs(spark, monkeypatch):
+    """The best figures by looked up terms are those of all pairs, whole books or blocks."""
+    d = "/root/testdata/sf0.001"
+    asked = spark.read.parquet(f"{d}/qa_golden.parquet").selectExpr("id query_id", "book book_id", "question")
+    figures = L._figures(spark, d).withColumn("figure", F.concat_ws("-", "page", "number")).cache()
+    more = figures.select("book_id", F.substring(F.lower("caption"), 1, 30).alias("question")).union(figures.select("book_id", F.lit("Which structure shows the cycle of flow, cycle and tin in zinc?")))
+    asked = asked.union(more.select(F.concat(F.lit("m"), F.monotonically_increasing_id()).alias("query_id"), "book_id", "question")).cache()
+    pairs = figures.join(asked.where("question is not null"), "book_id").withColumn("r", V.relevance(F.col("question"), F.col("caption"), F.col("label"), F.col("number"), F.col("keywords"), F.col("labels_inside"), F.col("context"), F.lit(None), F.col("windows")))
+    want = sorted(map(str, V.top_figures(pairs.select("query_id", "figure", F.col("r.score").alias("score"))).collect()))
+    assert len(want) > 50
+    for block, many in ((2048, 2048), (3, 2)):
+        monkeypatch.setattr(V, "BLOCK", block)
+        monkeypatch.setattr(V, "ASKED", many)
+        got = V.relevant(figures, asked)
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
+        assert sorted(map(str, V.top_figures(got).collect())) == want
