@@ -49,8 +49,9 @@ class Provider(NamedTuple):
 
 
 class LexicalBackend:
-    """Shared tokens only. Where they are counted already, no text is needed: ``rerank_shared`` and ``entailment_shared`` give the same as
-    ``rerank`` and ``entailment`` from the numbers of shared and of all different tokens; a backend without them reads texts."""
+    """Shared tokens only. Where they are counted already, no text is needed: ``rerank_shared``, ``span_shared`` and ``entailment_shared`` give
+    the same as ``rerank``, ``span`` and ``entailment`` from the numbers of shared and of all different tokens; a backend without them
+    reads texts."""
 
     def embed(self, text: Column) -> Column:
         return lexical_embedding(T.tokens(text))
@@ -68,6 +69,9 @@ class LexicalBackend:
     def span(self, question: Column, sentence: Column) -> Column:
         return F.round(F.coalesce(10 * self._share(question, sentence), F.lit(0.0)), 6)
 
+    def span_shared(self, shared: Column, asked: Column) -> Column:
+        return F.round(F.coalesce(10 * F.when(asked > 0, shared / asked), F.lit(0.0)), 6)
+
     def entailment(self, premise: Column, sentence: Column) -> Column:
         share = F.coalesce(self._share(sentence, premise), F.lit(0.0))
         return F.when(share >= COVERAGE, 1.0).otherwise(share / 2)
@@ -118,8 +122,14 @@ def ranking(index: R.Index, questions: DataFrame, backend: Backend = LEXICAL) ->
 
 def spans(ranking: DataFrame, backend: Backend = LEXICAL) -> DataFrame:
     """``question_id, span, margin``: the sentence of the first contexts with the best score; the first one on ties."""
-    said = ranking.where(F.col("place") <= CONTEXTS).select("question_id", "question", "place", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("pos", "sentence"))
-    scored = said.withColumn("s", backend.span(F.col("question"), F.col("sentence")))
+    sentences = F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("pos", "sentence")
+    first = ranking.where(F.col("place") <= CONTEXTS)
+    if hasattr(backend, "span_shared"):  # a question's tokens are found once for each context, those of sentences by batches
+        asked = first.withColumn("q", F.array_distinct(T.tokens(F.col("question"))))
+        told = asked.select("question_id", "q", "place", sentences).withColumn("w", T.joined_tokens(F.col("sentence"))["terms"])
+        scored = told.withColumn("s", backend.span_shared(F.size(F.array_intersect("q", F.split("w", " "))), F.size("q")))
+    else:
+        scored = first.select("question_id", "question", "place", sentences).withColumn("s", backend.span(F.col("question"), F.col("sentence")))
     best = scored.where("s > 0").groupBy("question_id").agg(F.max_by("sentence", F.struct("s", -F.col("place"), -F.col("pos"))).alias("span"), F.max("s").alias("s"))
     return best.select("question_id", "span", (F.col("s") - NULL_SCORE).alias("margin"))
 

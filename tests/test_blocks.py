@@ -107,3 +107,14 @@ def test_relevant_figures_as_pairs(spark, monkeypatch):
         got = V.relevant(figures, asked)
         assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
         assert sorted(map(str, V.top_figures(got).collect())) == want
+
+
+def test_spans_from_counted_tokens(spark, monkeypatch):
+    chunks, q = frames(spark)
+    ranks = A.ranking(R.build(chunks), q)
+    read = type("Read", (), {"span": lambda self, question, sentence: A.LEXICAL.span(question, sentence)})()
+    want = sorted(map(str, A.spans(ranks, read).collect()))
+    monkeypatch.setattr(A.LexicalBackend, "span", None)
+    assert want and sorted(map(str, A.spans(ranks).collect())) == want
+    none = A.decided(ranks, A.spans(ranks.limit(0)), q)
+    assert none.count() == q.count() and none.where("margin is not null").count() == 0
