@@ -83,7 +83,12 @@ def tokens(text: Column) -> Column:
 _LETTERS = np.zeros(256, bool)
 _LETTERS[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)] = True
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
-_STOP_CODES = np.sort(np.array([int.from_bytes(w.encode(), "little") for w in RETRIEVAL_STOPS], np.uint64))
+_STOP_CODES = np.array(sorted({int.from_bytes(w.encode(), "little") for w in RETRIEVAL_STOPS}), np.uint64)
+#: A factor whose products with all stop words' codes differ in the upper bits, and the codes by these.
+_UPPER = np.uint64(48)
+_FACTOR = next(f for f in np.arange(0x9E3779B97F4A7C15, 0x9E3779B97F4A8C15, 2, np.uint64) if len(np.unique(_STOP_CODES * f >> _UPPER)) == len(_STOP_CODES))
+_STOP_AT = np.zeros(1 << 16, np.uint64)
+_STOP_AT[_STOP_CODES * _FACTOR >> _UPPER] = _STOP_CODES
 
 
 @F.arrow_udf(StructType([StructField("terms", StringType()), StructField("dl", IntegerType())]))
@@ -108,10 +113,9 @@ def _joined_tokens(lower: pa.Array) -> pa.Array:
         first, end = np.sort(np.r_[first, border]), np.sort(np.r_[end, border])
     long = end - first
     code = np.ndarray(size + 1, "<u8", data, strides=(1,))[first] & _MASKS[np.minimum(long, 8)]
-    near = _STOP_CODES[np.minimum(np.searchsorted(_STOP_CODES, code), len(_STOP_CODES) - 1)]
-    good = (long > 1) & ((long > 8) | (near != code))
+    good = (long > 1) & ((long > 8) | (_STOP_AT[code * _FACTOR >> _UPPER] != code))
     first, end, long = first[good], end[good], long[good]
-    row = np.searchsorted(at, first, "right") - 1
+    row = np.repeat(np.arange(rows), np.diff(np.searchsorted(first, at)))
     more = np.r_[row[1:] == row[:-1], np.zeros(min(1, len(row)), bool)]  # a blank behind all tokens of a text but the last
     step = np.zeros(size + 2, np.int8)
     step[first] = 1

@@ -1,6 +1,9 @@
 """Rankings whose books and questions are cut into blocks, against SQL and against the whole."""
 
+import math
+
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +121,49 @@ def test_spans_from_counted_tokens(spark, monkeypatch):
     assert want and sorted(map(str, A.spans(ranks).collect())) == want
     none = A.decided(ranks, A.spans(ranks.limit(0)), q)
     assert none.count() == q.count() and none.where("margin is not null").count() == 0
+
+
+def test_single_chunks_stay(spark, monkeypatch):
+    """Texts of chunks that come once aren't written again; repeated ones are merged as before, broadcast or not."""
+    chunks, _ = frames(spark)
+    again = chunks.limit(2).withColumn("text", F.lit("zz iron")).union(chunks.limit(1))
+    chunks = chunks.union(again).cache()
+    kept, cut = {}, R.cut
+    monkeypatch.setattr(R, "cut", lambda df, tag: (kept.setdefault(tag, df.columns), cut(df, tag))[1])
+    once = R._once(chunks)
+    want = sorted(map(str, once.withColumn("said", R.said(once)).collect()))
+    index = R.build(chunks)
+    assert "text" not in kept["terms"] and "documents" not in kept
+    assert sorted(map(str, index.docs.collect())) == want
+    terms = sorted(map(str, index.terms.collect()))
+    monkeypatch.setattr(R, "REPEATED", 0)
+    index = R.build(chunks)
+    assert "documents" in kept and sorted(map(str, index.docs.collect())) == want and sorted(map(str, index.terms.collect())) == terms
+
+
+def test_equal_questions_are_scored_once(monkeypatch):
+    """A block's best by columns of frequent tokens and by lists of rare ones are those of plain sums; what is asked twice is summed once."""
+    said = [["iron"] * (1 + i % 3) + ["salt"] * (i % 2) + [f"w{i % 7}"] + (["zinc"] if i == 8 else []) for i in range(40)]
+    chunks = pa.table({"book_id": ["b"] * 40, "chunk_id": [f"c{i:02}" for i in range(40)], "terms": [" ".join(w) for w in said], "equation": [False] * 40, "exercise": [False] * 40})
+    asks = {"q1": "iron zinc w3 iron", "q2": "salt none", "q3": "iron zinc w3 iron", "q4": "none"}
+    lengths = [6**0.5, 2**0.5, 6**0.5, 1.0]
+    asked = pa.table({"question_id": list(asks), "book_id": ["b"] * 4, "words": list(asks.values()), "length": lengths, "df": pa.nulls(4, pa.int64()), "n": pa.nulls(4, pa.int64()), "avgdl": pa.nulls(4, pa.float64())})
+    calls, rounded = [], R._rounded
+    monkeypatch.setattr(R, "_rounded", lambda x: (calls.append(1), rounded(x))[1])
+    want = {}
+    for (q, text), length in zip(asks.items(), lengths, strict=True):
+        for i, w in enumerate(said):
+            hits = [t for t in set(text.split()) if t in w]
+            if hits:
+                df = {t: sum(t in x for x in said) for t in hits}
+                mean = sum(map(len, said)) / 40
+                bm25 = sum(text.split().count(t) * math.log(1 + (40 - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / mean)) for t in hits)
+                norm = sum(w.count(t) ** 2 for t in set(w)) ** 0.5
+                want[q, f"c{i:02}"] = round(bm25, 8), round(sum(text.split().count(t) * w.count(t) for t in hits) / norm / length, 8), len(hits)
+    for k in (None, 5):
+        calls.clear()
+        got = {(r["question_id"], r["chunk_id"]): (r["bm25"], r["cosine"], r["shared"]) for r in R._block(k, R.K1, R.B)(chunks, asked).to_pylist()}
+        assert len(calls) == 4 and all(got[x] == pytest.approx(want[x], abs=2e-8) for x in got)
+        best = lambda rows, at, q: sorted((-v[at], x[1]) for x, v in rows.items() if x[0] == q)[: k or 99]
+        assert all([c for _, c in best(got, at, q)] == [c for _, c in best(want, at, q)] for q in asks for at in (0, 1))
+        assert k is None and len(got) == len(want) or k and len(got) < len(want)
