@@ -115,7 +115,11 @@ def places(index: R.Index, questions: DataFrame, backend: Backend = LEXICAL) ->
 
 def ranking(index: R.Index, questions: DataFrame, backend: Backend = LEXICAL) -> DataFrame:
     """The reranked chunks of every question with the columns of :func:`reranked`; places are a table, texts come in where they are read."""
-    placed, _ = cut(places(index, questions, backend), "ranking")
+    return told(cut(places(index, questions, backend), "ranking")[0], index, questions)
+
+
+def told(placed: DataFrame, index: R.Index, questions: DataFrame) -> DataFrame:
+    """Places with the texts of chunks and questions."""
     docs = index.docs.select("chunk_id", "text", "section", "page_number", "figure_refs")
     return placed.join(docs, "chunk_id").join(questions.select("question_id", "question"), "question_id")
 

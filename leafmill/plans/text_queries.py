@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.durable import cut
 from leafmill.functions import text as T
 from leafmill.operators import answering as A
 from leafmill.operators import chunking as C
@@ -389,8 +390,9 @@ SQL["lexical_span"] = f"WITH {_SPANS} SELECT * FROM sp"
 
 def sufficiency(spark: SparkSession, d: str) -> DataFrame:
     """Whether the book covers each question, and how sure that is."""
-    ranking, q = _ranking(spark, d)
-    out = A.decided(ranking, A.spans(ranking), q)
+    index, q = _index(spark, d), _questions(spark, d)
+    placed, _ = cut(A.places(index, q), "ranking")
+    out = A.decided(placed, A.spans(A.told(placed, index, q)), q)
     return out.select("question_id", F.coalesce("top", F.lit(-99.0)).alias("top"), F.coalesce("margin", F.lit(-99.0)).alias("margin"), "sufficient", "confidence")
 
 

@@ -167,3 +167,9 @@ def test_equal_questions_are_scored_once(monkeypatch):
         best = lambda rows, at, q: sorted((-v[at], x[1]) for x, v in rows.items() if x[0] == q)[: k or 99]
         assert all([c for _, c in best(got, at, q)] == [c for _, c in best(want, at, q)] for q in asks for at in (0, 1))
         assert k is None and len(got) == len(want) or k and len(got) < len(want)
+
+
+def test_sufficiency_decides_without_texts(spark, monkeypatch):
+    seen, decided = [], A.decided
+    monkeypatch.setattr(A, "decided", lambda ranking, best, q: (seen.append(ranking.columns), decided(ranking, best, q))[1])
+    assert __spark_entry__.queries()["sufficiency"](spark, TABLES).columns and seen == [["question_id", "chunk_id", "score", "place"]]
