@@ -80,8 +80,6 @@ def tokens(text: Column) -> Column:
     return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(RETRIEVAL_STOPS))
 
 
-_LETTERS = np.zeros(256, bool)
-_LETTERS[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)] = True
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _STOP_CODES = np.array(sorted({int.from_bytes(w.encode(), "little") for w in RETRIEVAL_STOPS}), np.uint64)
 #: A factor whose products with all stop words' codes differ in the upper bits, and the codes by these.
@@ -91,6 +89,11 @@ _STOP_AT = np.zeros(1 << 16, np.uint64)
 _STOP_AT[_STOP_CODES * _FACTOR >> _UPPER] = _STOP_CODES
 
 
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Which bytes are a-z or 0-9; differences of bytes wrap."""
+    return (data - np.uint8(97) < 26) | (data - np.uint8(48) < 10)
+
+
 @F.arrow_udf(StructType([StructField("terms", StringType()), StructField("dl", IntegerType())]))
 def _joined_tokens(lower: pa.Array) -> pa.Array:
     """The tokens of texts in lower case, as one text with blanks between them, and how many; all texts of a batch at once, as bytes."""
@@ -102,7 +105,8 @@ def _joined_tokens(lower: pa.Array) -> pa.Array:
     if size:
         data[:size] = np.frombuffer(lower.buffers()[2], np.uint8)[at[0] : at[-1]]
     at = at - at[0]
-    letter = np.r_[False, _LETTERS[data[:size]], False]
+    letter = np.zeros(size + 2, bool)
+    letter[1:-1] = _letters(data[:size])
     change = np.flatnonzero(letter[1:] != letter[:-1])
     first, end = change[::2], change[1::2]
     # Runs that go over from one text into the next are cut there.
@@ -110,7 +114,7 @@ def _joined_tokens(lower: pa.Array) -> pa.Array:
     border = border[(border > 0) & (border < size)]
     border = border[letter[border] & letter[border + 1]]
     if len(border):
-        first, end = np.sort(np.r_[first, border]), np.sort(np.r_[end, border])
+        first, end = (np.insert(x, np.searchsorted(x, border), border) for x in (first, end))
     long = end - first
     code = np.ndarray(size + 1, "<u8", data, strides=(1,))[first] & _MASKS[np.minimum(long, 8)]
     good = (long > 1) & ((long > 8) | (_STOP_AT[code * _FACTOR >> _UPPER] != code))
@@ -119,9 +123,10 @@ def _joined_tokens(lower: pa.Array) -> pa.Array:
     more = np.r_[row[1:] == row[:-1], np.zeros(min(1, len(row)), bool)]  # a blank behind all tokens of a text but the last
     step = np.zeros(size + 2, np.int8)
     step[first] = 1
-    np.add.at(step, end + more, -1)
-    kept = np.cumsum(step[:size], dtype=np.int8).astype(bool)
-    data = np.where(letter[1 : size + 1], data[:size], 32).astype(np.uint8)[kept]
+    step[end + more] -= 1  # no two tokens end at the same place
+    kept = np.cumsum(step[:size], dtype=np.int8).view(bool)
+    data = data[:size][kept]
+    data = np.where(_letters(data), data, np.uint8(32))
     sizes = np.bincount(row, long + more, rows).astype(np.int64)
     texts = pa.Array.from_buffers(pa.large_string(), rows, [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)]), pa.py_buffer(data)]).cast(pa.string())
     return pa.StructArray.from_arrays([texts, pa.array(np.bincount(row, minlength=rows).astype(np.int32))], ["terms", "dl"], mask=none)

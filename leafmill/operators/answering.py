@@ -92,25 +92,26 @@ def reranked(candidates: DataFrame, index: R.Index, questions: DataFrame, backen
     return placed.join(docs, "chunk_id").join(questions.select("question_id", "question"), "question_id")
 
 
-def _placed(candidates: DataFrame, index: R.Index, questions: DataFrame, backend: Backend) -> DataFrame:
-    """``question_id, chunk_id, score, place`` of the candidates; texts go no further than their score, and aren't read where the backend
+def _placed(candidates: DataFrame, index: R.Index, questions: DataFrame, backend: Backend, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``question_id, chunk_id, score, place`` and the columns to ``keep`` of the candidates; texts go no further than their score, and aren't read where the backend
     takes counted tokens, which stand for the text of a question as long as its id has only one."""
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "fused")
     back = lambda exercise: F.when(exercise, EXERCISE_PENALTY).otherwise(0.0)
-    if hasattr(backend, "rerank_shared") and questions.where("question_id is not null").groupBy("question_id").count().where("count > 1").isEmpty():
+    if hasattr(backend, "rerank_shared") and (questions.where("question_id is not null").groupBy("question_id").count().agg(F.max("count")).first()[0] or 1) == 1:
         asked = questions.select("question_id", F.size(F.array_distinct(T.tokens(F.col("question")))).alias("asked"))
         score = backend.rerank_shared(F.col("shared"), F.col("asked")) - back(F.col("exercise"))
-        rows = candidates.join(asked, "question_id").select("question_id", "chunk_id", F.col("rank").alias("fused"), score.alias("score"))
-        return rows.select("question_id", "chunk_id", "score", F.row_number().over(order).alias("place"))
-    asked = candidates.select("question_id", "chunk_id", F.col("rank").alias("fused")).join(questions.select("question_id", "question"), "question_id")
+        rows = candidates.join(asked, "question_id").select("question_id", "chunk_id", *keep, F.col("rank").alias("fused"), score.alias("score"))
+        return rows.select("question_id", "chunk_id", "score", *keep, F.row_number().over(order).alias("place"))
+    asked = candidates.select("question_id", "chunk_id", *keep, F.col("rank").alias("fused")).join(questions.select("question_id", "question"), "question_id")
     score = backend.rerank(F.col("question"), F.col("said")) - back(F.lower("kind") == "exercise")
-    rows = asked.join(index.docs.select("chunk_id", "said", "kind"), "chunk_id").select("question_id", "chunk_id", "fused", score.alias("score"))
-    return rows.select("question_id", "chunk_id", "score", F.row_number().over(order).alias("place"))
+    rows = asked.join(index.docs.select("chunk_id", "said", "kind"), "chunk_id").select("question_id", "chunk_id", *keep, "fused", score.alias("score"))
+    return rows.select("question_id", "chunk_id", "score", *keep, F.row_number().over(order).alias("place"))
 
 
-def places(index: R.Index, questions: DataFrame, backend: Backend = LEXICAL) -> DataFrame:
-    """``question_id, chunk_id, score, place`` of the reranked chunks of every question."""
-    return _placed(R.fused(R.scores(index, questions, R.POOL), index, questions), index, questions, backend)
+def places(index: R.Index, questions: DataFrame, backend: Backend = LEXICAL, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``question_id, chunk_id, score, place`` of the reranked chunks of every question; ``keep`` names columns of the index that come along."""
+    scored = R.scores(index, questions, R.POOL, own=R.OWN + keep)
+    return _placed(R.fused(scored, index, questions, keep=keep), index, questions, backend, keep)
 
 
 def ranking(index: R.Index, questions: DataFrame, backend: Backend = LEXICAL) -> DataFrame:

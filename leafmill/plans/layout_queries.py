@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafmill.durable import cut
 from leafmill.functions import geometry as G
 from leafmill.functions import records
 from leafmill.functions import text as T
@@ -406,12 +407,16 @@ def agg_eval_metrics(spark: SparkSession, d: str) -> DataFrame:
     last = F.max_by(F.struct("is_sufficient", "answer", (F.unix_micros("logged_at") - F.unix_micros("asked_at")).alias("latency")), "answer_id")
     answers = table(spark, d, "answer_results").withColumns({c: F.col(c).cast("timestamp") for c in ("logged_at", "asked_at")})
     given = answers.groupBy("question_id").agg(last.alias("g")).select("question_id", "g.*")
-    ranking = Q._ranking(spark, d)[0]
-    cited = ranking.where("place <= 3").groupBy("question_id").agg(F.collect_set("page_number").alias("cited"))
-    rows = q.join(given, "question_id", "left").join(C.first_pages(ranking), "question_id", "left").join(cited, "question_id", "left")
+    # The pages of a question's at most twenty places, of which the first five different ones count, and those of the first three places.
+    placed = Q.A.places(Q._index(spark, d), Q._questions(spark, d), keep=("page_number",))
+    listed = placed.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("place", "page_number"))).alias("l"))
+    page = lambda l: F.array_distinct(F.transform(l, lambda x: x["page_number"]))
+    found = listed.select("question_id", F.array_compact(F.slice(page(F.col("l")), 1, 5)).alias("pages"), F.array_compact(page(F.filter("l", lambda x: x["place"] <= 3))).alias("cited"))
+    rows = q.join(given, "question_id", "left").join(found, "question_id", "left")
     none = F.array().cast("array<int>")
     said = T.echoes(F.col("answer"), F.col("question")) | F.contains(F.lower("answer"), F.regexp_replace(F.lower("question"), r"\?+$", ""))
-    return C.eval_metrics(rows.select("answerable", F.coalesce("is_sufficient", F.lit(False)).alias("sufficient"), F.coalesce("expected_pages", none).alias("expected"), F.coalesce("pages", none).alias("retrieved"), F.coalesce("cited", none).alias("cited"), F.coalesce(said, F.lit(False)).alias("echo"), "latency"))
+    results, _ = cut(rows.select("answerable", F.coalesce("is_sufficient", F.lit(False)).alias("sufficient"), F.coalesce("expected_pages", none).alias("expected"), F.coalesce("pages", none).alias("retrieved"), F.coalesce("cited", none).alias("cited"), F.coalesce(said, F.lit(False)).alias("echo"), "latency"), "results")
+    return C.eval_metrics(results)
 
 
 SQL["agg_eval_metrics"] = f"""WITH {Q._RERANK}, c AS (SELECT question_id, list(DISTINCT page_number) AS cited FROM pl JOIN docs USING (chunk_id) WHERE place <= 3 GROUP BY 1),

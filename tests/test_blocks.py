@@ -1,6 +1,7 @@
 """Rankings whose books and questions are cut into blocks, against SQL and against the whole."""
 
 import math
+import random
 
 import duckdb
 import pyarrow as pa
@@ -173,3 +174,39 @@ def test_sufficiency_decides_without_texts(spark, monkeypatch):
     seen, decided = [], A.decided
     monkeypatch.setattr(A, "decided", lambda ranking, best, q: (seen.append(ranking.columns), decided(ranking, best, q))[1])
     assert __spark_entry__.queries()["sufficiency"](spark, TABLES).columns and seen == [["question_id", "chunk_id", "score", "place"]]
+
+
+def test_metrics_read_places_once(spark, monkeypatch):
+    """Pages come along with the places, and what is measured is a table: neither is a ranking written nor do places meet chunks again."""
+    kept, cut = {}, A.cut
+    for module in (A, L):
+        monkeypatch.setattr(module, "cut", lambda df, tag: (kept.setdefault(tag, df), cut(df, tag))[1], raising=False)
+    got = __spark_entry__.queries()["agg_eval_metrics"](spark, TABLES)
+    assert set(kept) == {"results"} and "cited" in kept["results"].columns
+    plan = kept["results"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1 and "chunk_id" not in "".join(x for x in plan.splitlines() if "Join " in x) and len(got.collect()) == 1
+
+
+def test_rough_sums_lose_no_chunk(monkeypatch):
+    """Of many chunks the best by rough sums, and questions summed together, are those of exact sums of each question by itself."""
+    draw = random.Random(7)
+    words = [f"w{i}" for i in range(30)]
+    said = [" ".join(draw.choice(words[: draw.choice((3, 30))]) for _ in range(draw.choice((1, 4, 40)))) for _ in range(2000)]
+    table = lambda book, texts: {"book_id": [book] * len(texts), "chunk_id": [f"{book}{i:04}" for i in range(len(texts))], "terms": texts, "equation": [i % 2 == 0 for i in range(len(texts))], "exercise": [False] * len(texts)}
+    chunks = pa.concat_tables([pa.table(table("a", said)), pa.table(table("b", said[:40]))])
+    asks = [(f"q{i:03}", "ab"[i % 2], " ".join(draw.choice(words) for _ in range(draw.choice((1, 5))))) for i in range(700)]
+    asked = pa.table({"question_id": [x[0] for x in asks], "book_id": [x[1] for x in asks], "words": [x[2] for x in asks], "length": [sum(x[2].split().count(t) ** 2 for t in set(x[2].split())) ** 0.5 for x in asks], "df": pa.nulls(700, pa.int64()), "n": pa.nulls(700, pa.int64()), "avgdl": pa.nulls(700, pa.float64())})
+    calls, rounded = [], R._rounded
+    monkeypatch.setattr(R, "_rounded", lambda x: (calls.append(len(x)), rounded(x))[1])
+    found = lambda k: sorted(map(str, R._block(k, R.K1, R.B)(chunks, asked).to_pylist()))
+    whole, few = found(None), found(5)
+    assert len(calls) < 4 * 700 and len(few) < len(whole) / 20
+    monkeypatch.setattr(R, "FEW", 0)
+    monkeypatch.setattr(R, "WIDE", 0)
+    assert found(None) == whole and found(5) == few
+    best = {}
+    for r in map(eval, whole):
+        for at in ("bm25", "cosine"):
+            best.setdefault((r["question_id"], at), []).append((-r[at], r["chunk_id"]))
+    want = {(q, c) for (q, _), rows in best.items() for _, c in sorted(rows)[:5]}
+    assert {(r["question_id"], r["chunk_id"]) for r in map(eval, few)} == want
