@@ -125,8 +125,9 @@ SQL["display_answers"] = "SELECT DISTINCT answer_id, floor(least(greatest(confid
 
 def prompt_build(spark: SparkSession, d: str) -> DataFrame:
     """What a generator would be asked for each question: the first eight passages and the rules."""
-    ranking, q = Q._ranking(spark, d)
-    listed = ranking.where("place <= 8").groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "page_number", "section", "text"))), lambda x: F.struct(x["page_number"].alias("page_number"), x["section"].alias("section"), x["text"].alias("text"))).alias("evidence"))
+    index, q = Q._index(spark, d), Q._questions(spark, d)
+    first, _ = cut(Q.A.places(index, q).where("place <= 8"), "ranking")
+    listed = Q.A.told(first, index, q).groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "page_number", "section", "text"))), lambda x: F.struct(x["page_number"].alias("page_number"), x["section"].alias("section"), x["text"].alias("text"))).alias("evidence"))
     asked = q.join(listed, "question_id").withColumn("p", D.prompt(F.col("question"), F.lit(""), F.col("evidence")))
     return asked.select("question_id", F.length("p").alias("chars"), F.md5("p").alias("hash"))
 

@@ -14,6 +14,7 @@ from leafmill.operators import answering as A
 from leafmill.operators import figures as V
 from leafmill.operators import retrieval as R
 from leafmill.plans import layout_queries as L
+from leafmill.plans import registry_queries as W
 from tests.test_retrieval import frames
 
 TABLES = "/root/testdata/sf0.001"
@@ -187,6 +188,13 @@ def test_metrics_read_places_once(spark, monkeypatch):
     assert plan.count("FlatMapCoGroupsInArrow") == 1 and "chunk_id" not in "".join(x for x in plan.splitlines() if "Join " in x) and len(got.collect()) == 1
 
 
+def test_prompts_read_eight_places(spark, monkeypatch):
+    kept, cut = {}, R.cut
+    monkeypatch.setattr(W, "cut", lambda df, tag: (kept.setdefault(tag, cut(df, tag)[0]), "")[:2])
+    assert __spark_entry__.queries()["prompt_build"](spark, TABLES).columns == ["question_id", "chars", "hash"]
+    assert kept["ranking"].agg(F.max("place")).first()[0] == 8
+
+
 def test_rough_sums_lose_no_chunk(monkeypatch):
     """Of many chunks the best by rough sums, and questions summed together, are those of exact sums of each question by itself."""
     draw = random.Random(7)
